@@ -1,2 +1,2 @@
-from . import blocks  # noqa: F401
+from . import blocks, scores  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

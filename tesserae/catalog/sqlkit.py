@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from ..functions.backup import STEPS_A, STEPS_C, VARIANT_CODE, WIDTHS_C
 from ..functions.pixels import budget
+from ..sources.carriers import PAGE_ROWS
 from ..sources.keyring import TEST_KEYS, keyring_rows, test_key
 
 HEXDIGITS = "'0123456789ABCDEF'"
@@ -110,7 +111,7 @@ class Sql:
             "row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n "
             "FROM embeddings",
         )
-        rows = 8191 * ncols
+        rows = PAGE_ROWS * ncols
         self.add(
             f"{name}_p",
             f"SELECT *, pos // {channels} // {rows} AS page, pos % {channels} AS ch, pos // {channels} % {rows} AS idx, "
@@ -452,3 +453,73 @@ class Sql:
             f"SELECT * EXCLUDE (px), px AS px_before, list_transform(range(len(px)), lambda i: CASE WHEN truth_px[(i+1)::INT] "
             f"THEN nz[(i+1)::INT] ELSE px[(i+1)::INT] END) AS px FROM (SELECT *, {noise('seed', 'owner_id', 'ch', 'idx', block * block)} AS nz FROM {src})",
         )
+
+    # -- scores --------------------------------------------------------------
+
+    def ssim(self, src: str, name: str, a: str, b: str, keys: str = "owner_id", truth: str = "NULL", keep: str = "TRUE") -> "Sql":
+        """Window sums in two passes over exploded pixels."""
+        self.add(
+            f"{name}_u",
+            f"SELECT {keys}, ch, r, c, height, width, block, {keep} AS keep, unnest(range(block * block)) AS p, unnest({a}) AS a, "
+            f"unnest({b}) AS b, {'unnest(' + truth + ')' if truth != 'NULL' else 'FALSE'} AS t FROM {src}",
+        )
+        self.add(
+            f"{name}_y",
+            f"SELECT {keys}, ch, height, width, keep, t, r * block + p // block AS y, c * block + p % block AS x, a::BIGINT AS a, b::BIGINT AS b FROM {name}_u",
+        )
+        row = f"(PARTITION BY {keys}, ch, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+        col = f"(PARTITION BY {keys}, ch, x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+        self.add(
+            f"{name}_h",
+            f"SELECT {keys}, ch, y, x, height, width, keep, t, sum(a) OVER {row} AS sa, sum(b) OVER {row} AS sb, "
+            f"sum(a * a) OVER {row} AS saa, sum(b * b) OVER {row} AS sbb, sum(a * b) OVER {row} AS sab FROM {name}_y",
+        )
+        self.add(
+            f"{name}_v",
+            f"SELECT {keys}, ch, y, x, height, width, keep, t, (sum(sa) OVER {col})::DOUBLE AS sa, (sum(sb) OVER {col})::DOUBLE AS sb, "
+            f"(sum(saa) OVER {col})::DOUBLE AS saa, (sum(sbb) OVER {col})::DOUBLE AS sbb, (sum(sab) OVER {col})::DOUBLE AS sab FROM {name}_h",
+        )
+        self.add(
+            f"{name}_s",
+            f"SELECT {keys}, keep, t, ((2 * (sa / 49) * (sb / 49) + 6.5025) * (2 * (49 * sab - sa * sb) / 2352 + 58.5225)) / "
+            "(((sa / 49) * (sa / 49) + (sb / 49) * (sb / 49) + 6.5025) * ((49 * saa - sa * sa) / 2352 + (49 * sbb - sb * sb) / 2352 + 58.5225)) AS s "
+            f"FROM {name}_v WHERE y >= 3 AND y < height - 3 AND x >= 3 AND x < width - 3",
+        )
+        nan = "'nan'::DOUBLE"
+        return self.add(
+            name,
+            f"SELECT {keys}, avg(s) AS ssim, coalesce(avg(s) FILTER (WHERE t AND keep), {nan}) AS ssim_in_region, "
+            f"coalesce(avg(s) FILTER (WHERE t), {nan}) AS ssim_pessimistic FROM {name}_s GROUP BY ALL",
+        )
+
+    def confusion(self, src: str, name: str, keys: str = "owner_id") -> "Sql":
+        parts = []
+        for level, pred in (("raw", "raw"), ("block", "flagged")):
+            for cell, cond in (("tp", f"{pred} AND hit > 0"), ("fp", f"{pred} AND hit = 0"), ("fn", f"NOT {pred} AND hit > 0"), ("tn", f"NOT {pred} AND hit = 0")):
+                parts.append(f"count_if({cond})::BIGINT AS {level}_{cell}")
+        for cell, cond, what in (("tp", "flagged", "hit"), ("fp", "flagged", "n - hit"), ("fn", "NOT flagged", "hit"), ("tn", "NOT flagged", "n - hit")):
+            parts.append(f"sum(CASE WHEN {cond} THEN {what} ELSE 0 END)::BIGINT AS px_{cell}")
+        return self.add(
+            name,
+            f"SELECT {keys}, {', '.join(parts)} FROM (SELECT *, len(truth_px) AS n, len(list_filter(truth_px, lambda t: t)) AS hit "
+            f"FROM {src} WHERE ch = 0) GROUP BY ALL",
+        )
+
+    def fidelity_sums(self, src: str, name: str, keys: str = "owner_id") -> "Sql":
+        inside = (
+            "list_sum(list_transform(range(len(px)), lambda z: CASE WHEN truth_px[z+1] THEN "
+            "((px_before[z+1] - px_repaired[z+1]) * (px_before[z+1] - px_repaired[z+1]))::BIGINT ELSE 0::BIGINT END))"
+        )
+        self.add(
+            f"{name}_b",
+            f"SELECT {keys}, ch, unrecoverable, len(px) AS n, len(list_filter(truth_px, lambda t: t)) AS hit, "
+            f"{sq_err('px_before', 'px_repaired')} AS whole, {sq_err('px_before', 'px')} AS leftover, {inside} AS inside FROM {src}",
+        )
+        return self.add(
+            name,
+            f"SELECT {keys}, sum(n)::BIGINT AS n_all, sum(whole)::BIGINT AS sq_marked, "
+            "sum(CASE WHEN unrecoverable THEN leftover ELSE whole END)::BIGINT AS sq_unmarked, "
+            "sum(CASE WHEN unrecoverable THEN 0 ELSE inside END)::BIGINT AS sq_opt, sum(CASE WHEN unrecoverable THEN 0 ELSE hit END)::BIGINT AS n_opt, "
+            "sum(inside)::BIGINT AS sq_pes, sum(hit)::BIGINT AS n_pes, sum(CASE WHEN ch = 0 THEN hit ELSE 0 END)::BIGINT AS n_tampered_px, "
+            f"sum(CASE WHEN ch = 0 AND unrecoverable THEN n ELSE 0 END)::BIGINT AS n_unrecoverable_px FROM {name}_b GROUP BY ALL",
+        )

@@ -109,3 +109,357 @@ def truth_blocks(damaged: DataFrame, rule: str = "any") -> DataFrame:
     """Pixel truth -> block truth, by any pixel or by majority; all channels share one truth."""
     share = F.size(F.filter("truth_px", lambda t: t)) / F.size("truth_px")
     return damaged.withColumn("truth", share > 0 if rule == "any" else share >= 0.5)
+
+
+# -- splice ------------------------------------------------------------------
+
+def splice_sources(blocks: DataFrame) -> DataFrame:
+    """(owner_id, source_id): the next owner of equal shape, wrapping; NULL if there is none.
+
+    Owners of one shape may be many, so the cycle is cut into buckets of pages.
+    """
+    from .ordering import cycle_neighbours
+
+    owners = blocks.filter((F.col("idx") == 0) & (F.col("ch") == 0)).select(
+        "owner_id", "stem", "label", "page", "height", "width"
+    )
+    bucket = F.struct(F.col("label").alias("l"), F.floor(F.col("page") / 4096).alias("p"))
+    out = cycle_neighbours(owners, ["height", "width"], "label", "page", ["owner_id"], bucket)
+    return out.select(
+        "owner_id", "stem", "height", "width",
+        F.when(F.col("next_owner_id") != F.col("owner_id"), F.col("next_owner_id")).alias("source_id"),
+    )
+
+
+def inject_splice(blocks: DataFrame, sources: DataFrame, donors: DataFrame, ratio: Column,
+                  keys: list[str] | None = None, same: list[str] | None = None, base: str = BASE_SEED) -> DataFrame:
+    """The same rectangle from another owner; without one, the rectangle mirrored through the centre.
+
+    ``donors`` holds (owner_id, *same, ch, idx, px).  Each damaged block asks for the one
+    (aligned) or at most four (mirrored) donor blocks under it, by an equi-join.
+    """
+    keys, same = keys or ["owner_id"], same or []
+    df = rectangle_truth(with_rectangle(with_seed(blocks, F.lit("splice"), ratio, base), ratio))
+    df = df.join(sources.select("owner_id", "source_id"), "owner_id", "left")
+    mirrored = F.col("source_id").isNull()
+    dy = F.when(mirrored, F.col("height") - F.col("y1") - F.col("y0")).otherwise(F.lit(0))
+    dx = F.when(mirrored, F.col("width") - F.col("x1") - F.col("x0")).otherwise(F.lit(0))
+    df = df.withColumn("_dy", dy).withColumn("_dx", dx)
+    side = F.col("block")
+
+    def wanted(p):
+        y, x = pixel_yx(p)
+        y, x = y + F.col("_dy"), x + F.col("_dx")
+        cell = F.struct(
+            (F.floor(y / side) * F.col("ncols") + F.floor(x / side)).cast("bigint").alias("idx"),
+            ((y % side) * side + x % side).cast("int").alias("p"),
+        )
+        return F.when(F.element_at("truth_px", (p + 1).cast("int")), cell)
+
+    asks = (
+        df.filter(F.exists("truth_px", lambda t: t))
+        .withColumn("_want", F.transform(positions(), wanted))
+        .select(
+            *keys, *[c for c in same if c not in keys], "ch", "idx", "_want",
+            F.coalesce("source_id", "owner_id").alias("_from"),
+            F.explode(F.array_distinct(F.transform(F.filter("_want", lambda w: w.isNotNull()), lambda w: w["idx"]))).alias("_sidx"),
+        )
+    )
+    give = donors.select(
+        F.col("owner_id").alias("_from"), *same, "ch", F.col("idx").alias("_sidx"), F.col("px").alias("_spx")
+    )
+    got = asks.join(give, ["_from", *same, "ch", "_sidx"]).withColumn(
+        "_part",
+        F.transform("_want", lambda w: F.when(w["idx"] == F.col("_sidx"), F.element_at("_spx", w["p"] + 1))),
+    )
+    parts = got.groupBy(*keys, "ch", "idx").agg(F.collect_list("_part").alias("_parts")).withColumn(
+        "_fill",
+        F.transform(
+            F.element_at("_parts", 1),
+            lambda v, i: F.array_max(F.transform("_parts", lambda part: F.element_at(part, i + 1))),
+        ),
+    )
+    mixed = F.transform(
+        F.arrays_zip(F.col("px").alias("a"), F.col("_fill").alias("b")),
+        lambda z: F.coalesce(z["b"], z["a"]).cast("int"),
+    )
+    out = df.join(parts.select(*keys, "ch", "idx", "_fill"), [*keys, "ch", "idx"], "left")
+    out = out.withColumn("px_before", F.col("px")).withColumn(
+        "px", F.when(F.col("_fill").isNull(), F.col("px")).otherwise(mixed)
+    )
+    return out.drop("_dy", "_dx", "_fill", "source_id")
+
+
+# -- refill ------------------------------------------------------------------
+
+RING = 5
+
+
+def inject_refill(blocks: DataFrame, ratio: Column, keys: list[str] | None = None, base: str = BASE_SEED) -> DataFrame:
+    """Synthetic filling whose mean and spread match a five-pixel ring outside the rectangle.
+
+    Ring and filling sums are exact integers from one aggregation per owner and channel.
+    """
+    keys = keys or ["owner_id"]
+    df = rectangle_truth(with_rectangle(with_seed(blocks, F.lit("crop_refill"), ratio, base), ratio))
+
+    def in_ring(p):
+        y, x = pixel_yx(p)
+        in_y, in_x = (y >= F.col("y0")) & (y < F.col("y1")), (x >= F.col("x0")) & (x < F.col("x1"))
+        near_y = ((y >= F.col("y0") - RING) & (y < F.col("y0"))) | ((y >= F.col("y1")) & (y < F.col("y1") + RING))
+        near_x = ((x >= F.col("x0") - RING) & (x < F.col("x0"))) | ((x >= F.col("x1")) & (x < F.col("x1") + RING))
+        return (near_y & in_x) | (near_x & in_y)
+
+    df = df.withColumn("_field", noise_bytes())
+    df = df.withColumn("_ring", F.filter("px", lambda v, i: in_ring(i)))
+    df = df.withColumn("_in", F.filter("_field", lambda v, i: F.element_at("truth_px", i + 1)))
+
+    def sums(name, col):
+        total = F.aggregate(col, F.lit(0).cast("bigint"), lambda s, v: s + v)
+        squares = F.aggregate(col, F.lit(0).cast("bigint"), lambda s, v: s + v.cast("bigint") * v)
+        return [
+            F.sum(F.size(col).cast("bigint")).alias(f"_{name}n"), F.sum(total).alias(f"_{name}s"), F.sum(squares).alias(f"_{name}q")
+        ]
+
+    stats = df.groupBy(*keys, "ch").agg(*sums("r", "_ring"), *sums("w", "px"), *sums("p", "_in"))
+    pick = lambda s: F.when(F.col("_rn") > 0, F.col(f"_r{s}")).otherwise(F.col(f"_w{s}"))
+    spread = lambda n, s, q: F.sqrt((n * q - s * s).cast("double")) / F.greatest(n, F.lit(1))
+    stats = stats.select(
+        *keys, "ch",
+        (pick("s") / pick("n")).alias("_bm"), spread(pick("n"), pick("s"), pick("q")).alias("_bs"),
+        (F.col("_ps") / F.greatest("_pn", F.lit(1))).alias("_pm"), spread(F.col("_pn"), F.col("_ps"), F.col("_pq")).alias("_pd"),
+    ).withColumn("_pd", F.when(F.col("_pd") > 1e-6, F.col("_pd")).otherwise(F.lit(1.0)))
+    df = df.join(stats, [*keys, "ch"])
+    fill = F.transform(
+        "_field",
+        lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(
+            F.round((v - F.col("_pm")) / F.col("_pd") * F.col("_bs") + F.col("_bm"), 6)).cast("double"))).cast("int"),
+    )
+    return write_inside(df, fill).drop("_field", "_ring", "_in", "_bm", "_bs", "_pm", "_pd")
+
+
+# -- blob --------------------------------------------------------------------
+
+def _circles() -> Column:
+    """Three to six discs around a common centre: array<struct<angle, frac>>."""
+    draw = lambda name, i: uniform(F.col("seed"), f"{name}{i}")
+    discs = F.array(*[
+        F.struct((draw("angle", i) * 6.283185307179586).alias("angle"), (draw("frac", i) * 0.8).alias("frac"))
+        for i in range(6)
+    ])
+    count = (F.floor(uniform(F.col("seed"), "discs") * 4) + 3).cast("int")
+    return F.slice(discs, F.lit(1), count)
+
+
+def _with_discs(df: DataFrame) -> DataFrame:
+    """Disc centres and radius in whole pixels for the current radius."""
+    r = F.col("_radius")
+    return df.withColumn("_ri", F.greatest(F.lit(1), F.rint(r).cast("bigint"))).withColumn(
+        "_discs",
+        F.transform("_circles", lambda d: F.struct(
+            F.rint(F.col("_cy") + F.sin(d["angle"]) * d["frac"] * r).cast("bigint").alias("y"),
+            F.rint(F.col("_cx") + F.cos(d["angle"]) * d["frac"] * r).cast("bigint").alias("x"),
+        )),
+    )
+
+
+def _covered(p: Column) -> Column:
+    y, x = pixel_yx(p)
+    return F.exists("_discs", lambda d: (y - d["y"]) * (y - d["y"]) + (x - d["x"]) * (x - d["x"]) <= F.col("_ri") * F.col("_ri"))
+
+
+def blob_discs(blocks: DataFrame, ratio: Column, keys: list[str] | None = None, base: str = BASE_SEED) -> DataFrame:
+    """Per owner: discs after three measure-and-rescale rounds.  Reads geometry only, no pixels."""
+    keys = keys or ["owner_id"]
+    owners = blocks.filter((F.col("idx") == 0) & (F.col("ch") == 0))
+    owners = with_seed(owners, F.lit("inpaint_removal"), ratio, base).select(
+        *keys, "height", "width", "block", "k", "ncols", "seed", ratio.cast("double").alias("_share")
+    )
+    owners = (
+        owners.withColumn("_circles", _circles())
+        .withColumn("_cy", (uniform(F.col("seed"), "cy") * 0.5 + 0.25) * F.col("height"))
+        .withColumn("_cx", (uniform(F.col("seed"), "cx") * 0.5 + 0.25) * F.col("width"))
+        .withColumn("_radius", F.sqrt(F.col("_share") * F.col("height") * F.col("width") / (F.size("_circles") * 3.141592653589793)))
+    )
+    for _ in range(3):
+        cells = (
+            _with_discs(owners).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+            .withColumn("r", F.floor(F.col("idx") / F.col("ncols"))).withColumn("c", F.col("idx") % F.col("ncols"))
+        )
+        area = cells.groupBy(*keys).agg(F.sum(F.size(F.filter(positions(), _covered)).cast("bigint")).alias("_area"))
+        got = F.col("_area") / (F.col("height") * F.col("width"))
+        grow = F.when(got <= 1e-9, F.lit(2.0)).otherwise(F.sqrt(F.col("_share") / F.greatest(got, F.lit(1e-9))))
+        owners = owners.join(area, keys).withColumn("_radius", F.col("_radius") * grow).drop("_area")
+    return _with_discs(owners).select(*keys, "seed", "_discs", "_ri")
+
+
+def inject_blob(blocks: DataFrame, ratio: Column, keys: list[str] | None = None, base: str = BASE_SEED) -> DataFrame:
+    """Removal of a union of discs, filled along pixel rows between the nearest kept pixels.
+
+    Each block publishes the outermost kept pixel of each of its rows; a window along the
+    block row hands them on, so pixels are never exploded and a partition is one block row.
+    """
+    from pyspark.sql import Window
+
+    keys = keys or ["owner_id"]
+    df = blocks.join(blob_discs(blocks, ratio, keys, base), keys).withColumn("truth_px", F.transform(positions(), _covered))
+    side = F.col("block")
+    kept = F.transform(
+        positions(),
+        lambda p: F.when(
+            ~F.element_at("truth_px", p + 1),
+            F.struct((F.col("c") * side + p % side).alias("x"), F.element_at("px", p + 1).alias("v")),
+        ),
+    )
+    df = df.withColumn("_kept", kept)
+    row = Window.partitionBy(*keys, "ch", "r").orderBy("c")
+    before, after = row.rowsBetween(Window.unboundedPreceding, -1), row.rowsBetween(1, Window.unboundedFollowing)
+    in_row = lambda i: F.slice("_kept", (F.lit(i) * side + 1).cast("int"), side.cast("int"))
+    rows = 8
+    ends = [
+        F.struct(F.array_min(in_row(i)).alias("first"), F.array_max(in_row(i)).alias("last")).alias(f"_e{i}") for i in range(rows)
+    ]
+    df = df.select("*", *[F.when(F.lit(i) < side, e).alias(f"_e{i}") for i, e in enumerate(ends)])
+    df = df.select(
+        "*",
+        F.array(*[F.last(F.col(f"_e{i}.last"), ignorenulls=True).over(before) for i in range(rows)]).alias("_left"),
+        F.array(*[F.first(F.col(f"_e{i}.first"), ignorenulls=True).over(after) for i in range(rows)]).alias("_right"),
+    )
+
+    def fill(p):
+        i = F.floor(p / side).cast("int")
+        x = F.col("c") * side + p % side
+        mine = F.slice("_kept", i * side.cast("int") + 1, side.cast("int"))
+        left = F.coalesce(F.array_max(F.filter(mine, lambda s: s["x"] < x)), F.element_at("_left", i + 1))
+        right = F.coalesce(F.array_min(F.filter(mine, lambda s: s["x"] > x)), F.element_at("_right", i + 1))
+        between = F.floor(
+            (left["v"] * (right["x"] - x) + right["v"] * (x - left["x"])) / F.greatest(right["x"] - left["x"], F.lit(1))
+        ).cast("int")
+        return F.coalesce(between, left["v"], right["v"], F.lit(128))
+
+    out = write_inside(df, F.transform(positions(), fill))
+    return out.drop("_kept", "_left", "_right", "_discs", "_ri", *[f"_e{i}" for i in range(rows)])
+
+
+# -- scattered patches, single bits, whole blocks ----------------------------
+
+def inject_scatter(blocks: DataFrame, ratio: Column, base: str = BASE_SEED) -> DataFrame:
+    """Block-sized noise patches at hashed pixel origins, as many as the area share needs.
+
+    A patch overlaps at most four blocks; it is sent to those by key.
+    """
+    df = with_seed(blocks, F.lit("scatter"), ratio, base)
+    side = F.col("block")
+    count = F.ceil(ratio.cast("double") * F.col("height") * F.col("width") / (side * side)).cast("bigint")
+    owners = df.filter((F.col("idx") == 0) & (F.col("ch") == 0)).select(
+        "owner_id", "height", "width", "block", "ncols", "seed", F.explode(F.sequence(F.lit(1).cast("bigint"), count)).alias("_i")
+    )
+    from ..functions.hashing import hash_fraction
+
+    at = lambda axis, limit: F.floor(hash_fraction(F.sha2(utf8(F.concat_ws(
+        "|", F.col("seed").cast("string"), F.lit(axis), F.col("_i").cast("string"))), 256)) * (limit - side + 1)).cast("bigint")
+    patches = owners.withColumn("py", at("py", F.col("height"))).withColumn("px0", at("px", F.col("width")))
+    corner = lambda oy, ox: (
+        F.floor((F.col("py") + oy * (side - 1)) / side) * F.col("ncols") + F.floor((F.col("px0") + ox * (side - 1)) / side)
+    ).cast("bigint")
+    touched = F.array_distinct(F.array(*[corner(oy, ox) for oy in (0, 1) for ox in (0, 1)]))
+    hits = (
+        patches.select("owner_id", "py", "px0", F.explode(touched).alias("idx"))
+        .groupBy("owner_id", "idx").agg(F.collect_set(F.struct("py", "px0")).alias("_patches"))
+    )
+    df = df.join(hits, ["owner_id", "idx"], "left")
+
+    def inside(p):
+        y, x = pixel_yx(p)
+        return F.coalesce(
+            F.exists("_patches", lambda o: (y >= o["py"]) & (y < o["py"] + side) & (x >= o["px0"]) & (x < o["px0"] + side)),
+            F.lit(False),
+        )
+
+    df = df.withColumn("truth_px", F.transform(positions(), inside)).drop("_patches")
+    return write_inside(df, noise_bytes())
+
+
+def inject_bitflip(blocks: DataFrame, share: float = 0.2, base: str = BASE_SEED) -> DataFrame:
+    """Flip bit 4 of one centre pixel in mutually isolated blocks.
+
+    A block is chosen when its digest is below the share and the least among its
+    neighbours' digests; those are computed, not joined.
+    """
+    df = with_seed(blocks, F.lit("bitflip"), F.lit(str(share)), base)
+    digest = lambda idx: F.sha2(utf8(F.concat_ws("|", F.col("seed").cast("string"), idx.cast("string"))), 256)
+    nrows = F.col("k") / F.col("ncols")
+    others = []
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            if dy or dx:
+                y, x = F.col("r") + dy, F.col("c") + dx
+                ok = (y >= 0) & (y < nrows) & (x >= 0) & (x < F.col("ncols"))
+                others.append(F.when(ok, digest(y * F.col("ncols") + x)))
+    from ..functions.hashing import hash_fraction
+
+    mine = digest(F.col("idx"))
+    chosen = (hash_fraction(mine) < share) & F.coalesce(mine < F.least(*others), F.lit(True))
+    centre = (F.col("block") / 2 * F.col("block") + F.col("block") / 2).cast("int")
+    df = df.withColumn("_hit", chosen & (F.col("ch") == 0))
+    df = df.withColumn("truth_px", F.transform(positions(), lambda p: F.col("_hit") & (p == centre)))
+    return write_inside(df, F.transform("px", lambda v: v.bitwiseXOR(4))).drop("_hit")
+
+
+def centre_block() -> Column:
+    nrows = F.floor(F.col("k") / F.col("ncols"))
+    return (F.floor(nrows / 2) * F.col("ncols") + F.floor(F.col("ncols") / 2)).cast("bigint")
+
+
+def nearest_block(blocks: DataFrame) -> DataFrame:
+    """(owner_id, dst, src, diff): the block whose pixel sum is closest to the centre block's, itself excluded."""
+    total = F.aggregate("px", F.lit(0).cast("bigint"), lambda s, v: s + v)
+    sums = blocks.filter(F.col("ch") == 0).select("owner_id", "idx", centre_block().alias("dst"), total.alias("total"))
+    target = sums.filter(F.col("idx") == F.col("dst")).select("owner_id", F.col("total").alias("wanted"))
+    gap = F.abs(F.col("total") - F.col("wanted"))
+    best = F.min(F.struct(gap.alias("diff"), F.col("idx").alias("src")))
+    return (
+        sums.filter(F.col("idx") != F.col("dst")).join(target, "owner_id")
+        .groupBy("owner_id", "dst").agg(best.alias("b")).select("owner_id", "dst", "b.src", "b.diff")
+    )
+
+
+def transplant(blocks: DataFrame, moves: DataFrame) -> DataFrame:
+    """Copy whole sealed blocks inside their owner; ``moves`` is (owner_id, dst, src)."""
+    taken = blocks.join(moves.select("owner_id", "dst", F.col("src").alias("idx")), ["owner_id", "idx"]).select(
+        "owner_id", F.col("dst").alias("idx"), "ch", F.col("px").alias("_moved")
+    )
+    df = blocks.join(taken, ["owner_id", "ch", "idx"], "left").withColumn("px_before", F.col("px"))
+    moved = F.col("_moved").isNotNull()
+    return (
+        df.withColumn("truth_px", F.transform("px", lambda v: moved))
+        .withColumn("px", F.coalesce("_moved", "px")).drop("_moved")
+    )
+
+
+def destroy_blocks(blocks: DataFrame, targets: DataFrame, base: str = BASE_SEED) -> DataFrame:
+    """Overwrite whole blocks with noise; ``targets`` is (owner_id, idx)."""
+    df = with_seed(blocks, F.lit("coincidence"), F.lit("0"), base)
+    df = df.join(targets.select("owner_id", "idx", F.lit(True).alias("_hit")), ["owner_id", "idx"], "left")
+    df = df.withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    df = df.withColumn("truth_px", F.transform("px", lambda v: F.col("_hit"))).drop("_hit")
+    return write_inside(df, noise_bytes())
+
+
+def damage_summary(damaged: DataFrame, keys: list[str]) -> DataFrame:
+    """Achieved area share, and region pixels that kept their value in every channel by coincidence."""
+    same = F.zip_with("px", "px_before", lambda a, b: a == b)
+    per_block = damaged.groupBy(*keys, "idx").agg(
+        F.first("truth_px").alias("t"), F.collect_list(same).alias("same"),
+    )
+    still = F.aggregate(
+        F.slice("same", 2, 3), F.element_at("same", 1), lambda acc, s: F.zip_with(acc, s, lambda a, b: a & b)
+    )
+    return (
+        per_block.withColumn("n_px", F.size("t").cast("bigint"))
+        .withColumn("hit", F.size(F.filter("t", lambda x: x)).cast("bigint"))
+        .withColumn("kept", F.size(F.filter(F.zip_with("t", still, lambda a, b: a & b), lambda x: x)).cast("bigint"))
+        .groupBy(*keys)
+        .agg(F.sum("n_px").alias("n_px"), F.sum("hit").alias("n_region_px"), F.sum("kept").alias("n_coincidental_px"))
+        .withColumn("achieved_ratio", F.col("n_region_px") / F.col("n_px"))
+    )

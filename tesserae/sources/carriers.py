@@ -13,7 +13,7 @@ from ..operators.ordering import dense_index
 from .tables import table
 
 GRID_COLUMNS = 6
-PAGE_ROWS = 8191
+PAGE_ROWS = 1024
 CHUNK = 64
 
 
