@@ -523,3 +523,141 @@ class Sql:
             "sum(inside)::BIGINT AS sq_pes, sum(hit)::BIGINT AS n_pes, sum(CASE WHEN ch = 0 THEN hit ELSE 0 END)::BIGINT AS n_tampered_px, "
             f"sum(CASE WHEN ch = 0 AND unrecoverable THEN n ELSE 0 END)::BIGINT AS n_unrecoverable_px FROM {name}_b GROUP BY ALL",
         )
+
+    # -- more damage ---------------------------------------------------------
+
+    def preset(self, src: str, name: str, kind: str, ratio: str, base: str = "20260811") -> "Sql":
+        self.add(f"{name}_s", f"SELECT *, {seed(repr(base), 'stem', repr(kind), repr(ratio))} AS seed, "
+                 f"least(greatest(1, round_even(sqrt({ratio} * height * width), 0)::BIGINT), height, width) AS size FROM {src}")
+        if kind == "corner":
+            y0 = x0 = "0"
+        else:
+            y0, x0 = "greatest(0, height // 2 - size // 2)", "greatest(0, width // 2 - size // 2)"
+        self.add(f"{name}_y", f"SELECT *, {y0} AS y0, {x0} AS x0 FROM {name}_s")
+        self.add(f"{name}_x", f"SELECT * EXCLUDE (size), least(height, y0 + size) AS y1, least(width, x0 + size) AS x1 FROM {name}_y")
+        inside = "(r * block + p // block >= y0 AND r * block + p // block < y1 AND c * block + p % block >= x0 AND c * block + p % block < x1)"
+        return self.add(name, f"SELECT *, list_transform(range(block * block), lambda p: {inside}) AS truth_px FROM {name}_x")
+
+    def splice_sources(self, src: str, name: str) -> "Sql":
+        w = "PARTITION BY height, width ORDER BY label, page"
+        full = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+        return self.add(
+            name,
+            f"SELECT owner_id, stem, height, width, CASE WHEN nx <> owner_id THEN nx END AS source_id FROM (SELECT *, "
+            f"coalesce(lead(owner_id) OVER ({w}), first_value(owner_id) OVER ({w} {full})) AS nx FROM {src} WHERE idx = 0 AND ch = 0)",
+        )
+
+    def spliced(self, src: str, name: str, sources: str, donors: str, ratio: str, keys: str = "owner_id", same: str = "") -> "Sql":
+        """Pixel by pixel: the source pixel at the same place, or mirrored through the centre."""
+        self.region(src, f"{name}_g", "'splice'", ratio)
+        self.add(
+            f"{name}_u",
+            f"SELECT {keys}, {same}g.ch, g.idx, p, coalesce(source_id, owner_id) AS from_id, ncols, "
+            "r * block + p // block + CASE WHEN source_id IS NULL THEN height - y1 - y0 ELSE 0 END AS sy, "
+            "c * block + p % block + CASE WHEN source_id IS NULL THEN width - x1 - x0 ELSE 0 END AS sx, block "
+            f"FROM (SELECT *, unnest(range(block * block)) AS p, unnest(truth_px) AS t FROM {name}_g) g "
+            f"LEFT JOIN (SELECT owner_id, source_id FROM {sources}) USING (owner_id) WHERE t",
+        )
+        on = " AND ".join(f"a.{s.strip()} = b.{s.strip()}" for s in same.split(",") if s.strip())
+        bare = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+        self.add(
+            f"{name}_v",
+            f"SELECT {bare}, a.ch, a.idx, list(struct_pack(p := p, v := b.px[((sy % a.block) * a.block + sx % a.block + 1)::INT])) AS fills FROM {name}_u a JOIN "
+            f"(SELECT owner_id AS from_id, {same}ch, idx, px FROM {donors}) b ON a.from_id = b.from_id AND a.ch = b.ch "
+            f"AND b.idx = (sy // a.block) * a.ncols + sx // a.block {'AND ' + on if on else ''} GROUP BY ALL",
+        )
+        return self.add(
+            name,
+            f"SELECT * EXCLUDE (px, fills), px AS px_before, CASE WHEN fills IS NULL THEN px ELSE list_transform(range(len(px)), lambda i: "
+            f"coalesce(list_filter(fills, lambda f: f.p = i)[1].v, px[(i+1)::INT])::INT) END AS px FROM {name}_g LEFT JOIN {name}_v USING ({keys}, ch, idx)",
+        )
+
+    def refilled(self, src: str, name: str, ratio: str, block: int = 8, keys: str = "owner_id") -> "Sql":
+        self.region(src, f"{name}_g", "'crop_refill'", ratio)
+        self.add(f"{name}_f", f"SELECT *, {noise('seed', 'owner_id', 'ch', 'idx', block * block)} AS nz FROM {name}_g")
+        self.add(
+            f"{name}_u",
+            f"SELECT {keys}, ch, y0, y1, x0, x1, r * block + p // block AS y, c * block + p % block AS x, v::BIGINT AS v, f::BIGINT AS f, t FROM "
+            f"(SELECT *, unnest(range(block * block)) AS p, unnest(px) AS v, unnest(nz) AS f, unnest(truth_px) AS t FROM {name}_f)",
+        )
+        iny, inx = "(y >= y0 AND y < y1)", "(x >= x0 AND x < x1)"
+        ny = "((y >= y0 - 5 AND y < y0) OR (y >= y1 AND y < y1 + 5))"
+        nx = "((x >= x0 - 5 AND x < x0) OR (x >= x1 AND x < x1 + 5))"
+        ring = f"(({ny} AND {inx}) OR ({nx} AND {iny}))"
+        self.add(
+            f"{name}_m",
+            f"SELECT {keys}, ch, count_if({ring}) AS rn, coalesce(sum(v) FILTER (WHERE {ring}), 0)::BIGINT AS rs, coalesce(sum(v * v) FILTER (WHERE {ring}), 0)::BIGINT AS rq, "
+            f"count(*) AS wn, sum(v)::BIGINT AS ws, sum(v * v)::BIGINT AS wq, count_if(t) AS pn, coalesce(sum(f) FILTER (WHERE t), 0)::BIGINT AS ps, "
+            f"coalesce(sum(f * f) FILTER (WHERE t), 0)::BIGINT AS pq FROM {name}_u GROUP BY ALL",
+        )
+        pick = lambda s: f"(CASE WHEN rn > 0 THEN r{s} ELSE w{s} END)"
+        self.add(
+            f"{name}_k",
+            f"SELECT {keys}, ch, {pick('s')} / {pick('n')} AS bm, sqrt(({pick('n')} * {pick('q')} - {pick('s')} * {pick('s')})::DOUBLE) / {pick('n')} AS bs, "
+            f"ps / greatest(pn, 1) AS pm, sqrt((pn * pq - ps * ps)::DOUBLE) / greatest(pn, 1) AS pd FROM {name}_m",
+        )
+        value = "greatest(0, least(255, floor(round((nz[(i+1)::INT] - pm) / (CASE WHEN pd > 1e-6 THEN pd ELSE 1.0 END) * bs + bm, 6))))::INT"
+        return self.add(
+            name,
+            f"SELECT * EXCLUDE (px, nz, bm, bs, pm, pd), px AS px_before, list_transform(range(len(px)), lambda i: CASE WHEN truth_px[(i+1)::INT] THEN {value} "
+            f"ELSE px[(i+1)::INT] END) AS px FROM {name}_f JOIN {name}_k USING ({keys}, ch)",
+        )
+
+    def blobbed(self, src: str, name: str, ratio: str, keys: str = "owner_id", base: str = "20260811") -> "Sql":
+        """Discs at pixel level, three rescale rounds, linear filling along pixel rows."""
+        self.add(
+            f"{name}_o0",
+            f"SELECT {keys}, height, width, {seed(repr(base), 'stem', repr('inpaint_removal'), ratio)} AS seed, ({ratio})::DOUBLE AS share FROM {src} WHERE idx = 0 AND ch = 0",
+        )
+        discs = ", ".join(
+            f"struct_pack(angle := {uniform('seed', f'angle{i}')} * 6.283185307179586, frac := {uniform('seed', f'frac{i}')} * 0.8)" for i in range(6)
+        )
+        self.add(
+            f"{name}_o1",
+            f"SELECT *, [{discs}][1:(floor({uniform('seed', 'discs')} * 4) + 3)::INT] AS circles, ({uniform('seed', 'cy')} * 0.5 + 0.25) * height AS cy, "
+            f"({uniform('seed', 'cx')} * 0.5 + 0.25) * width AS cx FROM {name}_o0",
+        )
+        self.add(f"{name}_r0", f"SELECT *, sqrt(share * height * width / (len(circles) * pi())) AS radius FROM {name}_o1")
+        placed = lambda t: (
+            f"SELECT *, greatest(1, round_even(radius, 0)::BIGINT) AS ri, list_transform(circles, lambda d: struct_pack("
+            f"y := round_even(cy + sin(d.angle) * d.frac * radius, 0)::BIGINT, x := round_even(cx + cos(d.angle) * d.frac * radius, 0)::BIGINT)) AS discs FROM {t}"
+        )
+        hit = "len(list_filter(discs, lambda d: (y - d.y) * (y - d.y) + (x - d.x) * (x - d.x) <= ri * ri)) > 0"
+        for i in range(3):
+            self.add(f"{name}_p{i}", placed(f"{name}_r{i}"))
+            self.add(f"{name}_a{i}", f"SELECT {keys}, count_if({hit}) AS area FROM (SELECT *, unnest(range(width)) AS x FROM (SELECT *, unnest(range(height)) AS y FROM {name}_p{i})) GROUP BY ALL")
+            self.add(
+                f"{name}_r{i + 1}",
+                f"SELECT p.* EXCLUDE (radius, ri, discs), radius * CASE WHEN area / (height * width) <= 1e-9 THEN 2.0 ELSE sqrt(share / (area / (height * width))) END AS radius "
+                f"FROM {name}_p{i} p JOIN {name}_a{i} USING ({keys})",
+            )
+        self.add(f"{name}_d", placed(f"{name}_r3"))
+        self.add(
+            f"{name}_u",
+            f"SELECT *, {hit} AS t FROM (SELECT {keys}, ch, idx, p, r * block + p // block AS y, c * block + p % block AS x, v FROM "
+            f"(SELECT *, unnest(range(block * block)) AS p, unnest(px) AS v FROM {src})) JOIN (SELECT {keys}, discs, ri FROM {name}_d) USING ({keys})",
+        )
+        w = f"PARTITION BY {keys}, ch, y ORDER BY x ROWS BETWEEN"
+        side = lambda fn, frame: f"{fn}(CASE WHEN NOT t THEN struct_pack(x := x, v := v) END IGNORE NULLS) OVER ({w} {frame})"
+        self.add(
+            f"{name}_w",
+            f"SELECT *, {side('last_value', 'UNBOUNDED PRECEDING AND CURRENT ROW')} AS lf, {side('first_value', 'CURRENT ROW AND UNBOUNDED FOLLOWING')} AS rt FROM {name}_u",
+        )
+        fill = (
+            "CASE WHEN NOT t THEN v WHEN lf IS NOT NULL AND rt IS NOT NULL THEN ((lf.v * (rt.x - x) + rt.v * (x - lf.x)) // (rt.x - lf.x))::INT "
+            "WHEN lf IS NOT NULL THEN lf.v WHEN rt IS NOT NULL THEN rt.v ELSE 128 END"
+        )
+        self.add(f"{name}_g", f"SELECT {keys}, ch, idx, list({fill} ORDER BY p) AS filled, list(t ORDER BY p) AS truth_px FROM {name}_w GROUP BY ALL")
+        return self.add(
+            name,
+            f"SELECT s.* EXCLUDE (px), px AS px_before, filled AS px, truth_px, o.seed FROM {src} s JOIN {name}_g USING ({keys}, ch, idx) "
+            f"JOIN (SELECT {keys}, seed FROM {name}_d) o USING ({keys})",
+        )
+
+    def damage_summary(self, src: str, name: str, keys: str = "owner_id") -> "Sql":
+        return self.add(
+            name,
+            f"SELECT {keys}, sum(n)::BIGINT AS n_px, sum(hit)::BIGINT AS n_region_px, sum(kept)::BIGINT AS n_coincidental_px FROM (SELECT {keys}, idx, count(DISTINCT p) AS n, "
+            f"count(DISTINCT p) FILTER (WHERE t) AS hit, count(DISTINCT p) FILTER (WHERE t AND same) AS kept FROM (SELECT {keys}, idx, p, bool_or(t) AS t, bool_and(a = b) AS same FROM "
+            f"(SELECT *, unnest(range(block * block)) AS p, unnest(truth_px) AS t, unnest(px) AS a, unnest(px_before) AS b FROM {src}) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL",
+        )
