@@ -1,2 +1,2 @@
-from . import blocks, damage, scores  # noqa: F401
+from . import blocks, damage, library, records, scores  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -168,7 +168,7 @@ def inject_summary(spark, d):
     _, s = sealed(spark, d, 3)
     sources = inject.splice_sources(s)
     # one plan per class over all nominal shares, instead of one per class and share
-    shares = s.crossJoin(F.broadcast(s.sparkSession.createDataFrame([(r,) for r in RATIOS], "nominal string")))
+    shares = s.withColumn("nominal", F.explode(F.array(*[F.lit(r) for r in RATIOS])))
     keys, ratio = ["nominal", "owner_id"], F.col("nominal")
     parts = {
         "splice": inject.inject_splice(shares, sources, s, ratio, keys), "inpaint_removal": inject.inject_blob(shares, ratio, keys),
