@@ -12,9 +12,6 @@ from pyspark.sql import Column, functions as F
 # Payload split per block side -> (capacity, tag, backup) in bits.
 BUDGET = {8: (128, 32, 96), 4: (32, 16, 16)}
 
-HEX = "0123456789ABCDEF"
-
-
 def budget(block: int) -> tuple[int, int, int]:
     return BUDGET[block]
 
@@ -23,19 +20,23 @@ def msb(px: Column) -> Column:
     return F.transform(px, lambda v: v.bitwiseAND(252))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    A column used inside an array lambda may be inlined there by the optimizer and then
+    run once per element; binding it as the element of a one-element array prevents that.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def to_bytes(values: Column) -> Column:
     """array<int> of 0..255 -> binary."""
-    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), ""))
+    return F.encode(F.array_join(F.transform(values, lambda v: F.char(v.cast("bigint"))), ""), "ISO-8859-1")
 
 
 def from_bytes(data: Column) -> Column:
     """binary -> array<int> of 0..255."""
-    text = F.hex(data)
-    nibble = lambda at: F.instr(F.lit(HEX), F.substr(text, at, F.lit(1))) - 1
-    return F.transform(
-        F.sequence(F.lit(0), F.octet_length(data) - 1),
-        lambda i: (nibble(i * 2 + 1) * 16 + nibble(i * 2 + 2)).cast("int"),
-    )
+    return F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: F.ascii(c))
 
 
 def msb_bytes(px: Column) -> Column:
@@ -45,23 +46,28 @@ def msb_bytes(px: Column) -> Column:
 def payload(px: Column, block: int) -> Column:
     """The bytes held in the two low bits of a block."""
 
-    def byte(k):
-        pair = lambda j: F.element_at(px, (k * 4 + j + 1).cast("int")).bitwiseAND(3)
-        return pair(0) * 64 + pair(1) * 16 + pair(2) * 4 + pair(3)
+    def read(x):
+        def byte(k):
+            pair = lambda j: F.element_at(x, (k * 4 + j + 1).cast("int")).bitwiseAND(3)
+            return pair(0) * 64 + pair(1) * 16 + pair(2) * 4 + pair(3)
 
-    return to_bytes(F.transform(F.sequence(F.lit(0), F.lit(block * block // 4 - 1)), byte))
+        return to_bytes(F.transform(F.sequence(F.lit(0), F.lit(block * block // 4 - 1)), byte))
+
+    return let(px, read)
 
 
 def with_payload(px: Column, data: Column) -> Column:
     """Write payload bytes into the two low bits; the upper six bits are untouched."""
-    text = F.hex(data)
 
-    def pixel(v, p):
-        nibble = F.instr(F.lit(HEX), F.substr(text, (p / 2).cast("int") + 1, F.lit(1))) - 1
-        pair = F.when(p % 2 == 0, F.shiftright(nibble, 2)).otherwise(nibble.bitwiseAND(3))
-        return v.bitwiseAND(252).bitwiseOR(pair).cast("int")
+    def write(low):
+        def pixel(v, p):
+            byte = F.element_at(low, F.shiftright(p, 2) + 1)
+            pair = F.floor(byte / F.element_at(F.array(*[F.lit(s) for s in (64, 16, 4, 1)]), p % 4 + 1)).cast("int")
+            return v.bitwiseAND(252).bitwiseOR(pair.bitwiseAND(3))
+
+        return F.transform(px, pixel)
 
-    return F.transform(px, pixel)
+    return let(from_bytes(data), write)
 
 
 def squared_error(a: Column, b: Column) -> Column:

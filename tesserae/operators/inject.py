@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import derive_seed, uniform, utf8
-from ..functions.pixels import from_bytes
+from ..functions.pixels import from_bytes, let
 
 BASE_SEED = "20260811"
 
@@ -64,11 +64,12 @@ def with_preset(blocks: DataFrame, kind: Column, ratio: Column) -> DataFrame:
 
 
 def rectangle_truth(df: DataFrame) -> DataFrame:
-    def inside(p):
+    def inside(g, p):
         y, x = pixel_yx(p)
-        return (y >= F.col("y0")) & (y < F.col("y1")) & (x >= F.col("x0")) & (x < F.col("x1"))
+        return (y >= g["y0"]) & (y < g["y1"]) & (x >= g["x0"]) & (x < g["x1"])
 
-    return df.withColumn("truth_px", F.transform(positions(), inside))
+    corners = F.struct("y0", "x0", "y1", "x1")
+    return df.withColumn("truth_px", let(corners, lambda g: F.transform(positions(), lambda p: inside(g, p))))
 
 
 def noise_bytes() -> Column:
@@ -147,18 +148,18 @@ def inject_splice(blocks: DataFrame, sources: DataFrame, donors: DataFrame, rati
     df = df.withColumn("_dy", dy).withColumn("_dx", dx)
     side = F.col("block")
 
-    def wanted(p):
+    def wanted(t, p):
         y, x = pixel_yx(p)
         y, x = y + F.col("_dy"), x + F.col("_dx")
         cell = F.struct(
             (F.floor(y / side) * F.col("ncols") + F.floor(x / side)).cast("bigint").alias("idx"),
             ((y % side) * side + x % side).cast("int").alias("p"),
         )
-        return F.when(F.element_at("truth_px", (p + 1).cast("int")), cell)
+        return F.when(t, cell)
 
     asks = (
         df.filter(F.exists("truth_px", lambda t: t))
-        .withColumn("_want", F.transform(positions(), wanted))
+        .withColumn("_want", F.transform("truth_px", wanted))
         .select(
             *keys, *[c for c in same if c not in keys], "ch", "idx", "_want",
             F.coalesce("source_id", "owner_id").alias("_from"),
@@ -203,16 +204,17 @@ def inject_refill(blocks: DataFrame, ratio: Column, keys: list[str] | None = Non
     keys = keys or ["owner_id"]
     df = rectangle_truth(with_rectangle(with_seed(blocks, F.lit("crop_refill"), ratio, base), ratio))
 
-    def in_ring(p):
+    def in_ring(g, p):
         y, x = pixel_yx(p)
-        in_y, in_x = (y >= F.col("y0")) & (y < F.col("y1")), (x >= F.col("x0")) & (x < F.col("x1"))
-        near_y = ((y >= F.col("y0") - RING) & (y < F.col("y0"))) | ((y >= F.col("y1")) & (y < F.col("y1") + RING))
-        near_x = ((x >= F.col("x0") - RING) & (x < F.col("x0"))) | ((x >= F.col("x1")) & (x < F.col("x1") + RING))
+        in_y, in_x = (y >= g["y0"]) & (y < g["y1"]), (x >= g["x0"]) & (x < g["x1"])
+        near_y = ((y >= g["y0"] - RING) & (y < g["y0"])) | ((y >= g["y1"]) & (y < g["y1"] + RING))
+        near_x = ((x >= g["x0"] - RING) & (x < g["x0"])) | ((x >= g["x1"]) & (x < g["x1"] + RING))
         return (near_y & in_x) | (near_x & in_y)
 
     df = df.withColumn("_field", noise_bytes())
-    df = df.withColumn("_ring", F.filter("px", lambda v, i: in_ring(i)))
-    df = df.withColumn("_in", F.filter("_field", lambda v, i: F.element_at("truth_px", i + 1)))
+    corners = F.struct("y0", "x0", "y1", "x1")
+    df = df.withColumn("_ring", let(corners, lambda g: F.filter("px", lambda v, i: in_ring(g, i))))
+    df = df.withColumn("_in", F.filter(F.zip_with("_field", "truth_px", lambda v, t: F.when(t, v)), lambda v: v.isNotNull()))
 
     def sums(name, col):
         total = F.aggregate(col, F.lit(0).cast("bigint"), lambda s, v: s + v)
@@ -305,11 +307,8 @@ def inject_blob(blocks: DataFrame, ratio: Column, keys: list[str] | None = None,
     df = blocks.join(blob_discs(blocks, ratio, keys, base), keys).withColumn("truth_px", F.transform(positions(), _covered))
     side = F.col("block")
     kept = F.transform(
-        positions(),
-        lambda p: F.when(
-            ~F.element_at("truth_px", p + 1),
-            F.struct((F.col("c") * side + p % side).alias("x"), F.element_at("px", p + 1).alias("v")),
-        ),
+        F.arrays_zip(F.col("px").alias("v"), F.col("truth_px").alias("t")),
+        lambda z, p: F.when(~z["t"], F.struct((F.col("c") * side + p % side).alias("x"), z["v"].alias("v"))),
     )
     df = df.withColumn("_kept", kept)
     row = Window.partitionBy(*keys, "ch", "r").orderBy("c")
@@ -402,7 +401,7 @@ def inject_bitflip(blocks: DataFrame, share: float = 0.2, base: str = BASE_SEED)
     chosen = (hash_fraction(mine) < share) & F.coalesce(mine < F.least(*others), F.lit(True))
     centre = (F.col("block") / 2 * F.col("block") + F.col("block") / 2).cast("int")
     df = df.withColumn("_hit", chosen & (F.col("ch") == 0))
-    df = df.withColumn("truth_px", F.transform(positions(), lambda p: F.col("_hit") & (p == centre)))
+    df = df.withColumn("truth_px", let(F.col("_hit"), lambda h: F.transform(positions(), lambda p: h & (p == centre))))
     return write_inside(df, F.transform("px", lambda v: v.bitwiseXOR(4))).drop("_hit")
 
 
