@@ -295,16 +295,18 @@ def blob_discs(blocks: DataFrame, ratio: Column, keys: list[str] | None = None,
     return _with_discs(owners).select(*keys, "seed", "_discs", "_ri")
 
 
-def inject_blob(blocks: DataFrame, ratio: Column, keys: list[str] | None = None, base: str = BASE_SEED) -> DataFrame:
+def inject_blob(blocks: DataFrame, ratio: Column, keys: list[str] | None = None, base: str = BASE_SEED,
+                geometry: DataFrame | None = None) -> DataFrame:
     """Removal of a union of discs, filled along pixel rows between the nearest kept pixels.
 
     Each block publishes the outermost kept pixel of each of its rows; a window along the
     block row hands them on, so pixels are never exploded and a partition is one block row.
+    ``geometry`` may name a cheaper frame with the same keys to place the discs from.
     """
     from pyspark.sql import Window
 
     keys = keys or ["owner_id"]
-    df = blocks.join(blob_discs(blocks, ratio, keys, base), keys).withColumn("truth_px", F.transform(positions(), _covered))
+    df = blocks.join(blob_discs(geometry if geometry is not None else blocks, ratio, keys, base), keys).withColumn("truth_px", F.transform(positions(), _covered))
     side = F.col("block")
     kept = F.transform(
         F.arrays_zip(F.col("px").alias("v"), F.col("truth_px").alias("t")),

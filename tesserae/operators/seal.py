@@ -33,8 +33,9 @@ def tag_hex(variant: str, block: int, px: Column, carried: Column | None) -> Col
     return F.substring(digest, 1, budget(block)[1] // 4)
 
 
-def seal(blocks: DataFrame, ring: DataFrame, variant: str, block: int = 8, bound: bool = True) -> DataFrame:
-    """Blocks -> sealed blocks.
+def seal(blocks: DataFrame, ring: DataFrame, variant: str, block: int = 8, bound: bool = True,
+         extra: list[str] | None = None) -> DataFrame:
+    """Blocks -> sealed blocks; ``extra`` names columns besides owner_id that tell copies apart.
 
     Adds holder, carries, desc (the block's own backup), carried (its partner's, which it
     stores), tag, and px_sealed with tag and carried backup in the two low bits.  The
@@ -42,7 +43,7 @@ def seal(blocks: DataFrame, ring: DataFrame, variant: str, block: int = 8, bound
     """
     keep = [c for c in blocks.columns]
     coded = with_backup(blocks, variant, block)
-    placed = with_neighbours(coded, ring, ["idx", "desc"])
+    placed = with_neighbours(coded, ring, ["idx", "desc"], (extra or []) + ["owner_id", "ch"])
     placed = placed.select(
         *keep, "desc", F.col("next_idx").alias("holder"), F.col("prev_idx").alias("carries"),
         F.col("prev_desc").alias("carried"),

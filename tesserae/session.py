@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,6 +36,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends, columns still prune.
+
+    For results that several aggregates read, where Spark would otherwise run the whole
+    plan once per reader.  A lost executor costs a re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tesserae-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def local_session(cpus: int | str = 8, app: str = "tesserae") -> SparkSession:
     """A local session for tests and the bench."""
     builder = (
