@@ -78,7 +78,11 @@ def family_sql(q: Sql, src: str, n: str, variant: str, block: int) -> Sql:
     return q.repaired(f"{n}_st", f"{n}_rep", variant, block, keys="run_id, ch, idx")
 
 
-LOC_ALL = lambda: ", ".join(sql_scores(p, lv) for p, lv in (("raw_block_", "raw"), ("block_", "block"), ("px_", "px")))
+def _plain(value: str, name: str) -> str:
+    return f"({value})::DOUBLE AS {name}"
+
+
+LOC_ALL = lambda: ", ".join(sql_scores(p, lv, _plain) for p, lv in (("raw_block_", "raw"), ("block_", "block"), ("px_", "px")))
 
 
 def runs_sql() -> Sql:
@@ -112,10 +116,10 @@ def runs_sql() -> Sql:
         f"""SELECT c.run_id, c.condition, c.dataset, c.stem AS image_name, c.stem || '|' || c.height || 'x' || c.width || '|' || c.block_size AS image_id, c.width::BIGINT AS width, c.height::BIGINT AS height,
             1::BIGINT AS channels, c.tamper_class, c.nominal AS tamper_ratio_nominal,
             CASE WHEN c.condition = 'tamper' THEN ({achieved} // 1000000) || '.' || lpad(({achieved} % 1000000)::VARCHAR, 6, '0') ELSE '' END AS tamper_ratio_achieved,
-            c.variant AS recovery_variant, c.block_size::BIGINT AS block_size, c.run_key::BIGINT AS key_id, 20260811::BIGINT AS seed, {sql_r6('wm_psnr', 'wm_psnr')}, {sql_r6('wm_ssim', 'wm_ssim')}, {LOC_ALL()},
-            {sql_r6('recoverability_rate', 'recoverability_rate')}, {sql_r6(S.psnr('sq_opt', 'n_opt'), 'psnr_in_region')}, {sql_r6('ssim_in_region', 'ssim_in_region')},
-            {sql_r6(S.psnr('sq_pes', 'n_pes'), 'psnr_pessimistic')}, {sql_r6('ssim_pessimistic', 'ssim_pessimistic')}, {sql_r6(S.psnr('sq_marked', 'n_all'), 'psnr_whole_marked')},
-            {sql_r6(S.psnr('sq_unmarked', 'n_all'), 'psnr_whole_unmarked')}, {sql_r6('ssim', 'ssim_whole_marked')}, n_tampered_blocks, n_unrecoverable_blocks, n_tampered_px, n_unrecoverable_px,
+            c.variant AS recovery_variant, c.block_size::BIGINT AS block_size, c.run_key::BIGINT AS key_id, 20260811::BIGINT AS seed, {_plain('wm_psnr', 'wm_psnr')}, {_plain('wm_ssim', 'wm_ssim')}, {LOC_ALL()},
+            {_plain('recoverability_rate', 'recoverability_rate')}, {_plain(S.psnr('sq_opt', 'n_opt'), 'psnr_in_region')}, {_plain('ssim_in_region', 'ssim_in_region')},
+            {_plain(S.psnr('sq_pes', 'n_pes'), 'psnr_pessimistic')}, {_plain('ssim_pessimistic', 'ssim_pessimistic')}, {_plain(S.psnr('sq_marked', 'n_all'), 'psnr_whole_marked')},
+            {_plain(S.psnr('sq_unmarked', 'n_all'), 'psnr_whole_unmarked')}, {_plain('ssim', 'ssim_whole_marked')}, n_tampered_blocks, n_unrecoverable_blocks, n_tampered_px, n_unrecoverable_px,
             n_coincidental_px AS n_coincidental_unchanged_px, n_msb AS n_msb_preserved_miss_blocks, block_fp AS n_false_positive_blocks, (block_tp + block_fp + block_fn + block_tn)::BIGINT AS n_blocks_total
             FROM cells c JOIN wm ON c.stem = wm.stem AND c.run_key = wm.key_id AND c.variant = wm.variant AND c.block_size = wm.block_size
             JOIN cf USING (run_id) JOIN fs USING (run_id) JOIN ds USING (run_id) JOIN ss USING (run_id) JOIN rr USING (run_id) JOIN mm USING (run_id)""",
@@ -126,7 +130,12 @@ RUNS = runs_sql()
 CELLS = cells_sql(Sql().vectors("fa"))
 
 
-@query("grid_scores", RUNS.select("SELECT * FROM runs"))
+TEXT = ("run_id", "condition", "dataset", "image_name", "image_id", "tamper_class", "tamper_ratio_nominal", "tamper_ratio_achieved", "recovery_variant")
+WHOLE = ("width", "height", "channels", "block_size", "key_id", "seed")
+SHOWN = ", ".join(c if c in TEXT + WHOLE or c.startswith("n_") else sql_r6(c, c) for c in grid.RUN_COLUMNS)
+
+
+@query("grid_scores", RUNS.select(f"SELECT {SHOWN} FROM runs"))
 def grid_scores(spark, d):
     """Every cell sealed once per key, damaged, verified, repaired and scored."""
     rows = run_rows(spark, d)

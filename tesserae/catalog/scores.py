@@ -22,14 +22,14 @@ def scored_sql():
     return repaired_sql(**ARGS)
 
 
-def sql_scores(prefix: str, level: str) -> str:
+def sql_scores(prefix: str, level: str, shown=sql_r6) -> str:
     tp, fp, fn, tn = (f"{level}_{c}" for c in ("tp", "fp", "fn", "tn"))
     p = f"CASE WHEN {tp} + {fp} > 0 THEN {tp} / ({tp} + {fp}) ELSE 1.0 END"
     r = f"CASE WHEN {tp} + {fn} > 0 THEN {tp} / ({tp} + {fn}) ELSE 1.0 END"
     f1 = f"CASE WHEN ({p}) + ({r}) > 0 THEN 2 * ({p}) * ({r}) / (({p}) + ({r})) ELSE 0.0 END"
     iou = f"CASE WHEN {tp} + {fp} + {fn} > 0 THEN {tp} / ({tp} + {fp} + {fn}) ELSE 1.0 END"
     fpr = f"CASE WHEN {fp} + {tn} > 0 THEN {fp} / ({fp} + {tn}) ELSE 0.0 END"
-    return ", ".join(sql_r6(e, f"{prefix}{n}") for e, n in ((p, "precision"), (r, "recall"), (f1, "f1"), (iou, "iou"), (fpr, "fpr")))
+    return ", ".join(shown(e, f"{prefix}{n}") for e, n in ((p, "precision"), (r, "recall"), (f1, "f1"), (iou, "iou"), (fpr, "fpr")))
 
 
 @query(

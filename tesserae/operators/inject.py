@@ -288,10 +288,14 @@ def blob_discs(blocks: DataFrame, ratio: Column, keys: list[str] | None = None,
             _with_discs(owners).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
             .withColumn("r", F.floor(F.col("idx") / F.col("ncols"))).withColumn("c", F.col("idx") % F.col("ncols"))
         )
-        area = cells.groupBy(*keys).agg(F.sum(F.size(F.filter(positions(), _covered)).cast("bigint")).alias("_area"))
+        # one aggregation per round; the owner's own columns ride along, so nothing is joined back
+        carried = [c for c in owners.columns if c not in keys]
+        owners = cells.groupBy(*keys).agg(
+            F.sum(F.size(F.filter(positions(), _covered)).cast("bigint")).alias("_area"), *[F.first(c).alias(c) for c in carried]
+        )
         got = F.col("_area") / (F.col("height") * F.col("width"))
         grow = F.when(got <= 1e-9, F.lit(2.0)).otherwise(F.sqrt(F.col("_share") / F.greatest(got, F.lit(1e-9))))
-        owners = owners.join(area, keys).withColumn("_radius", F.col("_radius") * grow).drop("_area")
+        owners = owners.withColumn("_radius", F.col("_radius") * grow).drop("_area")
     return _with_discs(owners).select(*keys, "seed", "_discs", "_ri")
 
 
@@ -327,7 +331,7 @@ def inject_blob(blocks: DataFrame, ratio: Column, keys: list[str] | None = None,
         F.array(*[F.first(F.col(f"_e{i}.first"), ignorenulls=True).over(after) for i in range(rows)]).alias("_right"),
     )
 
-    def fill(p):
+    def fill(t, p):
         i = F.floor(p / side).cast("int")
         x = F.col("c") * side + p % side
         mine = F.slice("_kept", i * side.cast("int") + 1, side.cast("int"))
@@ -336,9 +340,9 @@ def inject_blob(blocks: DataFrame, ratio: Column, keys: list[str] | None = None,
         between = F.floor(
             (left["v"] * (right["x"] - x) + right["v"] * (x - left["x"])) / F.greatest(right["x"] - left["x"], F.lit(1))
         ).cast("int")
-        return F.coalesce(between, left["v"], right["v"], F.lit(128))
+        return F.when(t, F.coalesce(between, left["v"], right["v"], F.lit(128)))
 
-    out = write_inside(df, F.transform(positions(), fill))
+    out = write_inside(df, F.transform("truth_px", fill))
     return out.drop("_kept", "_left", "_right", "_discs", "_ri", *[f"_e{i}" for i in range(rows)])
 
 

@@ -13,23 +13,25 @@ def marker(px: Column) -> Column:
     return F.transform(px, lambda v: F.lit(MARKER))
 
 
-def repair(state: DataFrame, variant: str, block: int = 8) -> DataFrame:
+def repair(state: DataFrame, variant: str | list[str], block: int = 8) -> DataFrame:
     """Add px_repaired: decoded backup where recoverable, marker where not, otherwise as received.
 
     Decoded pixels have cleared low bits, so a repaired block never verifies as authentic.
-    Rows that need no decoding hand NULL to the decoder.
+    Rows that need no decoding hand NULL to the decoder.  With several variants the frame
+    names each row's own in a column ``variant``.
     """
-    backup = F.when(F.col("recoverable"), F.col("own_desc"))
-    return (
-        state.withColumn("_decoded", decode(backup, variant, block))
-        .withColumn(
-            "px_repaired",
-            F.when(F.col("recoverable"), F.col("_decoded"))
-            .when(F.col("unrecoverable"), marker(F.col("px")))
-            .otherwise(F.col("px")),
-        )
-        .drop("_decoded")
-    )
+    df = state
+    names = [variant] if isinstance(variant, str) else variant
+    for v in names:
+        mine = F.col("recoverable") & (F.lit(True) if len(names) == 1 else F.col("variant") == v)
+        df = df.withColumn(f"_decoded_{v}", decode(F.when(mine, F.col("own_desc")), v, block))
+    decoded = [f"_decoded_{v}" for v in names]
+    return df.withColumn(
+        "px_repaired",
+        F.when(F.col("recoverable"), F.coalesce(*decoded))
+        .when(F.col("unrecoverable"), marker(F.col("px")))
+        .otherwise(F.col("px")),
+    ).drop(*decoded)
 
 
 def restore(received: DataFrame, mask: DataFrame, archive: DataFrame) -> DataFrame:

@@ -15,19 +15,26 @@ MARK_BOUND = b"WGT2"
 MARK_UNBOUND = b"WGT1"
 
 
-def tag_message(variant: str, block: int, px: Column, carried: Column | None) -> Column:
+def variant_code(variant: str | Column) -> Column:
+    """Code of a variant given by name, or by a column of names."""
+    if isinstance(variant, str):
+        return F.lit(VARIANT_CODE[variant])
+    return F.element_at(F.create_map(*[F.lit(x) for pair in VARIANT_CODE.items() for x in pair]), variant)
+
+
+def tag_message(variant: str | Column, block: int, px: Column, carried: Column | None) -> Column:
     """Everything a tag vouches for; ``carried=None`` is the unbound form, for audits only."""
     fields = [
         F.lit(MARK_BOUND if carried is not None else MARK_UNBOUND),
         be(F.col("height"), 2), be(F.col("width"), 2), be(F.lit(block), 2),
-        be(F.col("ch"), 1), be(F.lit(VARIANT_CODE[variant]), 1), be(F.col("idx"), 4),
+        be(F.col("ch"), 1), be(variant_code(variant), 1), be(F.col("idx"), 4),
         prefixed(utf8(F.col("owner_id"))),
         msb_bytes(px),
     ]
     return F.concat(*fields, *([carried] if carried is not None else []))
 
 
-def tag_hex(variant: str, block: int, px: Column, carried: Column | None) -> Column:
+def tag_hex(variant: str | Column, block: int, px: Column, carried: Column | None) -> Column:
     """Truncated keyed tag as lower-case hex; needs tag_in and tag_out on the row."""
     digest = hmac_hex(F.col("tag_in"), F.col("tag_out"), tag_message(variant, block, px, carried))
     return F.substring(digest, 1, budget(block)[1] // 4)

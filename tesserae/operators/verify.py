@@ -12,7 +12,7 @@ from .seal import tag_hex
 GRID = ["owner_id", "key_id", "height", "width", "block", "k", "ncols", "idx", "r", "c"]
 
 
-def check_tags(received: DataFrame, ring: DataFrame, variant: str, block: int = 8, bound: bool = True) -> DataFrame:
+def check_tags(received: DataFrame, ring: DataFrame, variant: str | Column, block: int = 8, bound: bool = True) -> DataFrame:
     """Row-local comparison: adds stored_tag, stored_desc, fresh_tag and mismatch."""
     n_tag = budget(block)[1] // 8
     keep = received.columns

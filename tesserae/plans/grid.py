@@ -63,45 +63,50 @@ def group_of() -> Column:
 
 
 def _with_keys(blocks: DataFrame, keys) -> DataFrame:
-    return blocks.withColumn("key_id", any_of(keys).cast("int"))
+    return blocks.withColumn("key_id", any_of(keys))
 
 
-def scored_family(blocks: DataFrame, plan: DataFrame, ring: DataFrame, variant: str, block: int) -> tuple[DataFrame, DataFrame]:
-    """(scored blocks, fidelity of the sealed pictures) of all runs with one variant and block side."""
-    mine = plan.filter((F.col("variant") == variant) & (F.col("block_size") == block)).drop("variant", "block_size")
+def scored_family(blocks: DataFrame, plan: DataFrame, ring: DataFrame, variants: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """(scored blocks, fidelity of the sealed pictures) of all runs with one block side.
+
+    Sealing depends on picture, key and variant only, so it is done once per such triple
+    and joined to the runs that share it.
+    """
+    mine = plan.filter(F.col("block_size") == block).drop("block_size", "dataset").withColumnRenamed("run_key", "key_id")
     keyed = _with_keys(blocks, range(N_KEYS) if block == 8 else (0,))
-    sealed = materialize(seal.seal(keyed, ring, variant, block, extra=["key_id"]).select(
-        *keyed.columns, "px_sealed"
-    ))
-    # the whole picture and its sealed copy, once per key
-    whole = sealed.groupBy("stem", "key_id").agg(
+    sealed = None
+    for v in variants:
+        one = seal.seal(keyed, ring, v, block, extra=["key_id"]).select(*keyed.columns, "variant", "px_sealed")
+        sealed = one if sealed is None else sealed.unionByName(one)
+    sealed = materialize(sealed)
+    picture = ["stem", "key_id", "variant"]
+    whole = sealed.groupBy(*picture).agg(
         F.sum(squared_error(F.col("px"), F.col("px_sealed"))).alias("_sq"), F.sum(F.size("px").cast("bigint")).alias("_n")
-    ).select("stem", "key_id", psnr(F.col("_sq"), F.col("_n")).alias("wm_psnr"))
-    like = score.ssim(sealed, ["stem", "key_id"], "px", "px_sealed").select("stem", "key_id", F.col("ssim").alias("wm_ssim"))
-    marks = whole.join(like, ["stem", "key_id"]).select("*", F.lit(variant).alias("variant"), F.lit(block).alias("block_size"))
+    ).select(*picture, psnr(F.col("_sq"), F.col("_n")).alias("wm_psnr"))
+    like = score.ssim(sealed, picture, "px", "px_sealed").select(*picture, F.col("ssim").alias("wm_ssim"))
+    marks = whole.join(like, picture).withColumn("block_size", F.lit(block))
 
     donors = sealed.drop("px").withColumnRenamed("px_sealed", "px")
-    runs = donors.join(mine.drop("dataset").withColumnRenamed("run_key", "key_id"), ["stem", "key_id"])
-    places = blocks.drop("px", "key_id").join(
-        mine.filter("tamper_class = 'inpaint_removal'").drop("dataset").withColumnRenamed("run_key", "key_id"), ["stem"]
-    )
+    runs = donors.join(mine, picture)
+    places = blocks.drop("px", "key_id").join(mine.filter("tamper_class = 'inpaint_removal'"), "stem")
     keys, ratio = ["run_id", "owner_id"], F.col("nominal")
     of = lambda cls: runs.filter(F.col("tamper_class") == cls)
     quiet = of("").withColumn("px_before", F.col("px")).withColumn("truth_px", F.transform("px", lambda v: F.lit(False)))
     damaged = [
-        inject.inject_splice(of("splice"), inject.splice_sources(blocks), donors, ratio, keys, ["key_id"]),
+        inject.inject_splice(of("splice"), inject.splice_sources(blocks), donors, ratio, keys, ["key_id", "variant"]),
         inject.inject_blob(of("inpaint_removal"), ratio, keys, geometry=places),
         inject.inject_refill(of("crop_refill"), ratio, keys),
         inject.inject_noise(of("noise"), ratio),
     ] + ([quiet] if block == 8 else [])
-    cols = [*blocks.columns, "run_id", "truth_px", "px_before"]
+    cols = [*blocks.columns, "variant", "run_id", "truth_px", "px_before"]
     received = damaged[0].select(*cols)
     for one in damaged[1:]:
         received = received.unionByName(one.select(*cols))
-    checked = verify.check_tags(received, ring, variant, block)
+    # read three times below: by the mask, by the owner's state and through the holder
+    checked = materialize(verify.check_tags(received, ring, F.col("variant"), block))
     mask = verify.localize(checked, extra=["run_id"])
     state = verify.with_partner_state(checked, mask, ring, extra=["run_id"])
-    fixed = repair.repair(state, variant, block).select(
+    fixed = repair.repair(state, variants, block).select(
         "run_id", "owner_id", "ch", "idx", "block", "ncols", "px", "px_before", "px_repaired", "truth_px", "raw", "flagged",
         "recoverable", "unrecoverable",
     )
@@ -118,10 +123,9 @@ def run_table(blocks: DataFrame, ring: DataFrame) -> DataFrame:
     """Every run of the grid as one row."""
     plan = cells(blocks)
     four = split_blocks(blocks.filter(F.col("label") % 4 == 0))
-    families = [(blocks, "A", 8), (blocks, "B", 8), (four, "A", 4)]
     scored, marks = None, None
-    for src, variant, block in families:
-        s, m = scored_family(src, plan, ring, variant, block)
+    for src, variants, block in ((blocks, list(VARIANTS), 8), (four, ["A"], 4)):
+        s, m = scored_family(src, plan, ring, variants, block)
         scored = s if scored is None else scored.unionByName(s)
         marks = m if marks is None else marks.unionByName(m)
     scored = materialize(scored)
