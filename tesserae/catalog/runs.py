@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inject, partner, ratefit, score, seal, verify
+from ..operators import inject, partner, ratefit, score, separation, verify
 from ..plans import gate, grid, reports
 from ..session import checkpoint_dir, materialize
 from ..sources import carriers
@@ -489,6 +489,28 @@ def report_map_policy(spark, d):
     return out.select("policy", "nominal", "k", "tampered", "unrecoverable", r6(rho, "rho"))
 
 
+@query("partner_map_separated")
+def partner_map_separated(spark, d):
+    """The keyed cycle with partners kept apart; checked by invariants, as its rounds are not one statement."""
+    return separation.separated_map(carriers.vector_blocks(spark, d), keyring(spark))
+
+
+@query("report_map_separation")
+def report_map_separation(spark, d):
+    """Recoverability per damaged share with plain and with separated partners."""
+    ring = keyring(spark)
+    blocks = carriers.vector_blocks(spark, d)
+    pairs = materialize(separation.separated_map(blocks, ring))
+    b = blocks.withColumn("nominal", F.explode(F.array(*[F.lit(r) for r in grid.RATIOS])))
+    hit = inject.rectangle_truth(inject.with_rectangle(inject.with_seed(b, F.lit("noise"), F.col("nominal")), F.col("nominal")))
+    mask = hit.withColumn("flagged", score.count_true("truth_px") > 0).drop("px", "truth_px")
+    out = reports.map_policy({
+        "plain": verify.partner_state_of_mask(mask, ring, ["nominal"]),
+        "separated": verify.partner_state_of_mask(mask, ring, ["nominal"], pairs),
+    })
+    return out.select("policy", "nominal", "k", "tampered", "recovered", "unrecoverable", r6(F.col("rho"), "rho"))
+
+
 # -- rate fit ----------------------------------------------------------------
 
 def _fit_sql() -> Sql:

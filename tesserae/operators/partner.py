@@ -23,11 +23,22 @@ def map_digest() -> Column:
     return hmac_hex(F.col("map_in"), F.col("map_out"), message)
 
 
-def with_neighbours(blocks: DataFrame, ring: DataFrame, carry: list[str], group: list[str] | None = None) -> DataFrame:
-    """Add next_/prev_ columns along the keyed cycle.  Owners are pages of bounded size."""
-    keep = blocks.columns
-    keyed = with_key(blocks, ring).withColumn("_digest", map_digest()).select(*keep, "_digest")
-    return cycle_neighbours(keyed, group or ["owner_id", "ch"], "_digest", "idx", carry).drop("_digest")
+def with_neighbours(blocks: DataFrame, ring: DataFrame, carry: list[str], group: list[str] | None = None,
+                    pairs: DataFrame | None = None) -> DataFrame:
+    """Add next_/prev_ columns along the keyed cycle.  Owners are pages of bounded size.
+
+    With ``pairs`` (owner_id, idx, holder, carries) the neighbours come from that map, by
+    equi-joins on block keys; otherwise they are the plain keyed cycle's, by a window.
+    """
+    keep, group = blocks.columns, group or ["owner_id", "ch"]
+    if pairs is None:
+        keyed = with_key(blocks, ring).withColumn("_digest", map_digest()).select(*keep, "_digest")
+        return cycle_neighbours(keyed, group, "_digest", "idx", carry).drop("_digest")
+    out = blocks.join(pairs.select("owner_id", "idx", F.col("holder").alias("_next"), F.col("carries").alias("_prev")), ["owner_id", "idx"])
+    for side in ("next", "prev"):
+        other = blocks.select(*group, F.col("idx").alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in carry])
+        out = out.join(other, [*group, f"_{side}"])
+    return out.select(*keep, *[f"{side}_{c}" for side in ("next", "prev") for c in carry])
 
 
 def partner_map(blocks: DataFrame, ring: DataFrame) -> DataFrame:

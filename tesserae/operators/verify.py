@@ -103,7 +103,8 @@ def owner_verdicts(mask: DataFrame, extra: list[str] | None = None) -> DataFrame
     )
 
 
-def with_partner_state(checked: DataFrame, mask: DataFrame, ring: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def with_partner_state(checked: DataFrame, mask: DataFrame, ring: DataFrame, extra: list[str] | None = None,
+                       pairs: DataFrame | None = None) -> DataFrame:
     """Per block and channel: the mask, its holder's flag, and the block's own backup read from the holder.
 
     Mask and stored backups are columns of this frame, hence frozen before anything is
@@ -112,7 +113,7 @@ def with_partner_state(checked: DataFrame, mask: DataFrame, ring: DataFrame, ext
     extra = extra or []
     flags = mask.select(*extra, "owner_id", "idx", "raw", "flagged")
     joined = checked.join(flags, extra + ["owner_id", "idx"])
-    out = with_neighbours(joined, ring, ["idx", "stored_desc", "flagged"], extra + ["owner_id", "ch"])
+    out = with_neighbours(joined, ring, ["idx", "stored_desc", "flagged"], extra + ["owner_id", "ch"], pairs)
     return (
         out.withColumnRenamed("next_idx", "holder")
         .withColumnRenamed("next_stored_desc", "own_desc")
@@ -123,9 +124,10 @@ def with_partner_state(checked: DataFrame, mask: DataFrame, ring: DataFrame, ext
     )
 
 
-def partner_state_of_mask(mask: DataFrame, ring: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def partner_state_of_mask(mask: DataFrame, ring: DataFrame, extra: list[str] | None = None,
+                          pairs: DataFrame | None = None) -> DataFrame:
     """The same from mask and map alone; no pixel column is read."""
-    out = with_neighbours(mask, ring, ["idx", "flagged"], (extra or []) + ["owner_id"])
+    out = with_neighbours(mask, ring, ["idx", "flagged"], (extra or []) + ["owner_id"], pairs)
     return (
         out.withColumnRenamed("next_idx", "holder").withColumnRenamed("next_flagged", "holder_flagged")
         .drop("prev_idx", "prev_flagged")
