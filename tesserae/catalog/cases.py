@@ -7,6 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import SparkSession, functions as F
 
 from ..operators import inject, repair, seal, verify
+from ..session import materialize
 from ..sources import carriers
 from ..sources.keyring import keyring
 from .sqlkit import Sql
@@ -17,7 +18,9 @@ def case(spark: SparkSession, folder: str, variant: str = "B", channels: int = 1
     blocks = carriers.vector_blocks(spark, folder, channels, ncols=6 if channels == 1 else 4)
     sealed = seal.seal(blocks, ring, variant)
     damaged = inject.inject_noise(seal.as_received(sealed), F.lit(ratio))
-    checked = verify.check_tags(damaged, ring, variant)
+    # what arrived, checked; read by the mask, by the owners' state and through the holders
+    checked = materialize(verify.check_tags(damaged, ring, variant))
+    damaged = checked.drop("stored_tag", "stored_desc", "fresh_tag", "mismatch")
     mask = verify.localize(checked)
     return SimpleNamespace(
         ring=ring, blocks=blocks, sealed=sealed, damaged=damaged, checked=checked, mask=mask, variant=variant

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_fraction, utf8
 from ..operators import records as rec
 from ..operators.ordering import row_buckets
+from ..session import materialize
 from ..sources import carriers
 from ..sources.keyring import keyring
 from . import sqlkit as S
@@ -118,7 +119,7 @@ def verify_records(spark, d):
 def repair_records(spark, d):
     """Events sealed per user, damaged, repaired exactly from intact partners."""
     ring, s = sealed(spark, carriers.event_records(spark, d))
-    out = rec.repair_records(rec.check_records(damaged(s), ring))
+    out = rec.repair_records(materialize(rec.check_records(damaged(s), ring)))
     return out.select("owner_id", "rec_key", "flagged", "status", F.hex("content").alias("content_hex"))
 
 
@@ -132,5 +133,5 @@ def repair_records(spark, d):
 def records_recoverability(spark, d):
     """Whole texts in 64-byte chunks: what a tenth of damage leaves recoverable, per document."""
     ring, s = sealed(spark, text_records(spark, d))
-    out = rec.record_summary(rec.repair_records(rec.check_records(damaged(s), ring)))
+    out = rec.record_summary(rec.repair_records(materialize(rec.check_records(damaged(s), ring))))
     return out.select("owner_id", "k", "tampered", "recovered", "unrecoverable", r6(F.col("rho"), "rho"))

@@ -30,22 +30,18 @@ def with_seed(blocks: DataFrame, cls: Column, ratio: Column, base: str = BASE_SE
 
 def with_rectangle(blocks: DataFrame, ratio: Column) -> DataFrame:
     """Random rectangle of a given area share, aspect log-uniform in [1/2, 2], clamped, not grid-aligned."""
-    area = ratio.cast("double") * F.col("height") * F.col("width")
-    aspect = F.pow(F.lit(2.0), uniform(F.col("seed"), "aspect") * 2.0 - 1.0)
-    side = lambda v, limit: F.greatest(F.lit(1), F.least(limit, F.rint(F.sqrt(v)).cast("bigint")))
-    start = lambda label, size, limit: F.floor(
-        uniform(F.col("seed"), label) * (limit - size + 1)
-    ).cast("bigint")
-    return (
-        blocks.withColumn("_aspect", aspect)
-        .withColumn("_rh", side(area / F.col("_aspect"), F.col("height")))
-        .withColumn("_rw", side(area * F.col("_aspect"), F.col("width")))
-        .withColumn("y0", start("y", F.col("_rh"), F.col("height")))
-        .withColumn("x0", start("x", F.col("_rw"), F.col("width")))
-        .withColumn("y1", F.col("y0") + F.col("_rh"))
-        .withColumn("x1", F.col("x0") + F.col("_rw"))
-        .drop("_aspect", "_rh", "_rw")
+    df = blocks.withColumn("_area", ratio.cast("double") * F.col("height") * F.col("width"))
+    for name in ("aspect", "y", "x"):
+        df = df.withColumn(f"_{name}", uniform(F.col("seed"), name))
+    sized = df.selectExpr(
+        *blocks.columns, "_y", "_x",
+        "greatest(1, least(height, cast(rint(sqrt(_area / power(2.0D, _aspect * 2.0D - 1.0D))) AS bigint))) AS _rh",
+        "greatest(1, least(width, cast(rint(sqrt(_area * power(2.0D, _aspect * 2.0D - 1.0D))) AS bigint))) AS _rw",
     )
+    return sized.selectExpr(
+        *blocks.columns, "cast(floor(_y * (height - _rh + 1)) AS bigint) AS y0", "cast(floor(_x * (width - _rw + 1)) AS bigint) AS x0",
+        "_rh", "_rw",
+    ).selectExpr(*blocks.columns, "y0", "x0", "y0 + _rh AS y1", "x0 + _rw AS x1")
 
 
 def with_preset(blocks: DataFrame, kind: Column, ratio: Column) -> DataFrame:

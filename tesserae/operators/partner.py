@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import be, hmac_hex, prefixed, utf8
+from ..functions.hashing import hmac_hex
 from ..sources.keyring import with_key
 from .ordering import cycle_neighbours
 
 
 def map_digest() -> Column:
     """Keyed position of a block; bound to geometry, owner and index but not to the channel."""
-    message = F.concat(
-        be(F.col("height"), 2), be(F.col("width"), 2), be(F.col("block"), 2), be(F.col("k"), 4),
-        prefixed(utf8(F.col("owner_id"))), be(F.col("idx"), 4),
+    message = F.expr(
+        "concat(unhex(concat(lpad(hex(height), 4, '0'), lpad(hex(width), 4, '0'), lpad(hex(block), 4, '0'), lpad(hex(k), 8, '0'), "
+        "lpad(hex(octet_length(owner_id)), 4, '0'))), encode(owner_id, 'UTF-8'), unhex(lpad(hex(idx), 8, '0')))"
     )
     return hmac_hex(F.col("map_in"), F.col("map_out"), message)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.backup import VARIANT_CODE, with_backup
-from ..functions.hashing import be, hmac_hex, prefixed, utf8
+from ..functions.hashing import hmac_hex
 from ..functions.pixels import budget, msb_bytes, psnr, squared_error, with_payload
 from ..sources.keyring import with_key
 from .partner import with_neighbours
@@ -16,21 +16,23 @@ MARK_UNBOUND = b"WGT1"
 
 
 def variant_code(variant: str | Column) -> Column:
-    """Code of a variant given by name, or by a column of names."""
+    """One byte naming the variant, given by name or by a column of names."""
     if isinstance(variant, str):
-        return F.lit(VARIANT_CODE[variant])
-    return F.element_at(F.create_map(*[F.lit(x) for pair in VARIANT_CODE.items() for x in pair]), variant)
+        return F.lit(bytes([VARIANT_CODE[variant]]))
+    codes = [x for name, code in VARIANT_CODE.items() for x in (F.lit(name), F.lit(bytes([code])))]
+    return F.element_at(F.create_map(*codes), variant)
 
 
 def tag_message(variant: str | Column, block: int, px: Column, carried: Column | None) -> Column:
     """Everything a tag vouches for; ``carried=None`` is the unbound form, for audits only."""
-    fields = [
-        F.lit(MARK_BOUND if carried is not None else MARK_UNBOUND),
-        be(F.col("height"), 2), be(F.col("width"), 2), be(F.lit(block), 2),
-        be(F.col("ch"), 1), be(variant_code(variant), 1), be(F.col("idx"), 4),
-        prefixed(utf8(F.col("owner_id"))),
-        msb_bytes(px),
-    ]
+    mark = MARK_BOUND if carried is not None else MARK_UNBOUND
+    shape = F.expr(
+        f"unhex(concat('{mark.hex()}', lpad(hex(height), 4, '0'), lpad(hex(width), 4, '0'), '{block:04x}', lpad(hex(ch), 2, '0')))"
+    )
+    owner = F.expr(
+        "concat(unhex(concat(lpad(hex(idx), 8, '0'), lpad(hex(octet_length(owner_id)), 4, '0'))), encode(owner_id, 'UTF-8'))"
+    )
+    fields = [shape, variant_code(variant), owner, msb_bytes(px)]
     return F.concat(*fields, *([carried] if carried is not None else []))
 
 

@@ -33,12 +33,17 @@ def raw_flags(checked: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return checked.groupBy(*(extra or []), *GRID).agg(F.bool_or("mismatch").alias("raw"))
 
 
-def valid_neighbours() -> Column:
-    """How many of the eight neighbours lie inside the grid: 3, 5 or 8 (fewer on thin grids)."""
-    nrows = F.col("k") / F.col("ncols")
-    tall = F.least(F.col("r") + 1, nrows - 1) - F.greatest(F.col("r") - 1, F.lit(0)) + 1
-    wide = F.least(F.col("c") + 1, F.col("ncols") - 1) - F.greatest(F.col("c") - 1, F.lit(0)) + 1
-    return (tall * wide - 1).cast("bigint")
+# How many of the eight neighbours lie inside the grid: 3, 5 or 8 (fewer on thin grids).
+VALID_NEIGHBOURS = """
+    cast((least(r + 1, k div ncols - 1) - greatest(r - 1, 0) + 1) * (least(c + 1, ncols - 1) - greatest(c - 1, 0) + 1) - 1 AS bigint)
+"""
+
+# The block itself, and a vote for each neighbour if it is flagged.
+OWN = "named_struct('r', r, 'c', c, 'raw', raw, 'vote', 0)"
+VOTES = ", ".join(
+    f"named_struct('r', r + {dy}, 'c', c + {dx}, 'raw', cast(null AS boolean), 'vote', 1)"
+    for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx
+)
 
 
 def refine(flags: DataFrame, tau: int = 7, clear_isolated: bool = False, extra: list[str] | None = None) -> DataFrame:
@@ -48,32 +53,14 @@ def refine(flags: DataFrame, tau: int = 7, clear_isolated: bool = False, extra:
     them, so the grid is never joined with itself.
     """
     keys = (extra or []) + GRID
-    offsets = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    own = F.struct(
-        F.col("r").alias("r"), F.col("c").alias("c"), F.col("raw").alias("raw"), F.lit(0).alias("vote")
-    )
-    votes = [
-        F.struct((F.col("r") + dy).alias("r"), (F.col("c") + dx).alias("c"), F.lit(None).cast("boolean").alias("raw"),
-                 F.lit(1).alias("vote"))
-        for dy, dx in offsets
-    ]
-    sent = flags.withColumn("_m", F.explode(F.when(F.col("raw"), F.array(own, *votes)).otherwise(F.array(own))))
-    inside = (
-        (F.col("_m.r") >= 0) & (F.col("_m.c") >= 0) & (F.col("_m.c") < F.col("ncols"))
-        & (F.col("_m.r") * F.col("ncols") < F.col("k"))
-    )
-    placed = sent.filter(inside).select(
-        *[c for c in keys if c not in ("idx", "r", "c")],
-        (F.col("_m.r") * F.col("ncols") + F.col("_m.c")).alias("idx"),
-        F.col("_m.r").alias("r"), F.col("_m.c").alias("c"),
-        F.col("_m.raw").alias("raw"), F.col("_m.vote").alias("vote"),
+    sent = flags.withColumn("_m", F.expr(f"explode(CASE WHEN raw THEN array({OWN}, {VOTES}) ELSE array({OWN}) END)"))
+    placed = sent.filter("_m.r >= 0 AND _m.c >= 0 AND _m.c < ncols AND _m.r * ncols < k").selectExpr(
+        *[c for c in keys if c not in ("idx", "r", "c")], "_m.r * ncols + _m.c AS idx", "_m.*"
     )
-    counted = placed.groupBy(*keys).agg(F.bool_or("raw").alias("raw"), F.sum("vote").alias("s"))
-    nvalid = valid_neighbours()
-    needed = F.ceil(F.lit(float(tau)) * nvalid / 8)
-    kept = F.col("raw") & (F.col("s") > 0) if clear_isolated else F.col("raw")
-    return counted.withColumn("nvalid", nvalid).withColumn("needed", needed).withColumn(
-        "flagged", kept | (~F.col("raw") & (F.col("s") >= F.col("needed")))
+    counted = placed.groupBy(*keys).agg(F.expr("bool_or(raw) AS raw"), F.expr("sum(vote) AS s"))
+    kept = "(raw AND s > 0)" if clear_isolated else "raw"
+    return counted.selectExpr("*", f"{VALID_NEIGHBOURS} AS nvalid").selectExpr("*", f"ceil({tau}D * nvalid / 8) AS needed").selectExpr(
+        "*", f"{kept} OR (NOT raw AND s >= needed) AS flagged"
     )
 
 
