@@ -167,7 +167,7 @@ def lineitem_sql() -> Sql:
         cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), "l_returnflag", "l_linestatus",
         "epoch_us(l_shipdate)::VARCHAR",
     ]
-    content = " || ".join(S.prefixed_text(f) for f in fields)
+    content = f"encode({' || '.join(S.netstring(f) for f in fields)})"
     return Sql().keyring().add(
         "li",
         f"SELECT 'lineitem|' || strftime(l_shipdate, '%Y-%m') AS owner_id, month(l_shipdate) % 5 AS key_id, "

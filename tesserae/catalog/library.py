@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, utf8
 from ..operators import inject, library as lib, score, seal
+from ..session import broadcast_if_small, materialize
 from ..sources import carriers, files
 from ..sources.keyring import keyring
 from ..sources.tables import table
@@ -69,7 +70,9 @@ def _archive(spark, d):
     first = seal.seal(blocks, ring, "B").withColumn("record_id", record(0).cast("bigint"))
     other = blocks.withColumn("key_id", ((F.col("key_id") + 1) % 5).cast("int"))
     second = seal.seal(other, ring, "B").withColumn("record_id", record(1).cast("bigint"))
-    archive = first.unionByName(second)
+    # an archive exists before anything is looked up in it
+    archive = materialize(first.unionByName(second))
+    first, second = archive.filter("record_id % 2 = 0"), archive.filter("record_id % 2 = 1")
     records = archive.filter((F.col("idx") == 0) & (F.col("ch") == 0)).select(
         "record_id", "owner_id", "key_id", "height", "width", F.col("k").alias("n_blocks"), F.lit(3).alias("n_channels")
     )
@@ -77,7 +80,7 @@ def _archive(spark, d):
     copies = damaged.withColumn("query_id", F.concat(F.lit("damaged|"), "stem"))
     intact = seal.as_received(second).drop("record_id").withColumn("query_id", F.concat(F.lit("intact|"), "stem"))
     cols = ["query_id", "height", "width", "block", "k", "ncols", "ch", "idx", "r", "c", "px"]
-    received = copies.select(*cols).unionByName(intact.select(*cols))
+    received = materialize(copies.select(*cols).unionByName(intact.select(*cols)))
     return ring, archive.withColumnRenamed("px_sealed", "px_stored"), records, received
 
 
@@ -166,7 +169,7 @@ def scan_manifest(spark, d):
     """Real datasets only, with stem, shape and the size of each dataset."""
     m = _manifest(spark, d).filter("dataset <> 'synthetic'")
     sizes = m.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_dataset"))
-    return m.join(sizes, "dataset").select("dataset", F.substring_index("filename", ".", 1).alias("stem"), "height", "width", "n_dataset")
+    return m.join(broadcast_if_small(sizes), "dataset").select("dataset", F.substring_index("filename", ".", 1).alias("stem"), "height", "width", "n_dataset")
 
 
 FILES_SQL = (

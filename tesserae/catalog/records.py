@@ -21,7 +21,7 @@ def orders_sql() -> Sql:
         "o_orderkey::VARCHAR", "o_custkey::VARCHAR", "o_orderstatus", "round_even(o_totalprice * 100, 0)::BIGINT::VARCHAR",
         "epoch_us(o_orderdate)::VARCHAR", "o_orderpriority",
     ]
-    content = " || ".join(S.prefixed_text(f) for f in fields)
+    content = f"encode({' || '.join(S.netstring(f) for f in fields)})"
     return Sql().keyring().add(
         "src",
         f"SELECT 'orders|' || strftime(o_orderdate, '%Y-%m') AS owner_id, month(o_orderdate) % 5 AS key_id, o_orderkey::VARCHAR AS rec_key, {content} AS content FROM orders",
@@ -30,7 +30,7 @@ def orders_sql() -> Sql:
 
 def events_sql() -> Sql:
     fields = ["event_id::VARCHAR", "epoch_us(ts)::VARCHAR", "user_id::VARCHAR", "event_type", "round_even(value * 100, 0)::BIGINT::VARCHAR", "props"]
-    content = " || ".join(S.prefixed_text(f) for f in fields)
+    content = f"encode({' || '.join(S.netstring(f) for f in fields)})"
     return Sql().keyring().add(
         "src", f"SELECT 'user|' || user_id AS owner_id, user_id % 5 AS key_id, event_id::VARCHAR AS rec_key, {content} AS content FROM events"
     )
@@ -45,7 +45,7 @@ def text_sql() -> Sql:
 
 
 def sealed_records_sql(q: Sql) -> Sql:
-    q.add("rk", f"SELECT *, {S.hmac('map', S.prefixed_text('owner_id') + ' || ' + S.prefixed_text('rec_key'))} AS h FROM src JOIN keyring USING (key_id)")
+    q.add("rk", f"SELECT *, {S.hmac('map', 'encode(' + S.netstring('owner_id') + ' || ' + S.netstring('rec_key') + ')')} AS h FROM src JOIN keyring USING (key_id)")
     w = "PARTITION BY owner_id ORDER BY h, rec_key"
     full = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
     wrap = lambda fn, col, edge: f"coalesce({fn}({col}) OVER ({w}), {edge}_value({col}) OVER ({w} {full}))"
@@ -57,8 +57,10 @@ def sealed_records_sql(q: Sql) -> Sql:
 
 
 def tag_sql() -> str:
-    parts = [S.prefixed_text(c) for c in ("owner_id", "rec_key", "holder", "backup_of")] + [S.prefixed_blob(c, 4) for c in ("content", "backup")]
-    return f"substr({S.hmac('tag', 'encode(' + repr('TSR1') + ') || ' + ' || '.join(parts))}, 1, 32)"
+    names = " || ".join(S.netstring(c) for c in ("owner_id", "rec_key", "holder", "backup_of"))
+    size = lambda c: f"octet_length({c})::VARCHAR || ':'"
+    message = f"encode('TSR1' || {names} || {size('content')}) || content || encode({size('backup')}) || backup"
+    return f"substr({S.hmac('tag', message)}, 1, 32)"
 
 
 def damaged_records_sql(q: Sql) -> Sql:

@@ -25,6 +25,10 @@ def prefixed_blob(blob: str, width: int = 2) -> str:
     return f"unhex(lpad(hex(octet_length({blob})::BIGINT), {2 * width}, '0')) || {blob}"
 
 
+def netstring(text: str) -> str:
+    return f"octet_length(encode({text}))::VARCHAR || ':' || {text}"
+
+
 def hmac(kind: str, message: str) -> str:
     return f"sha256({kind}_out || unhex(sha256({kind}_in || {message})))"
 

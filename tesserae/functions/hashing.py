@@ -19,6 +19,15 @@ def prefixed(data: Column, width: int = 2) -> Column:
     return F.concat(be(F.octet_length(data), width), data)
 
 
+def netstrings(*texts: Column) -> Column:
+    """``length:text`` for each text, joined; the length counts UTF-8 bytes."""
+    parts = []
+    for t in texts:
+        t = t.cast("string")
+        parts += [F.octet_length(t).cast("string"), F.lit(":"), t]
+    return F.concat(*parts)
+
+
 def hmac_hex(inner_pad: Column, outer_pad: Column, message: Column) -> Column:
     """HMAC-SHA256 as lower-case hex; the pads are the key already XORed with the HMAC constants."""
     inner = F.unhex(F.sha2(F.concat(inner_pad, message), 256))

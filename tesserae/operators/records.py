@@ -9,27 +9,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import hmac_hex, prefixed, utf8
+from ..functions.hashing import hmac_hex, netstrings, utf8
 from ..sources.keyring import with_key
 from .ordering import cycle_neighbours, digest_bucket
 
-MARK = b"TSR1"
+MARK = "TSR1"
 TAG_DIGITS = 32
 
 
 def record_tag() -> Column:
-    message = F.concat(
-        F.lit(MARK), prefixed(utf8(F.col("owner_id"))), prefixed(utf8(F.col("rec_key"))),
-        prefixed(utf8(F.col("holder"))), prefixed(utf8(F.col("backup_of"))), prefixed(F.col("content"), 4), prefixed(F.col("backup"), 4),
+    head = F.concat(
+        F.lit(MARK), netstrings(F.col("owner_id"), F.col("rec_key"), F.col("holder"), F.col("backup_of")),
+        F.octet_length("content").cast("string"), F.lit(":"),
     )
+    middle = F.concat(F.octet_length("backup").cast("string"), F.lit(":"))
+    message = F.concat(utf8(head), F.col("content"), utf8(middle), F.col("backup"))
     return F.substring(hmac_hex(F.col("tag_in"), F.col("tag_out"), message), 1, TAG_DIGITS)
 
 
 def seal_records(records: DataFrame, ring: DataFrame, buckets: int = 1) -> DataFrame:
     """(owner_id, key_id, rec_key, content) -> the same plus holder, backup, backup_of, tag."""
-    digest = hmac_hex(
-        F.col("map_in"), F.col("map_out"), F.concat(prefixed(utf8(F.col("owner_id"))), prefixed(utf8(F.col("rec_key"))))
-    )
+    digest = hmac_hex(F.col("map_in"), F.col("map_out"), utf8(netstrings(F.col("owner_id"), F.col("rec_key"))))
     keep = records.columns
     keyed = with_key(records, ring).withColumn("_digest", digest).select(*keep, "_digest")
     placed = cycle_neighbours(

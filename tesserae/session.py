@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,6 +48,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
+    """Hint a narrow table for broadcast only after counting that it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def local_session(cpus: int | str = 8, app: str = "tesserae") -> SparkSession:
     """A local session for tests and the bench."""
     builder = (

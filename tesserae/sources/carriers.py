@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import be, prefixed, utf8
+from ..functions.hashing import netstrings, utf8
 from ..operators.ordering import dense_index
 from .tables import spread, table
 
@@ -106,7 +106,7 @@ def text_chunks(spark: SparkSession, folder: str, name: str = "documents", key:
     three chunks have no single cycle and are left out here (see the rejects job).
     """
     data = utf8(F.col("text"))
-    docs = spread(table(spark, folder, name).select(key, "text")).select(
+    docs = spread(table(spark, folder, name).select(key, "text"), key).select(
         F.col(key).alias("doc"), data.alias("data"), F.octet_length(data).cast("bigint").alias("size")
     )
     return (
@@ -133,13 +133,13 @@ def micros(ts: Column) -> Column:
 
 
 def _canonical(*fields: Column) -> Column:
-    """Length-prefixed fields; numbers as decimal text of exact integers."""
-    return F.concat(*[prefixed(utf8(f.cast("string"))) for f in fields])
+    """Length-prefixed fields (``length:text``); numbers as decimal text of exact integers."""
+    return utf8(netstrings(*fields))
 
 
 def order_records(spark: SparkSession, folder: str) -> DataFrame:
     """orders -> (owner_id = order month, key_id, rec_key, content)."""
-    o = spread(table(spark, folder, "orders"))
+    o = spread(table(spark, folder, "orders"), "o_orderkey")
     month = F.date_format(F.col("o_orderdate"), "yyyy-MM")
     return o.select(
         F.concat(F.lit("orders|"), month).alias("owner_id"),
@@ -154,7 +154,7 @@ def order_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_records(spark: SparkSession, folder: str) -> DataFrame:
     """events -> records owned by their user."""
-    e = spread(table(spark, folder, "events"))
+    e = spread(table(spark, folder, "events"), "event_id")
     return e.select(
         F.concat(F.lit("user|"), F.col("user_id")).alias("owner_id"),
         (F.col("user_id") % 5).cast("int").alias("key_id"),
@@ -168,7 +168,7 @@ def event_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def lineitem_records(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem -> records owned by their ship month; the whole key tuple names a record."""
-    li = spread(table(spark, folder, "lineitem"))
+    li = spread(table(spark, folder, "lineitem"), "l_orderkey")
     month = F.date_format(F.col("l_shipdate"), "yyyy-MM")
     return li.select(
         F.concat(F.lit("lineitem|"), month).alias("owner_id"),

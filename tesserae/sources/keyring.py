@@ -17,6 +17,7 @@ LABEL_TAG = b"wgtlr/v1/tag"
 LABEL_MAP = b"wgtlr/v1/map"
 
 TEST_KEYS = 5
+BROADCAST_KEYS = 32_768
 SCHEMA = "key_id int, tag_in binary, tag_out binary, map_in binary, map_out binary"
 
 
@@ -42,10 +43,16 @@ def keyring_rows(keys: dict[int, bytes | str]) -> list[tuple]:
 
 
 def keyring(spark: SparkSession, keys: dict[int, bytes | str] | None = None) -> DataFrame:
+    """The keyring as a table, hinted for broadcast while its known size allows it.
+
+    A row has under 300 bytes, so BROADCAST_KEYS rows stay below 10 MB.  A larger ring is
+    joined by key, where adaptive skew handling splits a key that many blocks share.
+    """
     keys = keys or {i: test_key(i) for i in range(TEST_KEYS)}
-    return spark.createDataFrame(keyring_rows(keys), SCHEMA)
+    ring = spark.createDataFrame(keyring_rows(keys), SCHEMA)
+    return F.broadcast(ring) if len(keys) <= BROADCAST_KEYS else ring
 
 
 def with_key(blocks: DataFrame, ring: DataFrame) -> DataFrame:
-    """Attach pads by key_id.  A keyring has one short row per key; Spark picks broadcast by its size."""
+    """Attach pads by key_id; nothing is shuffled when the ring is broadcast."""
     return blocks.join(ring, "key_id")

@@ -9,11 +9,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over all cores when the input has fewer splits than that.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out over all cores, by a unique key, when the input has fewer splits than that.
 
     Hashing costs far more than reading; one file with one row group would otherwise keep
     a single core busy.  Large inputs have more splits than cores and stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
