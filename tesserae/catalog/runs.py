@@ -174,9 +174,6 @@ def _partial(plan):
     return plan.filter(first != "0").unionByName(plan.filter(first == "1"))
 
 
-PARTIAL = "part AS (SELECT * FROM cells WHERE substr(run_id, 1, 1) <> '0' UNION ALL SELECT * FROM cells WHERE substr(run_id, 1, 1) = '1')"
-
-
 def _with_part() -> Sql:
     return cells_sql(Sql().vectors("fa")).add(
         "part", "SELECT * FROM cells WHERE substr(run_id, 1, 1) <> '0' UNION ALL SELECT * FROM cells WHERE substr(run_id, 1, 1) = '1'"

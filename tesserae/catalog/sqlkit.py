@@ -21,10 +21,6 @@ def prefixed_text(text: str) -> str:
     return f"unhex(lpad(hex(octet_length(encode({text}))::BIGINT), 4, '0')) || encode({text})"
 
 
-def prefixed_blob(blob: str, width: int = 2) -> str:
-    return f"unhex(lpad(hex(octet_length({blob})::BIGINT), {2 * width}, '0')) || {blob}"
-
-
 def netstring(text: str) -> str:
     return f"octet_length(encode({text}))::VARCHAR || ':' || {text}"
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.hashing import hash_fraction
 
 RANGE_WIDTH = 1 << 16      # distinct order keys per rank bucket
-CYCLE_BUCKET = 50_000      # expected rows per cycle bucket
+CYCLE_BUCKET = 1_000_000   # rows a table may have per cycle bucket
 
 
 def dense_index(df: DataFrame, group: str, order: str, out: str, total: str, width: int = RANGE_WIDTH) -> DataFrame:

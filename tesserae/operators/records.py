@@ -28,12 +28,17 @@ def record_tag() -> Column:
 
 
 def seal_records(records: DataFrame, ring: DataFrame, buckets: int = 1) -> DataFrame:
-    """(owner_id, key_id, rec_key, content) -> the same plus holder, backup, backup_of, tag."""
+    """(owner_id, key_id, rec_key, content) -> the same plus holder, backup, backup_of, tag.
+
+    ``buckets`` comes from the table's row count (``row_buckets``); with one bucket the
+    whole table is small enough for any owner to be sorted in one task.
+    """
     digest = hmac_hex(F.col("map_in"), F.col("map_out"), utf8(netstrings(F.col("owner_id"), F.col("rec_key"))))
     keep = records.columns
     keyed = with_key(records, ring).withColumn("_digest", digest).select(*keep, "_digest")
     placed = cycle_neighbours(
-        keyed, ["owner_id"], "_digest", "rec_key", ["rec_key", "content"], digest_bucket("_digest", buckets)
+        keyed, ["owner_id"], "_digest", "rec_key", ["rec_key", "content"],
+        digest_bucket("_digest", buckets) if buckets > 1 else None,
     ).select(
         *keep, F.col("next_rec_key").alias("holder"),
         F.col("prev_content").alias("backup"), F.col("prev_rec_key").alias("backup_of"),

@@ -12,9 +12,9 @@ import hmac
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Subkey labels of the tag format.
-LABEL_TAG = b"wgtlr/v1/tag"
-LABEL_MAP = b"wgtlr/v1/map"
+# Subkey labels; data sealed elsewhere verifies when its own labels are passed instead.
+LABEL_TAG = b"tesserae/v1/tag"
+LABEL_MAP = b"tesserae/v1/map"
 
 TEST_KEYS = 5
 BROADCAST_KEYS = 32_768
@@ -38,18 +38,20 @@ def pads(key: bytes) -> tuple[bytes, bytes]:
     return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
 
 
-def keyring_rows(keys: dict[int, bytes | str]) -> list[tuple]:
-    return [(i, *pads(subkey(k, LABEL_TAG)), *pads(subkey(k, LABEL_MAP))) for i, k in sorted(keys.items())]
+def keyring_rows(keys: dict[int, bytes | str], labels: tuple[bytes, bytes] = (LABEL_TAG, LABEL_MAP)) -> list[tuple]:
+    tag, place = labels
+    return [(i, *pads(subkey(k, tag)), *pads(subkey(k, place))) for i, k in sorted(keys.items())]
 
 
-def keyring(spark: SparkSession, keys: dict[int, bytes | str] | None = None) -> DataFrame:
+def keyring(spark: SparkSession, keys: dict[int, bytes | str] | None = None,
+            labels: tuple[bytes, bytes] = (LABEL_TAG, LABEL_MAP)) -> DataFrame:
     """The keyring as a table, hinted for broadcast while its known size allows it.
 
     A row has under 300 bytes, so BROADCAST_KEYS rows stay below 10 MB.  A larger ring is
     joined by key, where adaptive skew handling splits a key that many blocks share.
     """
     keys = keys or {i: test_key(i) for i in range(TEST_KEYS)}
-    ring = spark.createDataFrame(keyring_rows(keys), SCHEMA)
+    ring = spark.createDataFrame(keyring_rows(keys, labels), SCHEMA)
     return F.broadcast(ring) if len(keys) <= BROADCAST_KEYS else ring
 
 

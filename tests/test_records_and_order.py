@@ -40,7 +40,7 @@ def test_bucketed_cycle_equals_plain(spark):
 
 
 def test_row_buckets():
-    assert row_buckets(0) == 1 and row_buckets(50_000) == 1 and row_buckets(50_001) == 2
+    assert row_buckets(0) == 1 and row_buckets(1_000_000) == 1 and row_buckets(1_000_001) == 2
 
 
 def test_records_repair_is_exact(spark, ring):
