@@ -88,6 +88,14 @@ def test_repair_marks_and_never_reverifies(spark, ring, blocks):
     assert again.filter("recoverable AND NOT mismatch").count() == 0
 
 
+def test_repair_with_variant_c(spark, ring, blocks):
+    s = seal.as_received(seal.seal(blocks, ring, "C"))
+    checked = materialize(verify.check_tags(inject.inject_noise(s, F.lit("0.25")), ring, "C"))
+    rep = repair.repair(verify.with_partner_state(checked, verify.localize(checked), ring), "C")
+    assert rep.filter("recoverable AND size(px_repaired) = 64").count() == rep.filter("recoverable").count() > 0
+    assert rep.filter("NOT flagged AND px_repaired <> px").count() == 0
+
+
 def test_refinement_rules(spark):
     def mask(rows):
         n = len(rows[0])
@@ -183,7 +191,8 @@ def test_backup_ranges(spark):
     steps = F.array(*[F.lit(float(s)) for s in backup.STEPS_A[:12]])
     raw = coef.select(F.explode(F.zip_with(F.slice("c", 1, 12), steps, lambda c, s: backup.half_even(c / s))).alias("q"))
     assert raw.filter("q < -128 OR q > 127").count() == 0
-    c = backup.encode_c(df, "px", "d").withColumn("back", backup.decode_c(F.col("d")))
+    stored = materialize(backup.encode_c(df, "px", "d"))   # encoding and decoding are separate jobs
+    c = stored.withColumn("back", backup.decode_c(F.col("d")))
     err = pixels.squared_error(F.col("back"), F.col("px"))
     assert c.filter(err != F.least("d_err0", "d_err1")).count() == 0
     assert all(sum(w) == 95 for w in backup.WIDTHS_C)
