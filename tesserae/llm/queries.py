@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.llm import simhash
-from tesserae.llm.frames import prepare
+from tesserae.llm import langid, simhash
+from tesserae.llm.frames import fold_of, prepare
 from tesserae.sources.tables import table
 
 
@@ -15,5 +15,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows outside fold 0."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_language": op6_language}
 ORACLE: dict[str, str] = {}
