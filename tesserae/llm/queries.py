@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.llm import langid, simhash
+from tesserae.llm import langid, simhash, toxicity
 from tesserae.llm.frames import fold_of, prepare
 from tesserae.sources.tables import table
 
@@ -22,5 +22,15 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_language": op6_language}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside fold 0."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.detect(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    score = F.col("toxic_score")
+    return found.select(
+        "doc_id", (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language}
 ORACLE: dict[str, str] = {}
