@@ -56,16 +56,26 @@ def features(w: Words) -> np.ndarray:
     before = np.where(edge, np.uint64(7), np.roll(whole, 1)) * np.uint64(0x9E3779B97F4A7C15)
     after = np.where(np.roll(edge, -1), np.uint64(9), np.roll(whole, -1)) * np.uint64(0xC2B2AE3D27D4EB4F)
     table = np.stack([*own, before, after, np.full(len(whole), 1 << 50, dtype=np.uint64)], axis=1)
-    return (table >> np.uint64(46)).astype(np.int64)
+    return (table >> np.uint64(46)).astype(np.int32)
+
+
+def _all_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the words of many texts, batch by batch, and each text's first word; one more at the end."""
+    feats, counts = [np.zeros((0, OWN + 3), dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+    for part in pieces([len(t) for t in texts], BATCH_CHARS // 2):
+        w = words(texts[part])
+        feats.append(features(w))
+        counts.append(np.diff(w.first))
+    return np.concatenate(feats), np.cumsum(np.concatenate(counts))
 
 
 def _seeds(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Which words of toxic documents count as toxic."""
     own = feats[:, :OWN]
-    pair = np.unique(own.ravel() * np.int64(len(toxic)) + np.repeat(doc, OWN))
-    bucket, of = pair // len(toxic), pair % len(toxic)
-    bad = np.bincount(bucket[toxic[of]], minlength=BUCKETS).astype(float)
-    good = np.bincount(bucket[~toxic[of]], minlength=BUCKETS).astype(float)
+    bad, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    edges = np.searchsorted(doc, np.arange(len(toxic) + 1))
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):   # each document counts once for a feature
+        (bad if toxic[k] else good)[np.unique(own[a:b])] += 1
     rate = toxic.mean()
     n = bad + good
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -104,19 +114,18 @@ def train(rows: list[tuple[str, bool]], epochs: int = 12, rate: float = 0.25) ->
     model = Model(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(2), np.array([0.0, 0.0, 0.0]), base, bool(0 < base < 1))
     if not model.trained:
         return model
-    w = words([t for t, _ in rows])
-    feats = features(w)
-    doc = np.repeat(np.arange(len(rows)), np.diff(w.first))
+    feats, first_of = _all_features([t for t, _ in rows])
+    doc = np.repeat(np.arange(len(rows)), np.diff(first_of))
     gold = _seeds(feats, doc, toxic)
     chunks = [slice(k, min(k + 256, len(rows))) for k in range(0, len(rows), 256)]
     model.weights[feats[0, -1] if len(feats) else 0] = -3.0   # bias: most words are clean
     seen, seen_trans, seen_start = np.full(BUCKETS, 1e-2), np.full((2, 2), 1e-2), np.full(2, 1e-2)
     for _ in range(epochs):
         for part in chunks:
-            a, b = w.first[part.start], w.first[part.stop]
+            a, b = first_of[part.start], first_of[part.stop]
             if a == b:
                 continue
-            own, first = feats[a:b], w.first[part.start:part.stop + 1] - a
+            own, first = feats[a:b], first_of[part.start:part.stop + 1] - a
             y = gold[a:b].astype(int)
             prob, pairs, _ = marginals(model.weights[own].sum(1), first, model.trans, model.start)
             step = np.bincount(own.ravel(), weights=np.repeat(y - prob, own.shape[1]), minlength=BUCKETS) / len(y) ** 0.5
@@ -134,8 +143,9 @@ def train(rows: list[tuple[str, bool]], epochs: int = 12, rate: float = 0.25) ->
             model.weights += rate * step / np.sqrt(seen)
             model.trans += rate * step_trans / np.sqrt(seen_trans)
             model.start += rate * step_start / np.sqrt(seen_start)
-    prob, _, _ = marginals(model.weights[feats].sum(1), w.first, model.trans, model.start)
-    model.curve = _curve(_evidence(prob, w.first), toxic.astype(float))
+    lift = np.concatenate([model.weights[feats[k:k + 50_000]].sum(1) for k in range(0, max(1, len(feats)), 50_000)])
+    prob, _, _ = marginals(lift, first_of, model.trans, model.start)
+    model.curve = _curve(_evidence(prob, first_of), toxic.astype(float))
     model.weights = model.weights.astype(np.float32)
     return model
 
@@ -163,7 +173,7 @@ def score(texts: list[str | None], model: Model) -> list[tuple[float, list[dict]
 
 
 def fit(
-    df: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = 2500, max_chars: int = 8000, folds: int = 5,
+    df: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = 2000, max_chars: int = 6000, folds: int = 5,
 ) -> Model:
     """Train on a bounded sample: about ``per_class`` labelled texts of each class, of at most ``max_chars`` characters.
 
