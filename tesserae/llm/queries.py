@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.llm import langid, simhash, toxicity
+from tesserae.llm import langid, simhash, substrings, toxicity
 from tesserae.llm.frames import fold_of, prepare
 from tesserae.sources.tables import table
 
@@ -32,5 +32,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language}
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate passages of at least 50 words between all documents, and whole copies."""
+    return substrings.repeated_passages(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_substrings": op8_substrings,
+}
 ORACLE: dict[str, str] = {}
