@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.llm import langid, simhash, substrings, toxicity
+from tesserae.llm import langid, packing, simhash, substrings, toxicity
 from tesserae.llm.frames import fold_of, prepare
 from tesserae.sources.tables import table
 
@@ -37,7 +38,12 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(prepare(spark), sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
-    "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op8_substrings": op8_substrings,
+    "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op8_substrings": op8_substrings,
 }
 ORACLE: dict[str, str] = {}
