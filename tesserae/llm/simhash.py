@@ -13,6 +13,7 @@ each member of a connected group, so output stays linear while no link is lost.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -23,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from xxhash import xxh64_intdigest
 
 from tesserae.llm.components import components
-from tesserae.llm.frames import cut, fold_of, free_name  # noqa: F401
+from tesserae.llm.frames import cut, free_name
 
 SEED = 42
 #: Buckets up to this size are joined in the JVM; larger ones go to cells of about CELL fingerprints.
@@ -55,15 +56,24 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=count)
 
 
-def word_set_hashes(text: str | None) -> np.ndarray:
-    """XXH64 of every distinct word."""
-    words = set((text or "").encode("utf-8").lower().split())
-    return np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), dtype=np.uint64, count=len(words))
+def weighted_words(text: str | None) -> int:
+    """Fingerprint over distinct words, each with the square root of its count as weight.
+
+    An edited word moves far fewer bits of it than of a fingerprint over shingles.
+    """
+    counts = Counter((text or "").encode("utf-8").lower().split())
+    hashes = np.fromiter(map(xxh64_intdigest, counts, repeat(SEED)), dtype=np.uint64, count=len(counts))
+    weights = np.sqrt(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
+    votes = np.zeros(64)
+    for start in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[start:start + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64)
+        votes += weights[start:start + (1 << 14)] @ bits
+    return int.from_bytes(np.packbits(votes * 2 > weights.sum()).tobytes(), "big")
 
 
 def fingerprint(text: str | None, width: int | None) -> int:
-    """Fingerprint of one text, as a signed 64-bit number; ``width`` None: of its set of words."""
-    value = majority(word_set_hashes(text) if width is None else shingle_hashes(text, width))
+    """Fingerprint of one text, as a signed 64-bit number; ``width`` None: of its weighted words."""
+    value = weighted_words(text) if width is None else majority(shingle_hashes(text, width))
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -158,3 +168,83 @@ def near_duplicates(
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+#: Deduplication: words of a shingle, least Jaccard similarity, and how far fingerprints of weighted words may differ.
+SHINGLE, SIMILARITY, REACH, REACH_BLOCKS, REACH_SHARED = 5, 0.8, 6, 9, 3
+#: Components of up to this many texts compare all pairs at once; larger ones compare all with their first text, round by round.
+SMALL_COMPONENT = 64
+
+
+def _shingle_sets(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    @pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in texts])
+
+    return df.withColumn(name, of(F.col(text_col)))
+
+
+def _greedy(group: pd.DataFrame) -> pd.DataFrame:
+    """Texts of one component that go: those similar to an earlier one that stays."""
+    gone: set[int] = set()
+    for a, b in sorted(zip(group["a_rank"], group["b_rank"])):
+        if a not in gone:
+            gone.add(b)
+    names = dict(zip(group["b_rank"], group["b"]))
+    return pd.DataFrame({"tid": pd.Series([names[r] for r in sorted(gone)], dtype="int64")})
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.filter(both >= SIMILARITY * (F.size("a_set") + F.size("b_set") - both))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one document of each group of near copies.
+
+    Of equal texts the row of smallest identifier stays (null identifiers last, of repeated
+    rows one); null and empty texts are equal.  Different texts whose fingerprints connect
+    them are compared by their 5-word shingles, earliest identifier first: a text goes if it
+    has a similarity of 0.8 or more to one that stays.  Rows that stay are unchanged, with
+    all their columns; an empty table stays empty.
+    """
+    tid, first = free_name(df, "tid"), free_name(df, "first")
+    keyed = df.withColumn(tid, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.length(F.coalesce(F.col(text_col), F.lit("")))))
+    named = with_fingerprint(keyed.select(F.col(tid).alias("tid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", "fp", None)
+    texts = cut(named.groupBy("tid").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("rows")))
+    roots = components(links(texts.select("fp").distinct(), REACH, REACH_BLOCKS, REACH_SHARED))
+    placed = texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("tid", F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.coalesce("root", "fp").alias("root"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut(placed.join(sizes, "root").select("tid", "id", "root"))
+    wanted = members.select(F.col("tid").alias(tid)).join(texts.select(F.col("tid").alias(tid), F.col("id").alias(first)), tid)
+    held = keyed.select(tid, F.col(id_col).cast("long").alias(first), F.col(text_col).alias("text"))
+    held = held.join(wanted.select(tid, first), [tid], "left_semi").join(wanted, held[first].eqNullSafe(wanted[first]) & (held[tid] == wanted[tid]), "left_semi")
+    sets = cut(_shingle_sets(held.select(F.col(tid).alias("tid"), "text").dropDuplicates(["tid"]), "text", "words").select("tid", "words"))
+    rest, gone = members, []
+    while True:
+        groups = rest.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("id", "tid")).alias("lead")).filter("n > 1")
+        waiting = cut(rest.join(groups, "root"))
+        own = waiting.join(sets, "tid")
+        small = own.filter(F.col("n") <= SMALL_COMPONENT)
+        side = lambda k: small.select("root", F.col("tid").alias(k), F.struct("id", "tid").alias(f"{k}_at"), F.col("words").alias(f"{k}_set"))
+        pairs = _similar(side("a").join(side("b"), "root").filter("a_at < b_at"))
+        edges = pairs.select("root", "b", F.concat_ws("/", F.lpad(F.col("a_at.id").cast("string"), 20, "0"), F.col("a").cast("string")).alias("a_rank"), F.concat_ws("/", F.lpad(F.col("b_at.id").cast("string"), 20, "0"), F.col("b").cast("string")).alias("b_rank"))
+        gone.append(cut(edges.groupBy("root").applyInPandas(_greedy, "tid long")))
+        large = waiting.filter(F.col("n") > SMALL_COMPONENT)
+        if large.isEmpty():
+            break
+        leads = sets.join(large.select("root", F.col("lead.tid").alias("tid")).distinct(), "tid").select("root", F.col("words").alias("a_set"))
+        follow = own.filter((F.col("n") > SMALL_COMPONENT) & (F.col("tid") != F.col("lead.tid"))).select("root", "tid", F.col("words").alias("b_set"))
+        alike = cut(_similar(follow.join(leads, "root")).select("tid"))
+        gone.append(alike)
+        rest = cut(large.filter(F.col("tid") != F.col("lead.tid")).select("tid", "id", "root").join(alike, "tid", "left_anti"))
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    stays = cut(texts.join(out, "tid", "left_anti"))
+    kept = keyed.join(stays.select(F.col("tid").alias(tid), F.col("id").alias(first)), tid)
+    kept = kept.filter(F.col(id_col).cast("long").eqNullSafe(F.col(first)))
+    again = keyed.groupBy(tid, F.col(id_col).cast("long").alias(first)).count().filter("count > 1").select(tid)   # repeated rows only
+    repeated = kept.join(again, tid, "left_semi").dropDuplicates([tid])
+    return kept.join(again, tid, "left_anti").unionByName(repeated).select(*df.columns)
