@@ -14,6 +14,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,28 @@ SEQUENCE = 16.0
 #: Tokens gathered before windows are chosen; the last TAIL windows wait for the tokens that follow.
 BUFFER, TAIL = 1 << 18, 4
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 BATCH_CHARS = 1_000_000
+#: Marks that may stand behind the letters of a word; the vocabulary never joins them with letters.
+MARKS = ".,!?;:*$&#%|"
 STOPS = (".", "!", "?", "…", "。", "！", "？")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """What byte-level vocabularies write for each byte: itself where printable, else the next letter from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of whole texts; words between spaces and line breaks are encoded once and remembered.
 
     The vocabulary drops white space and never joins over it, so a text's ids are those of
-    its words one after another.
+    its words one after another.  A word of Latin letters with marks behind it is looked up
+    as its lower-case letters, given to the vocabulary's model directly, and its marks;
+    every other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -49,35 +61,66 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
         self.forget()
+        trial = ["The", "words", "Ünï", "straße", "niño", "façade", "aiaiai", "THING"]
+        self.direct = all(self.of_letters(w.lower()) == self.whole([w])[0] for w in trial) and self.whole(["The.,"])[0] == self.whole(["the"])[0] + self.whole([".,"])[0]
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.offsets, self.stops = [np.zeros(0, np.uint32)], [0], []
+        self.known: dict[str, list[int]] = {}
+        self.flat, self.offsets, self.stops = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], [np.zeros(0, bool)]
+
+    def whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def of_letters(self, core: str) -> list[int]:
+        found = self.known.get(core)
+        if found is None:
+            written = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.letters)
+            found = self.known[core] = [t.id for t in self.tokenizer.model.tokenize(written)]
+        return found
+
+    def learn(self, fresh: list[str]) -> None:
+        """Remember the ids of new words."""
+        ids: list[list[int] | None] = [None] * len(fresh)
+        slow = []
+        for k, word in enumerate(fresh):
+            core = word.rstrip(MARKS)
+            if self.direct and core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                own, marks = self.of_letters(core.lower()), word[len(core):]
+                if marks and marks not in self.known:
+                    self.known[marks] = self.whole([marks])[0]
+                ids[k] = own + self.known[marks] if marks else own
+            else:
+                slow.append(k)
+        for start in range(0, len(slow), 4096):
+            part = slow[start:start + 4096]
+            for k, own in zip(part, self.whole([fresh[k] for k in part])):
+                ids[k] = own
+        at = len(self.place)
+        self.place.update(zip(fresh, range(at, at + len(fresh))))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.offsets.append(self.offsets[-1][-1] + np.cumsum(sizes))
+        self.flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())))
+        self.stops.append(np.fromiter((w == "\n" or w.endswith(STOPS) for w in fresh), dtype=bool, count=len(fresh)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the token count of each, and the positions just after which a sentence ends."""
         words = [text.replace("\n", " \n ").split(" ") for text in texts]
-        known = self.place
-        if len(known) > REMEMBERED:
+        if len(self.place) > REMEMBERED:
             self.forget()
-            known = self.place
-        fresh = list(set().union(*words).difference(known)) if words else []
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k:k + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            for word, own in zip(part, ids):
-                known[word] = len(self.stops)
-                self.offsets.append(self.offsets[-1] + len(own))
-                self.stops.append(word == "\n" or word.endswith(STOPS))
-            self.flat.append(np.fromiter((i for own in ids for i in own), dtype=np.uint32))
-        flat, offsets = np.concatenate(self.flat), np.array(self.offsets)
-        self.flat, stops = [flat], np.array(self.stops, dtype=bool)
-        at = np.fromiter((known[w] for own in words for w in own), dtype=np.int64, count=sum(map(len, words)))
+        fresh = set(chain.from_iterable(words)).difference(self.place)
+        if fresh:
+            self.learn(list(fresh))
+            self.flat, self.offsets, self.stops = ([np.concatenate(x)] for x in (self.flat, self.offsets, self.stops))
+        flat, offsets, stops = self.flat[0], self.offsets[0], self.stops[0]
+        counts = [len(own) for own in words]
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sum(counts))
         size = offsets[at + 1] - offsets[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.repeat(offsets[at] - ends[:-1], size) + np.arange(ends[-1])]
-        first = np.concatenate([[0], np.cumsum([len(own) for own in words])]).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         return ids, np.diff(ends[first]), np.unique(ends[1:][stops[at]])
 
 
