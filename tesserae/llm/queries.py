@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.llm import langid, packing, simhash, substrings, toxicity
+from tesserae.llm import langid, media, packing, simhash, substrings, toxicity
 from tesserae.llm.frames import fold_of, prepare
 from tesserae.sources.tables import table
 
@@ -43,7 +43,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as 8-bit samples of a WAV file, whose type and payload are found again from the bytes alone."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    stored = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.store_text("text").alias("media"), F.lit("image/png").alias("declared"))
+    found = media.inspect(stored, "media", "declared")
+    whole = F.col("media_whole")
+    read = found.withColumn("payload", F.substring(F.col("media"), (whole["data_start"] + 1).cast("int"), whole["data_length"].cast("int")))
+    tail = F.substring(F.col("payload"), -64, 64)
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.col("media_type"), media.sample_feature("payload"), F.concat(F.lit("embedded="), F.size("media_embedded").cast("string"))).alias("feature"),
+        "declared_ok",
+    )
+
+
 QUERIES = {
     "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op8_substrings": op8_substrings,
+    "op10_media": op10_media,
 }
 ORACLE: dict[str, str] = {}
