@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.llm import langid, media, packing, simhash, substrings, toxicity
+from tesserae.llm import langid, media, nearest, packing, piecewise, simhash, substrings, toxicity
 from tesserae.llm.frames import fold_of, prepare
 from tesserae.sources.tables import table
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every embedding whose id is divisible by 20."""
+    return nearest.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of every document: 3-word shingles, at most 2 differing bits."""
     found = simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"), width=3, distance=2)
@@ -43,6 +48,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the scored pieces of a public model and decoded again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    read = piecewise.decode(piecewise.encode(docs, model, "text", "ids"), model, "ids", "decoded")
+    ids = F.col("ids")
+    return read.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size(ids).cast("long").alias("n_pieces"),
+        F.crc32(F.array_join(ids, ",").cast("binary")).alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as 8-bit samples of a WAV file, whose type and payload are found again from the bytes alone."""
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -60,7 +77,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_nearest": op2_nearest,
     "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op8_substrings": op8_substrings,
-    "op10_media": op10_media,
+    "op7_pieces": op7_pieces, "op10_media": op10_media,
 }
 ORACLE: dict[str, str] = {}
