@@ -152,7 +152,7 @@ class Pieces:
 
         One space that encoding put before the text is taken away again.
         """
-        raw = b"".join(map(self.shown.__getitem__, ids or ()))
+        raw = b"".join(map(self.shown.__getitem__, () if ids is None else ids))
         text = raw.decode("utf-8", errors="replace")
         return text[1:] if self.dummy and text[:1] == " " else text
 
@@ -179,7 +179,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", out: str = "text") -
     @pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield pd.Series([pieces(model).decode(r) for r in rows], dtype=object)
+            yield pd.Series([pieces(model).decode(None if r is None else list(r)) for r in rows], dtype=object)
 
     return df.withColumn(out, of(F.col(ids_col)))
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from xxhash import xxh64_intdigest
 
+from tesserae.llm.codes import mix
 from tesserae.llm.components import components
 from tesserae.llm.frames import cut, free_name
 
@@ -172,79 +173,76 @@ def near_duplicates(
 
 #: Deduplication: words of a shingle, least Jaccard similarity, and how far fingerprints of weighted words may differ.
 SHINGLE, SIMILARITY, REACH, REACH_BLOCKS, REACH_SHARED = 5, 0.8, 6, 9, 3
-#: Components of up to this many texts compare all pairs at once; larger ones compare all with their first text, round by round.
-SMALL_COMPONENT = 64
+#: Components of up to this many texts compare all pairs; larger ones compare texts that share one of MINIMA min-hashes with the first that has it.
+SMALL_COMPONENT, MINIMA = 64, 8
+_SALTS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _shingle_sets(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    @pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in texts])
-
-    return df.withColumn(name, of(F.col(text_col)))
+def _shingle_sets(df: DataFrame) -> DataFrame:
+    """(tid, words, minima): hashes of the distinct shingles of each text of ``df(tid, text)``, and their min-hashes."""
 
+    @pandas_udf("struct<words:array<long>,minima:array<long>>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in texts]
+            minima = [[int(m) for m in (mix(s ^ salt).min().view(np.int64) for salt in _SALTS)] if len(s) else [] for s in sets]
+            yield pd.DataFrame({"words": [s.view(np.int64) for s in sets], "minima": minima})
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """Texts of one component that go: those similar to an earlier one that stays."""
-    gone: set[int] = set()
-    for a, b in sorted(zip(group["a_rank"], group["b_rank"])):
-        if a not in gone:
-            gone.add(b)
-    names = dict(zip(group["b_rank"], group["b"]))
-    return pd.DataFrame({"tid": pd.Series([names[r] for r in sorted(gone)], dtype="int64")})
+    return df.select("tid", of("text").alias("of")).select("tid", "of.words", "of.minima")
 
 
-def _similar(pairs: DataFrame) -> DataFrame:
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.filter(both >= SIMILARITY * (F.size("a_set") + F.size("b_set") - both))
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of texts whose shingles are similar enough."""
+    own = sets.select("tid", "words")
+    both = pairs.join(own.withColumnsRenamed({"tid": "u", "words": "u_set"}), "u").join(own.withColumnsRenamed({"tid": "v", "words": "v_set"}), "v")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return both.filter(common >= SIMILARITY * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each group of near copies.
+    """``df`` with one document of each group of near copies, the one of smallest identifier.
 
-    Of equal texts the row of smallest identifier stays (null identifiers last, of repeated
-    rows one); null and empty texts are equal.  Different texts whose fingerprints connect
-    them are compared by their 5-word shingles, earliest identifier first: a text goes if it
-    has a similarity of 0.8 or more to one that stays.  Rows that stay are unchanged, with
-    all their columns; an empty table stays empty.
+    Equal texts are one group (null and empty ones are equal).  Different texts whose
+    fingerprints connect them are compared by their 5-word shingles; those of similarity 0.8
+    or more are of one group, over any number of steps.  Null identifiers come last, of
+    repeated rows one stays.  Rows that stay are unchanged, with all their columns; an empty
+    table stays empty.
     """
     tid, first = free_name(df, "tid"), free_name(df, "first")
-    keyed = df.withColumn(tid, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.length(F.coalesce(F.col(text_col), F.lit("")))))
+    plain = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = df.withColumn(tid, F.xxhash64(plain, F.length(plain)))
     named = with_fingerprint(keyed.select(F.col(tid).alias("tid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", "fp", None)
-    texts = cut(named.groupBy("tid").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("rows")))
+    texts = cut(named.groupBy("tid").agg(F.min("id").alias("id"), F.min("fp").alias("fp")))
     roots = components(links(texts.select("fp").distinct(), REACH, REACH_BLOCKS, REACH_SHARED))
     placed = texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("tid", F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.coalesce("root", "fp").alias("root"))
     sizes = placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(placed.join(sizes, "root").select("tid", "id", "root"))
-    wanted = members.select(F.col("tid").alias(tid)).join(texts.select(F.col("tid").alias(tid), F.col("id").alias(first)), tid)
-    held = keyed.select(tid, F.col(id_col).cast("long").alias(first), F.col(text_col).alias("text"))
-    held = held.join(wanted.select(tid, first), [tid], "left_semi").join(wanted, held[first].eqNullSafe(wanted[first]) & (held[tid] == wanted[tid]), "left_semi")
-    sets = cut(_shingle_sets(held.select(F.col(tid).alias("tid"), "text").dropDuplicates(["tid"]), "text", "words").select("tid", "words"))
-    rest, gone = members, []
+    members = cut(placed.join(sizes, "root"))
+    held = keyed.select(F.col(tid).alias("tid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = members.select("tid").join(texts.select("tid", F.col("id").alias("own")), "tid")
+    held = held.join(wanted, "tid").filter(F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["tid"])
+    sets = cut(_shingle_sets(held))
+    small = members.filter(F.col("n") <= SMALL_COMPONENT)
+    pairs = small.select("root", F.col("tid").alias("u")).join(small.select("root", F.col("tid").alias("v")), "root").filter("u < v").select("u", "v")
+    edges = [cut(_similar(pairs, sets))]
+    rest = members.filter(F.col("n") > SMALL_COMPONENT).join(sets.select("tid", "minima"), "tid").select("tid", "id", F.posexplode("minima").alias("way", "least"))
     while True:
-        groups = rest.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("id", "tid")).alias("lead")).filter("n > 1")
-        waiting = cut(rest.join(groups, "root"))
-        own = waiting.join(sets, "tid")
-        small = own.filter(F.col("n") <= SMALL_COMPONENT)
-        side = lambda k: small.select("root", F.col("tid").alias(k), F.struct("id", "tid").alias(f"{k}_at"), F.col("words").alias(f"{k}_set"))
-        pairs = _similar(side("a").join(side("b"), "root").filter("a_at < b_at"))
-        edges = pairs.select("root", "b", F.concat_ws("/", F.lpad(F.col("a_at.id").cast("string"), 20, "0"), F.col("a").cast("string")).alias("a_rank"), F.concat_ws("/", F.lpad(F.col("b_at.id").cast("string"), 20, "0"), F.col("b").cast("string")).alias("b_rank"))
-        gone.append(cut(edges.groupBy("root").applyInPandas(_greedy, "tid long")))
-        large = waiting.filter(F.col("n") > SMALL_COMPONENT)
-        if large.isEmpty():
+        groups = rest.groupBy("way", "least").agg(F.min(F.struct("id", "tid")).getField("tid").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        follow = cut(rest.join(groups, ["way", "least"]).filter("tid <> lead"))
+        new = cut(_similar(follow.select(F.col("lead").alias("u"), F.col("tid").alias("v")).distinct(), sets))
+        edges.append(new)
+        if new.isEmpty():
             break
-        leads = sets.join(large.select("root", F.col("lead.tid").alias("tid")).distinct(), "tid").select("root", F.col("words").alias("a_set"))
-        follow = own.filter((F.col("n") > SMALL_COMPONENT) & (F.col("tid") != F.col("lead.tid"))).select("root", "tid", F.col("words").alias("b_set"))
-        alike = cut(_similar(follow.join(leads, "root")).select("tid"))
-        gone.append(alike)
-        rest = cut(large.filter(F.col("tid") != F.col("lead.tid")).select("tid", "id", "root").join(alike, "tid", "left_anti"))
-    out = gone[0]
-    for more in gone[1:]:
-        out = out.unionByName(more)
-    stays = cut(texts.join(out, "tid", "left_anti"))
-    kept = keyed.join(stays.select(F.col("tid").alias(tid), F.col("id").alias(first)), tid)
-    kept = kept.filter(F.col(id_col).cast("long").eqNullSafe(F.col(first)))
-    again = keyed.groupBy(tid, F.col(id_col).cast("long").alias(first)).count().filter("count > 1").select(tid)   # repeated rows only
+        done = new.withColumnsRenamed({"u": "lead", "v": "tid"})
+        rest = cut(follow.join(done, ["lead", "tid"], "left_anti").drop("lead"))   # they go on without the first text of their group
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.unionByName(more)
+    groups = components(every)
+    ranked = texts.join(groups.withColumnRenamed("node", "tid"), "tid").select("root", "tid", F.coalesce("id", F.lit(2**63 - 1)).alias("id"))
+    stay = ranked.groupBy("root").agg(F.min(F.struct("id", "tid")).getField("tid").alias("stays"))
+    gone = ranked.join(stay, "root").filter("tid <> stays").select("tid")
+    stays = cut(texts.join(gone, "tid", "left_anti"))
+    kept = keyed.join(stays.select(F.col("tid").alias(tid), F.col("id").alias(first)), tid).filter(F.col(id_col).cast("long").eqNullSafe(F.col(first)))
+    again = keyed.groupBy(tid, F.col(id_col).cast("long").alias(first)).count().filter("count > 1").select(tid).distinct()   # repeated rows only
     repeated = kept.join(again, tid, "left_semi").dropDuplicates([tid])
     return kept.join(again, tid, "left_anti").unionByName(repeated).select(*df.columns)
