@@ -5,11 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.llm import langid, media, nearest, packing, piecewise, simhash, substrings, toxicity
+from tesserae.llm import langid, media, nearest, packing, piecewise, simhash, substrings, toxicity, urls
 from tesserae.llm.frames import fold_of, prepare
 from tesserae.sources.tables import table
 
 
+#: Host and path rules of the URL query, longest first to win.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, blocked) of pages whose path names a labelled document: blocked if it is toxic or of low quality."""
+    named = pages.select("url", F.element_at(F.regexp_extract_all(urls.path_of(F.col("url")), F.lit(r"([0-9]{1,18})"), F.lit(1)), -1).cast("long").alias("doc_id"))
+    bad = labels.groupBy("doc_id").agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("blocked"))
+    return named.filter("doc_id IS NOT NULL").join(bad, "doc_id").select("url", "blocked")
+
+
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL: the list's rule, else the rules mined from labelled pages."""
+    pages = table(prepare(spark), sf_dir, "pages").select("page_id", "url")
+    mined = urls.mine(labelled_urls(pages, table(spark, sf_dir, "labels")))
+    return urls.judge(pages, URL_RULES, mined).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every embedding whose id is divisible by 20."""
     return nearest.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -77,7 +95,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_nearest": op2_nearest,
+    "op1_urls": op1_urls, "op2_nearest": op2_nearest,
     "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op8_substrings": op8_substrings,
     "op7_pieces": op7_pieces, "op10_media": op10_media,
 }
