@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.llm import langid, media, nearest, packing, piecewise, simhash, substrings, toxicity, urls
+from tesserae.llm import htmltext, langid, media, nearest, packing, piecewise, simhash, substrings, toxicity, urls
 from tesserae.llm.frames import fold_of, prepare
 from tesserae.sources.tables import table
 
@@ -78,6 +78,13 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(prepare(spark), sf_dir, "pages")
+    found = htmltext.main_text(pages.select("page_id", "url", "html"), htmltext.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as 8-bit samples of a WAV file, whose type and payload are found again from the bytes alone."""
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -97,6 +104,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_urls": op1_urls, "op2_nearest": op2_nearest,
     "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op8_substrings": op8_substrings,
-    "op7_pieces": op7_pieces, "op10_media": op10_media,
+    "op7_pieces": op7_pieces, "op9_html": op9_html, "op10_media": op10_media,
 }
 ORACLE: dict[str, str] = {}
