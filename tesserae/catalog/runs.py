@@ -18,11 +18,18 @@ from .sqlkit import Sql
 _written: dict[tuple[str, str], str] = {}
 
 
+def _fingerprint(spark, d) -> str:
+    """Names, sizes and times of the embeddings' files: another table has another one, whatever its path."""
+    files = table(spark, d, "embeddings").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    listed = files.select(F.sha2(F.concat_ws("|", "file_path", "file_size", "file_modification_time"), 256).alias("h"))
+    return listed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)).first()[0]
+
+
 def run_rows(spark, d):
-    """The run table of a folder, computed once per application and kept in the shared folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """The run table of a folder, computed once for the files it holds and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, d))
     if key not in _written:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tesserae-runs-{key[0]}-{abs(hash(d))}"
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tesserae-runs-{key[0]}-{key[1][:16]}"
         grid.run_table(carriers.vector_blocks(spark, d), keyring(spark)).write.mode("overwrite").parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])

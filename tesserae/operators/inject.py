@@ -454,7 +454,7 @@ def damage_summary(damaged: DataFrame, keys: list[str]) -> DataFrame:
         F.first("truth_px").alias("t"), F.collect_list(same).alias("same"),
     )
     still = F.aggregate(
-        F.slice("same", 2, 3), F.element_at("same", 1), lambda acc, s: F.zip_with(acc, s, lambda a, b: a & b)
+        F.slice("same", F.lit(2), F.size("same")), F.element_at("same", 1), lambda acc, s: F.zip_with(acc, s, lambda a, b: a & b)
     )
     return (
         per_block.withColumn("n_px", F.size("t").cast("bigint"))

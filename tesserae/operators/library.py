@@ -55,11 +55,13 @@ def identify(received: DataFrame, archive: DataFrame, records: DataFrame, ring:
              block: int = 8) -> DataFrame:
     """Best and second-best record per received set, with the number of blocks that verify.
 
-    A received block verifies under a record exactly when the record's key and identity
-    reproduce the tag it carries, and then the archive holds that tag at the same place.
-    So candidates come from an equi-join on (shape, channel, index, carried tag), whose
-    keys are keyed hashes and cannot be hot, and each is confirmed by recomputing the tag.
-    Testing every record of a shape against every block would be a product.
+    A received block counts for a record when the archive holds the tag it carries at the
+    same place and the record's key and identity reproduce that tag.  So candidates come
+    from an equi-join on (shape, channel, index, carried tag), whose keys are keyed hashes
+    and cannot be hot, and each is confirmed by recomputing the tag.  Testing every record
+    of a shape against every block would be a product.  Blocks that a newer version sealed
+    under the same identity and key changed are therefore not credited to the older record.
+    Every received set is listed, whichever of its blocks are missing.
 
     received: (query_id, height, width, ch, idx, px); archive: (record_id, ch, idx, tag);
     records: (record_id, owner_id, key_id, height, width, n_blocks, n_channels).
@@ -88,7 +90,7 @@ def identify(received: DataFrame, archive: DataFrame, records: DataFrame, ring:
         F.max(F.when(F.col("_rn") == 2, F.col("verifying"))).alias("runner_up"),
     )
     shapes = records.groupBy("height", "width").agg(F.count(F.lit(1)).alias("n_candidates"))
-    asked = received.filter((F.col("idx") == 0) & (F.col("ch") == 0)).select("query_id", "height", "width").join(
+    asked = received.select("query_id", "height", "width").distinct().join(
         shapes, ["height", "width"], "left"
     )
     found = asked.join(top, "query_id", "left")
@@ -127,7 +129,7 @@ def verify_against_library(received: DataFrame, archive: DataFrame, records: Dat
     diff = F.zip_with("px", "px_stored", lambda x, y: x != y)
     per_block = both.groupBy("query_id", "record_id", "idx").agg(F.collect_list(diff).alias("_ds")).withColumn(
         "_any",
-        F.aggregate(F.slice("_ds", 2, 3), F.element_at("_ds", 1), lambda acc, s: F.zip_with(acc, s, lambda p, q: p | q)),
+        F.aggregate(F.slice("_ds", F.lit(2), F.size("_ds")), F.element_at("_ds", 1), lambda acc, s: F.zip_with(acc, s, lambda p, q: p | q)),
     ).withColumn("_changed", score.count_true("_any"))
     joined = per_block.join(mask.select("query_id", "idx", "flagged"), ["query_id", "idx"])
     cells = score.confusion(F.col("flagged"), F.col("_changed") > 0)

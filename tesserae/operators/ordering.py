@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.hashing import hash_fraction
 
 RANGE_WIDTH = 1 << 16      # distinct order keys per rank bucket
-CYCLE_BUCKET = 1_000_000   # rows a table may have per cycle bucket
+CYCLE_BUCKET = 1_000_000   # rows of a group in one cycle bucket
 
 
 def dense_index(df: DataFrame, group: str, order: str, out: str, total: str, width: int = RANGE_WIDTH) -> DataFrame:
@@ -41,54 +41,53 @@ def cycle_neighbours(
     tie: str,
     carry: list[str],
     bucket: Column | None = None,
+    carry_prev: list[str] | None = None,
 ) -> DataFrame:
     """Next and previous row of each row on the cycle that orders a group by ``order, tie``.
 
-    Adds ``next_<col>`` and ``prev_<col>`` for every carried column.  Without ``bucket`` a
-    group must be of bounded size (one page, one document).  For unbounded groups pass a
-    bucket that never falls along the order; the group is then cut into buckets, lead/lag
-    work inside a bucket, and a bucket's ends get one sentinel row each from the
-    neighbouring buckets, so rows are shuffled once and never joined.
+    Adds ``next_<col>`` for every column of ``carry`` and ``prev_<col>`` for those of
+    ``carry_prev`` (the same where not given).  Without ``bucket`` a group must be of
+    bounded size (one page, one document).  For unbounded groups pass a bucket that never
+    falls along the order; the group is then cut into buckets, lead/lag work inside a
+    bucket, and a bucket's ends get one sentinel row each from the neighbouring buckets, so
+    rows are shuffled once and never joined.
     """
+    back = carry if carry_prev is None else carry_prev
     if bucket is None:
         inside = Window.partitionBy(*group).orderBy(order, tie)
         whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        row = F.struct(*carry)
-        out = df.withColumn("_next", F.coalesce(F.lead(row).over(inside), F.first(row).over(whole)))
-        out = out.withColumn("_prev", F.coalesce(F.lag(row).over(inside), F.last(row).over(whole)))
-        added = [F.col(f"_{side}.{c}").alias(f"{side}_{c}") for side in ("next", "prev") for c in carry]
-        return out.select(*df.columns, *added)
+        steps = [("next", c, F.lead(F.struct(c)).over(inside), F.first(c).over(whole)) for c in carry]
+        steps += [("prev", c, F.lag(F.struct(c)).over(inside), F.last(c).over(whole)) for c in back]
+        return df.select(*df.columns, *[
+            F.when(step.isNull(), edge).otherwise(step[c]).alias(f"{side}_{c}") for side, c, step, edge in steps
+        ])
 
     rows = df.withColumn("_b", bucket)
-    packed = F.struct(F.col(order).alias("_d"), F.col(tie).alias("_t"), F.struct(*carry).alias("_row"))
-    ends = rows.groupBy(*group, "_b").agg(F.min(packed).alias("_first"), F.max(packed).alias("_last"))
+    ends = rows.groupBy(*group, "_b").agg(
+        F.min(F.struct(F.col(order).alias("_d"), F.col(tie).alias("_t"), F.struct(*carry).alias("_row"))).alias("_first"),
+        F.max(F.struct(F.col(order).alias("_d"), F.col(tie).alias("_t"), F.struct(*back).alias("_row"))).alias("_last"),
+    )
     along = Window.partitionBy(*group).orderBy("_b")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sentinels = ends.select(
+    edges = ends.select(
         *group, "_b",
         F.coalesce(F.lag("_last").over(along), F.last("_last").over(whole)).alias("_before"),
         F.coalesce(F.lead("_first").over(along), F.first("_first").over(whole)).alias("_after"),
-    ).select(
-        *group, "_b",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("s"), F.col("_before._row").alias("row")),
-            F.struct(F.lit(2).alias("s"), F.col("_after._row").alias("row")),
-        )).alias("_x"),
-    ).select(*group, "_b", F.col("_x.s").alias("_s"), *[F.col(f"_x.row.{c}").alias(c) for c in carry])
+    )
+    before = edges.select(*group, "_b", F.lit(0).alias("_s"), *[F.col(f"_before._row.{c}").alias(c) for c in back])
+    after = edges.select(*group, "_b", F.lit(2).alias("_s"), *[F.col(f"_after._row.{c}").alias(c) for c in carry])
     inside = Window.partitionBy(*group, "_b").orderBy("_s", order, tie)
-    both = rows.withColumn("_s", F.lit(1)).unionByName(sentinels, allowMissingColumns=True)
-    added = [
-        step(c).over(inside).alias(f"{side}_{c}")
-        for side, step in (("next", F.lead), ("prev", F.lag)) for c in carry
-    ]
+    both = rows.withColumn("_s", F.lit(1)).unionByName(before, allowMissingColumns=True).unionByName(after, allowMissingColumns=True)
+    added = [F.lead(c).over(inside).alias(f"next_{c}") for c in carry] + [F.lag(c).over(inside).alias(f"prev_{c}") for c in back]
     return both.select(*df.columns, "_s", *added).filter(F.col("_s") == 1).drop("_s")
 
 
-def digest_bucket(digest: str, buckets: int) -> Column:
+def digest_bucket(digest: str, buckets: int | Column) -> Column:
     """Bucket of a uniform hex digest; even whatever the group's size."""
     return F.floor(hash_fraction(F.col(digest)) * buckets).cast("bigint")
 
 
-def row_buckets(n_rows: int, rows_per_bucket: int = CYCLE_BUCKET) -> int:
-    """Bucket count from a table's row count: no bucket exceeds about rows_per_bucket rows."""
-    return max(1, -(-n_rows // rows_per_bucket))
+def hot_groups(df: DataFrame, group: str, rows_per_bucket: int = CYCLE_BUCKET) -> DataFrame:
+    """(group, buckets) of the groups of more than ``rows_per_bucket`` rows; reads the group column alone."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_bucket)
+    return sizes.select(group, F.ceil(F.col("_n") / rows_per_bucket).cast("bigint").alias("buckets"))

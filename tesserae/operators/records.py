@@ -1,8 +1,8 @@
 """Seal, verify and repair ordinary records; tag and backup travel in columns beside them.
 
 A record's content must not be altered, so the carried backup is the partner's exact
-content.  Owners (a month, a user) may be of any size: the cycle is cut into hash
-buckets and repair joins on the record key.
+content.  Owners (a month, a user) may be of any size: the cycle of a large one is cut
+into hash buckets and repair joins on the record key.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hmac_hex, netstrings, utf8
 from ..sources.keyring import with_key
-from .ordering import cycle_neighbours, digest_bucket
+from ..session import broadcast_if_small
+from .ordering import CYCLE_BUCKET, cycle_neighbours, digest_bucket, hot_groups
 
 MARK = "TSR1"
 TAG_DIGITS = 32
@@ -27,19 +28,47 @@ def record_tag() -> Column:
     return F.substring(hmac_hex(F.col("tag_in"), F.col("tag_out"), message), 1, TAG_DIGITS)
 
 
-def seal_records(records: DataFrame, ring: DataFrame, buckets: int = 1) -> DataFrame:
+LEAST_RECORDS = 3
+
+
+def validate_records(records: DataFrame, strict: bool = False) -> DataFrame:
+    """(owner_id, k, reason) of owners that cannot be sealed: fewer records than a single cycle of distinct partners needs.
+
+    In strict mode such owners raise an error.
+    """
+    rejects = records.groupBy("owner_id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") < LEAST_RECORDS)
+    rejects = rejects.select("owner_id", "k", F.lit(f"fewer than {LEAST_RECORDS} records").alias("reason"))
+    if strict and not rejects.isEmpty():
+        raise ValueError(f"owners with fewer than {LEAST_RECORDS} records: {[r.owner_id for r in rejects.limit(5).collect()]}")
+    return rejects
+
+
+def seal_records(records: DataFrame, ring: DataFrame, rows_per_bucket: int = CYCLE_BUCKET, strict: bool = False) -> DataFrame:
     """(owner_id, key_id, rec_key, content) -> the same plus holder, backup, backup_of, tag.
 
-    ``buckets`` comes from the table's row count (``row_buckets``); with one bucket the
-    whole table is small enough for any owner to be sorted in one task.
+    Owners of more than ``rows_per_bucket`` records have their cycle cut into buckets, each
+    owner into as many as its own size asks for; all others are sorted whole.  Owners of
+    fewer than three records would be their own or each other's only partner; they are left
+    out here and listed by ``validate_records`` (strict mode raises).
     """
+    if strict:
+        validate_records(records, strict=True)
     digest = hmac_hex(F.col("map_in"), F.col("map_out"), utf8(netstrings(F.col("owner_id"), F.col("rec_key"))))
     keep = records.columns
     keyed = with_key(records, ring).withColumn("_digest", digest).select(*keep, "_digest")
-    placed = cycle_neighbours(
-        keyed, ["owner_id"], "_digest", "rec_key", ["rec_key", "content"],
-        digest_bucket("_digest", buckets) if buckets > 1 else None,
-    ).select(
+    hot = hot_groups(records, "owner_id", rows_per_bucket)
+    ways = (["owner_id"], "_digest", "rec_key", ["rec_key"])
+    back = ["rec_key", "content"]
+    if hot.isEmpty():
+        placed = cycle_neighbours(keyed, *ways, carry_prev=back)
+    else:
+        sized = keyed.join(broadcast_if_small(hot), "owner_id", "left")
+        columns = [*keep, "_digest", "next_rec_key", "prev_rec_key", "prev_content"]
+        cold = cycle_neighbours(sized.filter("buckets IS NULL"), *ways, carry_prev=back).select(*columns)
+        large = sized.filter("buckets IS NOT NULL")
+        placed = cold.unionByName(cycle_neighbours(large, *ways, digest_bucket("_digest", F.col("buckets")), back).select(*columns))
+    # one record is its own partner and two are each other's: the only cycles whose neighbours coincide
+    placed = placed.filter(F.col("next_rec_key") != F.col("prev_rec_key")).select(
         *keep, F.col("next_rec_key").alias("holder"),
         F.col("prev_content").alias("backup"), F.col("prev_rec_key").alias("backup_of"),
     )

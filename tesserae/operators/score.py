@@ -131,7 +131,7 @@ def truth_compare(stored: DataFrame, received: DataFrame, mask: DataFrame) -> Da
     both = both.withColumn("_d", F.zip_with("px", "px_stored", lambda x, y: x != y))
     per_block = both.groupBy("owner_id", "idx").agg(F.collect_list("_d").alias("_ds")).withColumn(
         "_any",
-        F.aggregate(F.slice("_ds", 2, 3), F.element_at("_ds", 1), lambda acc, s: F.zip_with(acc, s, lambda p, q: p | q)),
+        F.aggregate(F.slice("_ds", F.lit(2), F.size("_ds")), F.element_at("_ds", 1), lambda acc, s: F.zip_with(acc, s, lambda p, q: p | q)),
     )
     joined = per_block.withColumn("changed", count_true("_any")).withColumn("n", F.size("_any").cast("bigint")).join(
         mask.select("owner_id", "idx", "flagged"), ["owner_id", "idx"]

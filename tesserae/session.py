@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,11 +28,22 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names.
+
+    Where none is set, a session that runs in one process (tests, bench) gets a temporary
+    folder that goes with it; on a cluster a folder of one machine would lose data, so
+    that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if known.isDefined():
+            folder = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import netstrings, utf8
+from ..functions.pixels import to_bytes
 from ..operators.ordering import dense_index
 from .tables import spread, table
 
@@ -27,15 +28,8 @@ def quantize(vector: Column) -> Column:
     )
 
 
-def vector_blocks(spark: SparkSession, folder: str, channels: int = 1, ncols: int = GRID_COLUMNS) -> DataFrame:
-    """embeddings -> (owner_id, key_id, stem, height, width, block, k, ncols, ch, idx, r, c, px).
-
-    Consecutive vectors of a label fill pages of a block grid in raster order, three at a
-    time for three channels.  A page has at most PAGE_ROWS block rows, so that its height
-    fits the 16 bits the tag message gives it; every page is an owner of its own, and no
-    owner can grow past that size however many rows its label holds.  Pages are cropped
-    to whole rows, never padded.
-    """
+def _placed(spark: SparkSession, folder: str, channels: int, ncols: int) -> DataFrame:
+    """Quantized vectors with their page, its block count k, channel and index in the page."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "label", quantize(F.col("embedding")).alias("px"))
     placed = dense_index(vectors, "label", "vec_id", out="pos", total="n")
     page_cells = PAGE_ROWS * ncols
@@ -48,6 +42,21 @@ def vector_blocks(spark: SparkSession, folder: str, channels: int = 1, ncols: in
         .withColumn("k", (in_page - in_page % ncols).cast("bigint"))
         .withColumn("ch", (F.col("pos") % channels).cast("int"))
         .withColumn("idx", (cell - page * page_cells).cast("bigint"))
+    )
+
+
+def vector_blocks(spark: SparkSession, folder: str, channels: int = 1, ncols: int = GRID_COLUMNS) -> DataFrame:
+    """embeddings -> (owner_id, key_id, stem, height, width, block, k, ncols, ch, idx, r, c, px).
+
+    Consecutive vectors of a label fill pages of a block grid in raster order, three at a
+    time for three channels.  A page has at most PAGE_ROWS block rows, so that its height
+    fits the 16 bits the tag message gives it; every page is an owner of its own, and no
+    owner can grow past that size however many rows its label holds.  Pages are cropped
+    to whole rows, never padded; the vectors past the last whole row are
+    ``vector_leftovers``, which are sealed as records.
+    """
+    return (
+        _placed(spark, folder, channels, ncols)
         .filter(F.col("idx") < F.col("k"))
         .withColumn("height", F.floor(F.col("k") / ncols * 8).cast("bigint"))
         .withColumn("width", F.lit(ncols * 8).cast("bigint"))
@@ -67,6 +76,15 @@ def vector_blocks(spark: SparkSession, folder: str, channels: int = 1, ncols: in
     )
 
 
+def vector_leftovers(spark: SparkSession, folder: str, channels: int = 1, ncols: int = GRID_COLUMNS) -> DataFrame:
+    """The vectors that no whole grid row holds, as records (owner_id, key_id, rec_key, content), pooled by key."""
+    key = (F.col("label") % 5).cast("int")
+    return _placed(spark, folder, channels, ncols).filter(F.col("idx") >= F.col("k")).select(
+        F.concat(F.lit("vec|rest|"), key).alias("owner_id"), key.alias("key_id"),
+        F.col("vec_id").cast("string").alias("rec_key"), to_bytes(F.col("px")).alias("content"),
+    )
+
+
 def owner_id(stem: Column, height: Column, width: Column, block: Column) -> Column:
     """Identity given from outside, never from content: ``stem|HxW|B``."""
     return F.concat_ws("|", stem, F.concat(height, F.lit("x"), width), block.cast("string"))
@@ -99,19 +117,21 @@ def split_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    data = utf8(F.coalesce(F.col("text"), F.lit("")))
+    return spread(table(spark, folder, name).select(key, "text"), key).select(
+        F.col(key).alias("doc"), data.alias("data"), F.octet_length(data).cast("bigint").alias("size")
+    ).withColumn("k", F.ceil(F.col("size") / CHUNK).cast("bigint"))
+
+
 def text_chunks(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    """Whole 64-byte chunks of UTF-8 text: (owner_id, key_id, k, remainder, idx, content).
+    """Whole texts in 64-byte chunks of UTF-8: (owner_id, key_id, k, remainder, idx, content).
 
-    Bytes past the last whole chunk are reported, never padded.  Texts with fewer than
-    three chunks have no single cycle and are left out here (see the rejects job).
+    The last chunk holds what is left and may be shorter; nothing is padded or cut off.
+    Texts of fewer than three chunks have no single cycle; they are ``short_texts``.
     """
-    data = utf8(F.col("text"))
-    docs = spread(table(spark, folder, name).select(key, "text"), key).select(
-        F.col(key).alias("doc"), data.alias("data"), F.octet_length(data).cast("bigint").alias("size")
-    )
     return (
-        docs.filter(F.col("size") >= 3 * CHUNK)
-        .withColumn("k", F.floor(F.col("size") / CHUNK).cast("bigint"))
+        _texts(spark, folder, name, key).filter(F.col("k") >= 3)
         .withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
         .select(
             F.concat(F.lit("doc"), F.col("doc")).alias("owner_id"),
@@ -124,6 +144,14 @@ def text_chunks(spark: SparkSession, folder: str, name: str = "documents", key:
     )
 
 
+def short_texts(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """Texts too short for chunks of their own, as one record each, pooled by key."""
+    return _texts(spark, folder, name, key).filter(F.col("k") < 3).select(
+        F.concat(F.lit("doc|short|"), F.col("doc") % 5).alias("owner_id"), (F.col("doc") % 5).cast("int").alias("key_id"),
+        F.col("doc").cast("string").alias("rec_key"), F.col("data").alias("content"),
+    )
+
+
 def cents(amount: Column) -> Column:
     return F.rint(amount * 100).cast("bigint")
 

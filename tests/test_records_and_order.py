@@ -1,10 +1,11 @@
 """Unbounded groups: bucketed ranks and cycles must equal the plain ones, and repair must be exact."""
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from tesserae.functions.hashing import utf8
 from tesserae.operators import records as rec
-from tesserae.operators.ordering import cycle_neighbours, dense_index, digest_bucket, row_buckets
+from tesserae.operators.ordering import cycle_neighbours, dense_index, digest_bucket, hot_groups
 from tesserae.session import materialize
 
 
@@ -39,13 +40,27 @@ def test_bucketed_cycle_equals_plain(spark):
         assert both.filter("next_rec_key <> a OR prev_rec_key <> b").count() == 0
 
 
-def test_row_buckets():
-    assert row_buckets(0) == 1 and row_buckets(1_000_000) == 1 and row_buckets(1_000_001) == 2
+def test_only_hot_owners_are_cut(spark, ring):
+    df = skewed(spark)
+    assert {(r.owner_id, r.buckets) for r in hot_groups(df, "owner_id", 100).collect()} == {("hot", 10)}
+    plain = materialize(rec.seal_records(df.drop("n"), ring))
+    for rows in (100, 7):
+        cut = rec.seal_records(df.drop("n"), ring, rows_per_bucket=rows)
+        assert cut.exceptAll(plain).isEmpty() and cut.count() == plain.count() == df.count()
+
+
+def test_small_owners_are_rejected(spark, ring):
+    rows = [("one", "a"), ("two", "a"), ("two", "b"), ("three", "a"), ("three", "b"), ("three", "c")]
+    df = spark.createDataFrame(rows, "owner_id string, rec_key string").select("owner_id", F.lit(0).alias("key_id"), "rec_key", utf8(F.col("rec_key")).alias("content"))
+    assert {r.owner_id for r in rec.seal_records(df, ring).collect()} == {"three"}
+    assert {(r.owner_id, r.k) for r in rec.validate_records(df).collect()} == {("one", 1), ("two", 2)}
+    with pytest.raises(ValueError):
+        rec.seal_records(df, ring, strict=True)
 
 
 def test_records_repair_is_exact(spark, ring):
     df = skewed(spark)
-    s = materialize(rec.seal_records(df.drop("n"), ring, 16))
+    s = materialize(rec.seal_records(df.drop("n"), ring, rows_per_bucket=60))
     assert rec.check_records(s, ring).filter("flagged").count() == 0
     hit = F.crc32("rec_key") % 10 == 0
     damaged = s.withColumn("content", F.when(hit, F.concat("content", F.lit(b"!"))).otherwise(F.col("content")))
@@ -60,7 +75,7 @@ def test_records_repair_is_exact(spark, ring):
 
 
 def test_sidecar_fields_are_bound(spark, ring):
-    s = materialize(rec.seal_records(skewed(spark, 300).drop("n"), ring))
+    s = materialize(rec.seal_records(skewed(spark, 1500).drop("n"), ring))
     x = F.lit("x")
     for name, value in {
         "holder": F.concat("holder", x), "backup_of": F.concat("backup_of", x), "rec_key": F.concat("rec_key", x),
@@ -72,7 +87,7 @@ def test_sidecar_fields_are_bound(spark, ring):
 def test_streaming_check(spark, ring, tmp_path):
     from tesserae.streaming.tag_check import SEALED, flag_rates, read_sealed
 
-    s = rec.seal_records(skewed(spark, 400).drop("n"), ring)
+    s = rec.seal_records(skewed(spark, 1500).drop("n"), ring)
     hit = F.crc32("rec_key") % 4 == 0
     s = s.withColumn("content", F.when(hit, F.concat("content", F.lit(b"!"))).otherwise(F.col("content")))
     s = s.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("rec_key").cast("bigint") * 60))
@@ -84,4 +99,4 @@ def test_streaming_check(spark, ring, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = spark.sql("SELECT sum(n) AS n, sum(flagged) AS f FROM rates").first()
-    assert got["n"] == 400 and got["f"] == s.filter(F.crc32("rec_key") % 4 == 0).count()
+    assert got["n"] == 1500 and got["f"] == s.filter(F.crc32("rec_key") % 4 == 0).count()
