@@ -7,6 +7,8 @@ window expresses; it runs per page, whose size the carrier bounds, after one shu
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -27,7 +29,7 @@ def _page_repair(max_rounds: int, max_relaxations: int):
         pdf = pdf.sort_values(["digest", "idx"])
         order, k = pdf["idx"].to_numpy().copy(), len(pdf)
         ncols, block = int(pdf["ncols"].iloc[0]), int(pdf["block"].iloc[0])
-        rng = np.random.default_rng(int(pdf["digest"].iloc[0], 16))
+        seed, drawn = pdf["digest"].iloc[0].encode(), 0
         wanted = float(pdf["d_min"].iloc[0])
         diagonal = block * np.hypot(k // ncols - 1, ncols - 1)
 
@@ -43,18 +45,24 @@ def _page_repair(max_rounds: int, max_relaxations: int):
                     total += short(order[left % k], order[(left + 1) % k], limit)
             return total
 
+        def draws(n):
+            """The page's next ``n`` numbers: keyed SHA-256 of a counter, the same in every library and version."""
+            nonlocal drawn
+            drawn += 1
+            return np.array([int.from_bytes(hashlib.sha256(seed + b"|%d|%d" % (drawn, i)).digest()[:7], "big") for i in range(n)], dtype=np.int64)
+
         def one_round(limit):
             bad = np.flatnonzero(short(order, np.roll(order, -1), limit))
             if not len(bad):
                 return True
             p = (bad + 1) % k
-            q = rng.integers(0, k, len(p))
+            q = draws(len(p)) % k
             gap = np.abs(p - q)
             far = np.minimum(gap, k - gap) > 2
             p, q = p[far], q[far]
             # a swap claims six positions; it goes ahead if it holds the lowest number on all
             claims = np.stack([(p + s) % k for s in (-1, 0, 1)] + [(q + s) % k for s in (-1, 0, 1)])
-            rank = rng.permutation(len(p))
+            rank = np.argsort(np.argsort(draws(len(p)), kind="stable"), kind="stable")
             lowest = np.full(k, len(p))
             for row in claims:
                 np.minimum.at(lowest, row, rank)
@@ -69,8 +77,10 @@ def _page_repair(max_rounds: int, max_relaxations: int):
         limit, relaxed = wanted, 0
         while True:
             done = limit <= diagonal and any(one_round(limit) for _ in range(max_rounds))
-            if done or relaxed == max_relaxations:
+            if done:
                 break
+            if relaxed == max_relaxations:
+                raise ValueError(f"{pdf['owner_id'].iloc[0]}: partners stay too close after {relaxed} relaxations")
             limit, relaxed = limit / 2, relaxed + 1
         return pd.DataFrame({
             "owner_id": pdf["owner_id"].iloc[0], "idx": order, "holder": np.roll(order, -1), "carries": np.roll(order, 1),
@@ -84,7 +94,8 @@ def separated_map(blocks: DataFrame, ring: DataFrame, d_min=None) -> DataFrame:
     """(owner_id, idx, holder, carries, d_min, relaxations, violations).
 
     The wanted distance (a quarter of the shorter side) is halved up to ten times where a
-    page cannot meet it; the distance met is reported, and violations are zero at it.
+    page cannot meet it; the distance met is reported, and violations are zero at it.  A page
+    that fails even then raises an error.
     """
     wanted = d_min if d_min is not None else F.least("height", "width") * 0.25
     base = blocks.filter(F.col("ch") == 0)
