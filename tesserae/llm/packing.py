@@ -32,7 +32,7 @@ SEQUENCE = 16.0
 #: Tokens gathered before windows are chosen; the last TAIL windows wait for the tokens that follow.
 BUFFER, TAIL = 1 << 18, 4
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 BATCH_CHARS = 1_000_000
 #: Marks that may stand behind the letters of a word; the vocabulary never joins them with letters.
 MARKS = ".,!?;:*$&#%|"
@@ -85,13 +85,20 @@ class Encoder:
         """Remember the ids of new words."""
         ids: list[list[int] | None] = [None] * len(fresh)
         slow = []
+        known = self.known
         for k, word in enumerate(fresh):
             core = word.rstrip(MARKS)
-            if self.direct and core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                own, marks = self.of_letters(core.lower()), word[len(core):]
-                if marks and marks not in self.known:
-                    self.known[marks] = self.whole([marks])[0]
-                ids[k] = own + self.known[marks] if marks else own
+            if self.direct and core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
+                low = core.lower()
+                own = known.get(low)
+                if own is None:
+                    own = self.of_letters(low)
+                if len(core) < len(word):
+                    marks = word[len(core):]
+                    if marks not in known:
+                        known[marks] = self.whole([marks])[0]
+                    own = own + known[marks]
+                ids[k] = own
             else:
                 slow.append(k)
         for start in range(0, len(slow), 4096):
@@ -146,12 +153,12 @@ def cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, n
 def choose(at: np.ndarray, price: np.ndarray, length: int = LENGTH) -> list[int]:
     """Indices into ``at`` of the window bounds of least padding plus price."""
     whole = [k for k in (1 << p for p in range(int(length).bit_length())) if k <= length]
-    exact: list[list[int]] = [[] for _ in at]
+    exact: dict[int, list[int]] = {}
     for k in whole:
         where = np.searchsorted(at, at - k)
         where = np.minimum(where, len(at) - 1)
         for j in np.flatnonzero(at[where] == at - k).tolist():
-            exact[j].append(int(where[j]))
+            exact.setdefault(j, []).append(int(where[j]))
     spots, prices = at.tolist(), price.tolist()
     best, back = [0.0] * len(spots), [0] * len(spots)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])   # (best + position, index), increasing from the left
@@ -160,7 +167,7 @@ def choose(at: np.ndarray, price: np.ndarray, length: int = LENGTH) -> list[int]
         while spots[queue[0][1]] < spot - length:
             queue.popleft()
         value, i = queue[0][0] + length - spot, queue[0][1]
-        for other in exact[j]:
+        for other in exact.get(j, ()):
             if best[other] < value:
                 value, i = best[other], other
         best[j], back[j] = value + prices[j] + SEQUENCE, i
