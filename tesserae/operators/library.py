@@ -118,20 +118,23 @@ def verify_against_library(received: DataFrame, archive: DataFrame, records: Dat
                            ring: DataFrame, variant: str, block: int = 8) -> DataFrame:
     """Verdict, byte identity, localization and agreement with the stored copy, per matched set.
 
-    ``archive`` carries the stored pixels as px_stored next to (record_id, ch, idx).
+    ``archive`` carries the stored pixels as px_stored next to (record_id, ch, idx).  Stored
+    blocks that a received set lacks count as changed and flagged.
     """
     found = matches.filter(F.col("record_id").isNotNull()).select("query_id", "record_id")
     ids = found.join(records.select("record_id", "owner_id", "key_id"), "record_id")
     mine = received.join(ids, "query_id")
     checked = verify.check_tags(mine, ring, variant, block)
     mask = verify.localize(checked, extra=["query_id"])
-    both = checked.join(archive.select("record_id", "ch", "idx", "px_stored"), ["record_id", "ch", "idx"])
-    diff = F.zip_with("px", "px_stored", lambda x, y: x != y)
+    stored = found.join(archive.select("record_id", "ch", "idx", "px_stored"), "record_id")
+    both = stored.join(checked.select("query_id", "record_id", "ch", "idx", "px"), ["query_id", "record_id", "ch", "idx"], "left")
+    diff = F.when(F.col("px").isNull(), F.transform("px_stored", lambda y: F.lit(True))).otherwise(F.zip_with("px", "px_stored", lambda x, y: x != y))
     per_block = both.groupBy("query_id", "record_id", "idx").agg(F.collect_list(diff).alias("_ds")).withColumn(
         "_any",
         F.aggregate(F.slice("_ds", F.lit(2), F.size("_ds")), F.element_at("_ds", 1), lambda acc, s: F.zip_with(acc, s, lambda p, q: p | q)),
     ).withColumn("_changed", score.count_true("_any"))
-    joined = per_block.join(mask.select("query_id", "idx", "flagged"), ["query_id", "idx"])
+    joined = per_block.join(mask.select("query_id", "idx", "flagged"), ["query_id", "idx"], "left")
+    joined = joined.withColumn("flagged", F.coalesce("flagged", F.lit(True)))
     cells = score.confusion(F.col("flagged"), F.col("_changed") > 0)
     return joined.groupBy("query_id", "record_id").agg(
         F.count(F.lit(1)).alias("total_blocks"), F.count_if("flagged").alias("flagged_blocks"),

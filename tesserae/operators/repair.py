@@ -35,12 +35,19 @@ def repair(state: DataFrame, variant: str | list[str], block: int = 8) -> DataFr
 
 
 def restore(received: DataFrame, mask: DataFrame, archive: DataFrame) -> DataFrame:
-    """Flagged blocks from the archive, the rest as received; ``differs`` marks any leftover difference."""
-    flags = mask.select("owner_id", "idx", "flagged")
-    stored = archive.select("owner_id", "ch", "idx", F.col("px").alias("px_archive"))
+    """Flagged and absent blocks from the archive, the rest as received; ``differs`` marks any leftover difference.
+
+    Every archived block comes back; those the received copy lacks count as flagged.
+    """
+    keys = ["owner_id", "ch", "idx"]
+    flags = mask.select("owner_id", "idx", F.col("flagged").alias("_flag"))
+    stored = archive.select(*keys, F.col("px").alias("px_archive"))
+    flagged = F.col("px").isNull() | F.coalesce("_flag", F.lit(True))
     return (
-        received.join(flags, ["owner_id", "idx"])
-        .join(stored, ["owner_id", "ch", "idx"])
+        stored.join(received, keys, "left")
+        .join(flags, ["owner_id", "idx"], "left")
+        .withColumn("flagged", flagged)
+        .drop("_flag")
         .withColumn("px_restored", F.when(F.col("flagged"), F.col("px_archive")).otherwise(F.col("px")))
         .withColumn("differs", F.col("px_restored") != F.col("px_archive"))
     )

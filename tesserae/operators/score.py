@@ -125,17 +125,21 @@ def msb_preserved_misses(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def truth_compare(stored: DataFrame, received: DataFrame, mask: DataFrame) -> DataFrame:
-    """Where the received copy differs from the stored one, per owner; used for scoring only."""
+    """Where the received copy differs from the stored one, per owner; used for scoring only.
+
+    Blocks the received copy lacks count as changed in every pixel, and as flagged.
+    """
     a = stored.select("owner_id", "ch", "idx", F.col("px").alias("px_stored"))
-    both = received.join(a, ["owner_id", "ch", "idx"])
-    both = both.withColumn("_d", F.zip_with("px", "px_stored", lambda x, y: x != y))
+    both = a.join(received.select("owner_id", "ch", "idx", "px"), ["owner_id", "ch", "idx"], "left")
+    changed = F.zip_with("px", "px_stored", lambda x, y: x != y)
+    both = both.withColumn("_d", F.when(F.col("px").isNull(), F.transform("px_stored", lambda y: F.lit(True))).otherwise(changed))
     per_block = both.groupBy("owner_id", "idx").agg(F.collect_list("_d").alias("_ds")).withColumn(
         "_any",
         F.aggregate(F.slice("_ds", F.lit(2), F.size("_ds")), F.element_at("_ds", 1), lambda acc, s: F.zip_with(acc, s, lambda p, q: p | q)),
     )
     joined = per_block.withColumn("changed", count_true("_any")).withColumn("n", F.size("_any").cast("bigint")).join(
-        mask.select("owner_id", "idx", "flagged"), ["owner_id", "idx"]
-    )
+        mask.select("owner_id", "idx", "flagged"), ["owner_id", "idx"], "left"
+    ).withColumn("flagged", F.coalesce("flagged", F.lit(True)))
     cells = confusion(F.col("flagged"), F.col("changed") > 0)
     return joined.groupBy("owner_id").agg(
         F.sum("changed").alias("changed_px"), F.sum("n").alias("total_px"),

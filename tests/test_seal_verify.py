@@ -223,3 +223,17 @@ def test_damage_stays_inside_its_truth(spark, ring, blocks, cls):
     assert dmg.filter(outside).count() == 0
     assert dmg.filter("px <> px_before").count() > 0
     assert dmg.filter("exists(px, v -> v < 0 OR v > 255)").count() == 0
+
+
+def test_absent_blocks_are_restored_and_counted(spark, ring, blocks):
+    from tesserae.operators import score
+
+    stored = materialize(seal.as_received(seal.seal(blocks, ring, "A")))
+    received = stored.filter("idx NOT IN (0, 7)")
+    mask = verify.localize(verify.check_tags(received, ring, "A"))
+    fixed = repair.restore(received, mask, stored)
+    assert fixed.count() == stored.count() and fixed.filter("differs").count() == 0
+    assert {r.idx for r in fixed.filter("flagged").select("idx").distinct().collect()} == {0, 7}
+    owners = stored.select("owner_id").distinct().count()
+    seen = score.truth_compare(stored, received, mask).agg(F.sum("changed_blocks"), F.sum("changed_px"), F.count("*")).first()
+    assert tuple(seen) == (2 * owners, 2 * owners * 64, owners)
