@@ -351,6 +351,27 @@ def report_localization(spark, d):
     return rounded(reports.localization(run_rows(spark, d)))
 
 
+def text_sql(c: str, digits: int) -> str:
+    n = lambda x: f"floor({x} * {10**digits} + 0.500001)::BIGINT"
+    fixed = lambda x: f"({n(x)} // {10**digits})::VARCHAR || '.' || lpad(({n(x)} % {10**digits})::VARCHAR, {digits}, '0')"
+    shown = f"{fixed(c + '_mean')} || ' ± ' || {fixed(c + '_std')}"
+    return f"CASE WHEN {c}_mean IS NULL OR isnan({c}_mean) THEN '--' ELSE {shown} END"
+
+
+@query(
+    "report_localization_text",
+    RUNS.select(
+        "SELECT tamper_class, tamper_ratio_nominal, " + ", ".join(f"{text_sql(c, 4)} AS {c}" for c in ("block_precision", "block_recall", "block_f1", "block_iou")) + ", "
+        + ", ".join(f"{text_sql(c, 2)} || ' dB at rho ' || {text_sql('recoverability_rate', 3)} AS {c}" for c in ("psnr_in_region", "psnr_whole_unmarked"))
+        + f" FROM (SELECT tamper_class, tamper_ratio_nominal, {stats_sql(LOC_COLS)} FROM (SELECT *, tamper_ratio_achieved::DOUBLE AS achieved FROM runs "
+        "WHERE condition = 'tamper' AND recovery_variant = 'A' AND block_size = 8) GROUP BY tamper_class, tamper_ratio_nominal)"
+    ),
+)
+def report_localization_text(spark, d):
+    """The localization table as text; PSNR never without rho."""
+    return reports.localization_text(rounded(reports.localization(run_rows(spark, d))))
+
+
 @query(
     "report_null",
     RUNS.select(

@@ -56,12 +56,29 @@ def localization(runs: DataFrame) -> DataFrame:
 
 
 def mean_pm_std(mean: Column, std: Column, digits: int) -> Column:
-    """'1.234 ± 0.056' as text; '--' without data."""
-    pattern = f"%.{digits}f"
-    text = F.concat(F.format_string(pattern, mean), F.lit(" ± "), F.format_string(pattern, std))
+    """'1.234 ± 0.056' as text, halves up; '--' without data.  For measures that are not negative."""
+
+    def fixed(x: Column) -> Column:
+        n = F.floor(x * 10**digits + 0.500001).cast("bigint")
+        return F.concat(F.floor(n / 10**digits).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+
+    text = F.concat(fixed(mean), F.lit(" ± "), fixed(std))
     return F.when(mean.isNull() | F.isnan(mean), "--").otherwise(text)
 
 
+def localization_text(table: DataFrame) -> DataFrame:
+    """Cells of a localization table as text.  A cell with a PSNR names its rho; without a rho it is refused."""
+    cell = lambda c, digits: mean_pm_std(F.col(f"{c}_mean"), F.col(f"{c}_std"), digits)
+    rho = F.when(F.col("recoverability_rate_n") > 0, cell("recoverability_rate", 3))
+    with_rho = lambda c: F.when(
+        rho.isNull(), F.raise_error(F.lit(f"{c} is not shown without a recoverability rate")).cast("string")
+    ).otherwise(F.concat(cell(c, 2), F.lit(" dB at rho "), rho))
+    return table.select(
+        "tamper_class", "tamper_ratio_nominal", *[cell(c, 4).alias(c) for c in ("block_precision", "block_recall", "block_f1", "block_iou")],
+        *[with_rho(c).alias(c) for c in ("psnr_in_region", "psnr_whole_unmarked")],
+    )
+
+
 def null_condition(runs: DataFrame) -> DataFrame:
     """False positives on intact input and the rule-of-three bound 3/n."""
     src = runs.filter("condition = 'null'")

@@ -48,12 +48,31 @@ def binary_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
-def image_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """Spark's image source as RGB planes: (origin, height, width, channels, ch, data).
+def page_numbers(pages: Column, limit: int = MAX_PAGES) -> Column:
+    """Pages of a file that are read: the first ``limit`` of them."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(pages, F.lit(limit))))
 
-    The source hands out interleaved samples in blue-green-red order.
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """Spark's image source; files it cannot decode come as rows of negative size."""
+    return spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
+
+
+def image_rejects(img: DataFrame, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """(origin, reason) of pictures that are not read: undecodable, or of too many pixels."""
+    size = F.col("height").cast("bigint") * F.col("width")
+    reason = F.when((F.col("height") <= 0) | (F.col("width") <= 0), "not decodable").when(size > max_pixels, f"more than {max_pixels} pixels")
+    return img.select("origin", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def image_pixels(spark: SparkSession, folder: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """Spark's image source as RGB planes: (origin, height, width, channels, ch, data); the rest are ``image_rejects``.
+
+    The source hands out interleaved samples in blue-green-red order; a fourth channel is
+    opacity, which the planes do without.
     """
-    img = spark.read.format("image").load(folder).select("image.*").filter(F.col("height") * F.col("width") <= MAX_PIXELS)
+    size = F.col("height").cast("bigint") * F.col("width")
+    img = images(spark, folder).filter((F.col("height") > 0) & (F.col("width") > 0) & (size <= max_pixels))
     return img.select(
         "origin", "height", "width", F.col("nChannels").alias("channels"), "data",
         F.explode(F.sequence(F.lit(0), F.least("nChannels", F.lit(3)) - 1)).alias("ch"),
@@ -74,6 +93,25 @@ def verify_manifest(pinned: DataFrame, files: DataFrame) -> DataFrame:
     return pinned.select("relpath", "dataset", "sha256").join(actual, "relpath", "full").withColumn("status", status)
 
 
+def check_roster(statuses: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(dataset, expected, found) of a verified manifest; raises where a dataset has fewer good files than expected."""
+    found = {r["dataset"]: r["n"] for r in statuses.filter("status = 'OK'").groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("dataset").isin(*expected)).collect()}
+    short = {k: f"{found.get(k, 0)} of {n}" for k, n in expected.items() if found.get(k, 0) < n}
+    if short:
+        raise ValueError(f"incomplete datasets: {short}")
+    return statuses.sparkSession.createDataFrame([(k, n, found.get(k, 0)) for k, n in expected.items()], "dataset string, expected bigint, found bigint")
+
+
+def write_blocks(blocks: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write sealed blocks, by owner, to a format that keeps every bit; lossy targets are refused.
+
+    The payload lives in the lowest bits: one changed sample is a broken seal.
+    """
+    if fmt.lower() in LOSSY:
+        raise ValueError(f"{fmt} does not keep every bit; sealed blocks cannot be written to it")
+    blocks.write.format(fmt).partitionBy("label").save(path)
+
+
 def merge_manifest(existing: DataFrame, processed: DataFrame, order: list[str]) -> DataFrame:
     """Processed rows replace rows of the same path; the rest is kept; known datasets come first."""
     kept = existing.join(processed.select("relpath"), "relpath", "left_anti")

@@ -132,6 +132,10 @@ def test_files(spark, tmp_path):
     rows = files.image_pixels(spark, str(tmp_path / "img")).collect()
     for r in rows:
         assert r["data"][r["sample"]] == (10, 20, 30)[r["ch"]]
+    (tmp_path / "img" / "broken.png").write_bytes(b"\x89PNG")
+    rejects = {r["origin"].rsplit("/", 1)[1]: r["reason"] for r in files.image_rejects(files.images(spark, str(tmp_path / "img")), 11).collect()}
+    assert rejects == {"x.png": "more than 11 pixels", "broken.png": "not decodable"}
+    assert files.image_pixels(spark, str(tmp_path / "img"), 11).count() == 0 and files.image_pixels(spark, str(tmp_path / "img")).count() == 3
 
 
 def test_manifest_csv(spark, tmp_path):
@@ -142,6 +146,26 @@ def test_manifest_csv(spark, tmp_path):
     got = {r["relpath"]: r["status"] for r in files.verify_manifest(m, there).collect()}
     assert got == {"x/a.png": "HASH MISMATCH", "x/b.png": "MISSING", "x/c.png": "EXTRA"}
     assert dict(m.dtypes)["width"] == "int"
+    good = spark.createDataFrame([("x/a.png", "aa"), ("x/b.png", "bb")], "relpath string, sha256 string")
+    assert files.check_roster(files.verify_manifest(m, good), {"x": 2}).first()["found"] == 2
+    with pytest.raises(ValueError):
+        files.check_roster(files.verify_manifest(m, there), {"x": 2})
+
+
+def test_run_reader_and_block_sink(spark, tmp_path, blocks):
+    from tesserae.plans.grid import RUN_COLUMNS
+    from tesserae.sources.runs import read_runs
+
+    (tmp_path / "runs.csv").write_text("psnr_in_region,run_id,unknown,n_blocks_total\ninf,r1,z,7\nnan,r2,,\n12.5,r3,q,1\n")
+    runs = read_runs(spark, str(tmp_path / "runs.csv"))
+    assert runs.columns == list(RUN_COLUMNS)
+    got = {r.run_id: (str(r.psnr_in_region), r.n_blocks_total, r.seed) for r in runs.collect()}
+    assert got == {"r1": ("inf", 7, None), "r2": ("nan", None, None), "r3": ("12.5", 1, None)}
+    files.write_blocks(blocks, str(tmp_path / "blocks"))
+    back = spark.read.parquet(str(tmp_path / "blocks")).select(*blocks.columns)
+    assert back.count() == blocks.count() and back.exceptAll(blocks).isEmpty()
+    with pytest.raises(ValueError):
+        files.write_blocks(blocks, str(tmp_path / "lossy"), "jpeg")
 
 
 def test_library(spark):
