@@ -91,6 +91,7 @@ def search(
     many, the larger).  Repeated rows count once; other columns are ignored; an empty table
     gives an empty result.
     """
+    exact = "<f4" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"   # what the vectors are stored as loses nothing
     kind = "query_id long, rank int, vec_id long, score double".replace("vec_id", id_col)
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -125,24 +126,24 @@ def search(
                 for start in range(0, len(ids), size):
                     part = slice(start, start + size)
                     codes, factors = encode(vectors[part], centre, bits) if prefix else (np.zeros(0, np.uint8), np.zeros(0, np.float32))
-                    values = [int(ids[start])], *[[x.tobytes()] for x in (ids[part], vectors[part], codes, factors)]
+                    values = [int(ids[start])], *[[x.tobytes()] for x in (ids[part], vectors[part].astype(exact), codes, factors)]
                     yield pa.record_batch([pa.array(v, t) for v, t in zip(values, (pa.int64(), *[pa.binary()] * 4))], names=[c.split()[0] for c in BLOCK.split(", ")])
 
         return run
 
-    per_task = max(1, math.ceil(total / CODES_BLOCK))
-    codes = distinct.select("rep", "vector").repartition(per_task, "rep").mapInArrow(block_of(CODES_BLOCK, 1), BLOCK)
-    asks = queries.select("rep", "vector").repartition(max(1, math.ceil(count / QUERY_BLOCK)), "rep").mapInArrow(block_of(QUERY_BLOCK, 0), BLOCK).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("block").alias("q_block"))
-    asks = cut(asks)
-    heads = [r.q_block for r in asks.select("q_block").collect()]   # one number a block of queries
-    cells = cut(codes).withColumn("q_block", F.explode(F.array(*[F.lit(h) for h in heads]))).repartition("q_block", "block").join(asks, "q_block")
+    # blocks of a fixed size, however many partitions there are; every cell of a query block and a block of codes is a row of its own
+    codes = cut(distinct.select("rep", "vector").repartition(math.ceil(total / CODES_BLOCK)).mapInArrow(block_of(CODES_BLOCK, 1), BLOCK))
+    asks = queries.select("rep", "vector").repartition(math.ceil(count / QUERY_BLOCK)).mapInArrow(block_of(QUERY_BLOCK, 0), BLOCK)
+    asks = cut(asks.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("block").alias("q_block")))
+    each = lambda rows, name: F.explode(F.array(*[F.lit(r[name]) for r in rows.select(name).collect()]))  # noqa: E731  one number a block
+    cells = codes.withColumn("q_block", each(asks, "q_block")).join(asks.withColumn("block", each(codes, "block")), ["q_block", "block"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = {name: batch.column(n)[row].as_py() for n, name in enumerate(batch.schema.names)}
                 ids, q_ids = np.frombuffer(cell["ids"], "<i8"), np.frombuffer(cell["q_ids"], "<i8")
-                vectors, wanted = np.frombuffer(cell["vectors"], "<f8").reshape(-1, dimension), np.frombuffer(cell["q_vectors"], "<f8").reshape(-1, dimension)
+                vectors, wanted = (np.frombuffer(cell[name], exact).reshape(-1, dimension).astype(np.float64) for name in ("vectors", "q_vectors"))
                 packed, factors = np.frombuffer(cell["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(cell["factors"], np.float32).reshape(-1, 3)
                 keep = min(k + 1, len(ids))
                 for start in range(0, len(q_ids), 64):
