@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tesserae.session import checkpoint_dir, materialize, prepare
+from tesserae import session
+from tesserae.session import checkpoint_dir, materialize
 
 __all__ = ["checkpoint_dir", "cut", "fold_of", "free_name", "materialize", "pieces", "prepare", "scratch"]
 
+#: Rows handed to Python at once: texts may be very long, and workers share an executor's memory with it.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The library's runtime settings, and small batches for whole texts."""
+    session.prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
 
 def free_name(df: DataFrame, base: str = "v") -> str:
     """A column name that ``df`` does not hold, so that helper columns never clash with the caller's."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
@@ -32,7 +33,7 @@ SEQUENCE = 16.0
 #: Tokens gathered before windows are chosen; the last TAIL windows wait for the tokens that follow.
 BUFFER, TAIL = 1 << 18, 4
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 BATCH_CHARS = 1_000_000
 #: Marks that may stand behind the letters of a word; the vocabulary never joins them with letters.
 MARKS = ".,!?;:*$&#%|"
@@ -68,22 +69,22 @@ class Encoder:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}      # ids of lower-case letters and of marks, four bytes each
         self.flat, self.offsets, self.stops = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], [np.zeros(0, bool)]
 
-    def whole(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def of_letters(self, core: str) -> list[int]:
+    def of_letters(self, core: str) -> bytes:
         found = self.known.get(core)
         if found is None:
             written = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = self.known[core] = [t.id for t in self.tokenizer.model.tokenize(written)]
+            found = self.known[core] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
         return found
 
     def learn(self, fresh: list[str]) -> None:
         """Remember the ids of new words."""
-        ids: list[list[int] | None] = [None] * len(fresh)
+        ids = [b""] * len(fresh)
         slow = []
         known = self.known
         for k, word in enumerate(fresh):
@@ -107,9 +108,9 @@ class Encoder:
                 ids[k] = own
         at = len(self.place)
         self.place.update(zip(fresh, range(at, at + len(fresh))))
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         self.offsets.append(self.offsets[-1][-1] + np.cumsum(sizes))
-        self.flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())))
+        self.flat.append(np.frombuffer(b"".join(ids), dtype=np.uint32))
         self.stops.append(np.fromiter((w == "\n" or w.endswith(STOPS) for w in fresh), dtype=bool, count=len(fresh)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
