@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -26,7 +28,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Added to the lowest score for each byte of a character without a piece.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _PART = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -86,34 +88,35 @@ class Pieces:
             self.automaton.add_word(piece, (len(piece), len(piece) * top + 1.0 if self.pieces[k][2] == USER else score, k))
         self.automaton.make_automaton()
         self.apart = not any(SPACE in p.lstrip(SPACE) for p, _, _ in usable)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, array] = {}
         self.shown = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
 
-    def best(self, part: str) -> list[int]:
+    def best(self, part: str) -> array:
         """Ids of the best segmentation of ``part`` (spaces already marked)."""
         n = len(part)
         score = [0.0] + [float("-inf")] * n
-        came = [(0, -1)] * (n + 1)
-        done = 0                        # positions up to here are final
+        start_of, piece_of = [0] * (n + 1), [-1] * (n + 1)
+        missing, done = self.missing, 0          # positions up to ``done`` are final
         for last, (size, value, k) in self.automaton.iter(part):
-            end = last + 1
-            while done + 1 < end:
+            while done < last:
+                # the one character before may stand without a piece, if no piece does better
                 done += 1
-                self._close(score, came, done)
-            start = end - size
-            total = score[start] + value
+                if score[done - 1] + missing > score[done]:
+                    score[done], start_of[done], piece_of[done] = score[done - 1] + missing, done - 1, -1
+            end = last + 1
+            total = score[end - size] + value
             if total > score[end]:
-                score[end], came[end] = total, (start, k)
+                score[end], start_of[end], piece_of[end] = total, end - size, k
         while done < n:
             done += 1
-            self._close(score, came, done)
-        out, at = [], n
+            if score[done - 1] + missing > score[done]:
+                score[done], start_of[done], piece_of[done] = score[done - 1] + missing, done - 1, -1
+        steps, at = [], n
         while at:
-            start, k = came[at]
-            out.append((start, at, k))
-            at = start
-        ids: list[int] = []
-        for start, end, k in reversed(out):
+            steps.append((start_of[at], at, piece_of[at]))
+            at = start_of[at]
+        ids = array("i")
+        for start, end, k in reversed(steps):
             if k >= 0:
                 ids.append(k)
             elif self.bytes:
@@ -122,16 +125,11 @@ class Pieces:
                 ids.append(self.unknown)
         return ids
 
-    def _close(self, score: list[float], came: list[tuple[int, int]], end: int) -> None:
-        """The one character before ``end`` may stand without a piece, if none of one character covers it."""
-        total = score[end - 1] + self.missing
-        if total > score[end]:
-            score[end], came[end] = total, (end - 1, -1)
-
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> array:
         """Ids of a whole text; null and empty texts have none."""
+        ids = array("i")
         if not text:
-            return []
+            return ids
         marked = text.replace(" ", SPACE)
         if self.dummy:
             marked = SPACE + marked
@@ -139,11 +137,11 @@ class Pieces:
             return self.best(marked)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, ids = self.known, []
+        known = self.known
         for part in _PART.findall(marked):
             found = known.get(part)
             if found is None:
-                found = known[part] = self.best(part) if part else []
+                found = known[part] = self.best(part)
             ids += found
         return ids
 
@@ -168,7 +166,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", out: str = "ids")
     @pandas_udf("array<int>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([pieces(model).encode(t) for t in texts], dtype=object)
+            yield pd.Series([np.array(pieces(model).encode(t), dtype=np.int32) for t in texts], dtype=object)
 
     return df.withColumn(out, of(F.col(text_col)))
 
@@ -179,7 +177,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", out: str = "text") -
     @pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield pd.Series([pieces(model).decode(None if r is None else list(r)) for r in rows], dtype=object)
+            yield pd.Series([pieces(model).decode(None if r is None else r.tolist()) for r in rows], dtype=object)
 
     return df.withColumn(out, of(F.col(ids_col)))
 
