@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from xxhash import xxh64_intdigest
 
-from tesserae.llm.codes import mix
 from tesserae.llm.components import components
 from tesserae.llm.frames import cut, free_name
 
@@ -171,72 +170,135 @@ def near_duplicates(
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Deduplication: words of a shingle, least Jaccard similarity, and how far fingerprints of weighted words may differ.
-SHINGLE, SIMILARITY, REACH, REACH_BLOCKS, REACH_SHARED = 5, 0.8, 6, 9, 3
-#: Components of up to this many texts compare all pairs; larger ones compare texts that share one of MINIMA min-hashes with the first that has it.
-SMALL_COMPONENT, MINIMA = 64, 8
-_SALTS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Deduplication: words of a shingle, and least Jaccard similarity in fifths.
+SHINGLE, FIFTHS = 5, 4
+SIMILARITY = FIFTHS / 5
+#: After the first round, up to this many texts under one key compare all pairs.
+SMALL_COMPONENT = 64
+#: Shingles are ordered by how often they stand in about COUNTED texts, in COUNTERS counters.  Any order gives the same result.
+COUNTED, COUNTERS = 20_000, 1 << 18
 
 
 def _shingle_sets(df: DataFrame) -> DataFrame:
-    """(tid, words, minima): hashes of the distinct shingles of each text of ``df(tid, text)``, and their min-hashes."""
+    """(tid, words): hashes of the distinct shingles of each text of ``df(tid, text)``."""
 
-    @pandas_udf("struct<words:array<long>,minima:array<long>>")
+    @pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in texts])
+
+    return df.select("tid", of("text").alias("words"))
+
+
+def _counts(df: DataFrame) -> np.ndarray:
+    """How often shingles of each counter stand in a bounded part of ``df(tid, text)``."""
+    every = max(1, df.count() // COUNTED)
+    part = _shingle_sets(df.filter(F.pmod(F.xxhash64("tid"), F.lit(every)) == 0))
+    seen = part.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(COUNTERS - 1).cast("int").alias("k")).count().toPandas()
+    counts = np.zeros(COUNTERS, dtype=np.int32)
+    counts[seen["k"].to_numpy(dtype=np.int64)] = np.minimum(seen["count"].to_numpy(dtype=np.int64), 2**31 - 1)
+    return counts
+
+
+def rare_first(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of distinct shingles, so many that any set of similarity SIMILARITY shares one of its own rarest with them.
+
+    Similar sets share at least four fifths of the shingles of either.  In an order that all
+    texts follow, the first that both have is then among the first fifth, and one more, of each.
+    """
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, dtype=np.int64)   # texts without a word share a key
+    order = np.lexsort((shingles, counts[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+    return shingles[order[:n + (-FIFTHS * n // 5) + 1]].view(np.int64)
+
+
+def _with_keys(df: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``df(tid, id, text)`` as (tid, id, size, keys): number of distinct shingles, and the rarest of them."""
+
+    @pandas_udf("struct<size:int,keys:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in texts]
-            minima = [[int(m) for m in (mix(s ^ salt).min().view(np.int64) for salt in _SALTS)] if len(s) else [] for s in sets]
-            yield pd.DataFrame({"words": [s.view(np.int64) for s in sets], "minima": minima})
+            yield pd.DataFrame({"size": np.array([len(s) for s in sets], dtype=np.int32), "keys": [rare_first(s, counts) for s in sets]})
 
-    return df.select("tid", of("text").alias("of")).select("tid", "of.words", "of.minima")
+    return df.select("tid", "id", of("text").alias("of")).select("tid", "id", "of.size", "of.keys")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of texts whose shingles are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, d): pairs of texts and the Jaccard distance of their shingles."""
     own = sets.select("tid", "words")
     both = pairs.join(own.withColumnsRenamed({"tid": "u", "words": "u_set"}), "u").join(own.withColumnsRenamed({"tid": "v", "words": "v_set"}), "v")
-    common = F.size(F.array_intersect("u_set", "v_set"))
-    return both.filter(common >= SIMILARITY * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
+    counted = both.select("u", "v", F.size(F.array_intersect("u_set", "v_set")).alias("common"), (F.size("u_set") + F.size("v_set")).alias("sum"))
+    union = F.col("sum") - F.col("common")
+    similar = F.col("common") * 5 >= FIFTHS * union
+    return counted.select("u", "v", F.when(F.col("sum") == 0, 0.0).otherwise(1 - F.col("common") / union).alias("d"), similar.alias("similar"))
+
+
+def _sizes_fit(a: str, b: str):
+    """Whether texts of so many shingles can be similar."""
+    return F.least(a, b) * 5 >= FIFTHS * F.greatest(a, b)
+
+
+def _similar_texts(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that connect all similar texts sharing a key of ``rest(token, tid, id, size)``.
+
+    Each round compares everyone under a key with a few heads.  Heads have then met all and
+    leave.  Jaccard distance obeys the triangle inequality, so a text at distance d from a
+    head is similar to none that are farther than d + 0.2 from it; who is similar to a head and
+    farther than that from all who are not leaves too, being linked.  The others go on.
+    """
+    edges, heads, turn = [], 1, 0
+    reach = 1 - SIMILARITY + 1e-9
+    while True:
+        groups = rest.groupBy("token").agg(F.min(F.struct("id", "tid")).getField("tid").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        group = cut(rest.join(groups, "token"))
+        if group.isEmpty():
+            break
+        whole = F.col("n") <= (SMALL_COMPONENT if turn else 1)
+        picked = F.pmod(F.xxhash64("tid", F.lit(turn)), F.col("n")) < heads - 1
+        large = group.filter(~whole).withColumn("heads", picked | (F.col("tid") == F.col("first")))
+        chosen = large.filter("heads").select("token", F.col("tid").alias("head"), F.col("size").alias("head_size"))
+        follow = cut(large.join(chosen, "token").filter("tid <> head").select("token", "tid", "id", "size", "heads", "head", "head_size"))
+        small = group.filter(whole).select("token", "tid", "size")
+        a, b = (small.select("token", F.col("tid").alias(k), F.col("size").alias(f"{k}_size")) for k in "uv")
+        pairs = a.join(b, "token").filter("u < v").filter(_sizes_fit("u_size", "v_size")).select("u", "v")
+        met = follow.filter(_sizes_fit("size", "head_size")).select(F.least("tid", "head").alias("u"), F.greatest("tid", "head").alias("v"))
+        found = cut(_compared(met.unionByName(pairs).distinct(), sets))
+        edges.append(found.filter("similar").select("u", "v"))
+        both = found.select(F.col("u").alias("tid"), F.col("v").alias("head"), "d").unionByName(found.select(F.col("v").alias("tid"), F.col("u").alias("head"), "d"))
+        least = F.when(F.greatest("size", "head_size") == 0, 0.0).otherwise(1 - F.least("size", "head_size") / F.greatest("size", "head_size"))
+        at = follow.filter("NOT heads").join(both, ["tid", "head"], "left").withColumn("d", F.coalesce("d", least))   # not compared: at least so far
+        best = cut(at.groupBy("token", "tid").agg(F.min(F.struct("d", "head")).alias("best"), F.first("id").alias("id"), F.first("size").alias("size"), F.collect_set(F.struct("head", "d")).alias("all")))
+        apart = best.filter(F.col("best.d") > reach)
+        floors = apart.select("token", F.explode("all").alias("of")).groupBy("token", F.col("of.head").alias("head")).agg(F.min("of.d").alias("floor"))
+        near = best.filter(F.col("best.d") <= reach).withColumn("head", F.col("best.head")).join(floors, ["token", "head"]).filter(F.col("best.d") + reach >= F.col("floor"))
+        rest = cut(apart.select("token", "tid", "id", "size").unionByName(near.select("token", "tid", "id", "size")))
+        heads, turn = heads * 4, turn + 1
+    every = rest.sparkSession.createDataFrame([], "u long, v long")
+    for more in edges:
+        every = every.unionByName(more)
+    return every.distinct()
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one document of each group of near copies, the one of smallest identifier.
 
-    Equal texts are one group (null and empty ones are equal).  Different texts whose
-    fingerprints connect them are compared by their 5-word shingles; those of similarity 0.8
-    or more are of one group, over any number of steps.  Null identifiers come last, of
-    repeated rows one stays.  Rows that stay are unchanged, with all their columns; an empty
-    table stays empty.
+    Equal texts are one group (null and empty ones are equal).  Different texts whose 5-word
+    shingles have similarity 0.8 or more are of one group, over any number of steps; none
+    are missed.  Null identifiers come last, of repeated rows one stays.  Rows that stay are
+    unchanged, with all their columns; an empty table stays empty.
     """
     tid, first = free_name(df, "tid"), free_name(df, "first")
     plain = F.coalesce(F.col(text_col), F.lit(""))
     keyed = df.withColumn(tid, F.xxhash64(plain, F.length(plain)))
-    named = with_fingerprint(keyed.select(F.col(tid).alias("tid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", "fp", None)
-    texts = cut(named.groupBy("tid").agg(F.min("id").alias("id"), F.min("fp").alias("fp")))
-    roots = components(links(texts.select("fp").distinct(), REACH, REACH_BLOCKS, REACH_SHARED))
-    placed = texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("tid", F.coalesce("id", F.lit(2**63 - 1)).alias("id"), F.coalesce("root", "fp").alias("root"))
-    sizes = placed.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(placed.join(sizes, "root"))
-    held = keyed.select(F.col(tid).alias("tid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = members.select("tid").join(texts.select("tid", F.col("id").alias("own")), "tid")
-    held = held.join(wanted, "tid").filter(F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["tid"])
-    sets = cut(_shingle_sets(held))
-    small = members.filter(F.col("n") <= SMALL_COMPONENT)
-    pairs = small.select("root", F.col("tid").alias("u")).join(small.select("root", F.col("tid").alias("v")), "root").filter("u < v").select("u", "v")
-    edges = [cut(_similar(pairs, sets))]
-    rest = members.filter(F.col("n") > SMALL_COMPONENT).join(sets.select("tid", "minima"), "tid").select("tid", "id", F.posexplode("minima").alias("way", "least"))
-    while True:
-        groups = rest.groupBy("way", "least").agg(F.min(F.struct("id", "tid")).getField("tid").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        follow = cut(rest.join(groups, ["way", "least"]).filter("tid <> lead"))
-        new = cut(_similar(follow.select(F.col("lead").alias("u"), F.col("tid").alias("v")).distinct(), sets))
-        edges.append(new)
-        if new.isEmpty():
-            break
-        done = new.withColumnsRenamed({"u": "lead", "v": "tid"})
-        rest = cut(follow.join(done, ["lead", "tid"], "left_anti").drop("lead"))   # they go on without the first text of their group
-    every = edges[0]
-    for more in edges[1:]:
-        every = every.unionByName(more)
+    named = keyed.select(F.col(tid).alias("tid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = cut(_with_keys(named, _counts(named)).groupBy("tid").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    keys = texts.select("tid", F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "size", F.explode("keys").alias("token"))
+    rest = cut(keys.join(keys.groupBy("token").count().filter("count > 1").select("token"), "token"))
+    wanted = rest.select("tid").distinct().join(texts.select("tid", F.col("id").alias("own")), "tid")
+    held = named.join(wanted, "tid").filter(F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["tid"])
+    every = _similar_texts(rest, cut(_shingle_sets(held)))
     groups = components(every)
     ranked = texts.join(groups.withColumnRenamed("node", "tid"), "tid").select("root", "tid", F.coalesce("id", F.lit(2**63 - 1)).alias("id"))
     stay = ranked.groupBy("root").agg(F.min(F.struct("id", "tid")).getField("tid").alias("stays"))

@@ -89,3 +89,35 @@ def test_text_without_spans():
     assert substrings.without_spans(" a b\n c d ", [(1, 3)]) == " a d "
     assert substrings.without_spans("a b", [(0, 2)]) == ""
     assert substrings.without_spans("a b c", [(0, 2), (1, 3)]) == ""
+
+
+def test_late_pairs_of_a_templated_source(spark):
+    """Near copies whose common shingles also stand in earlier pages, similar to neither, are found."""
+    rnd = random.Random(21)
+    template, own = prose(rnd, 250), prose(rnd, 50)
+    texts = {}
+    for k in range(80):   # the same words, so that word fingerprints agree
+        rnd.shuffle(own)
+        texts[k] = " ".join(template[:125] + own + template[125:])
+    for k in range(80, 120):
+        words = texts[k - 40].split()
+        words[20] = "edit"
+        texts[k] = " ".join(words)
+    assert jaccard(texts[0], texts[1]) < 0.8 <= jaccard(texts[40], texts[80])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == set(range(80))
+
+
+def test_a_chain_is_one_group(spark, monkeypatch):
+    """A text that is similar to a follower but not to the first text of the key is of the group too."""
+    monkeypatch.setattr(simhash, "SMALL_COMPONENT", 2)
+    rnd = random.Random(22)
+    words, texts = prose(rnd, 300), {}
+    for k in range(12):
+        texts[k] = " ".join(words)
+        words = list(words)
+        for j in range(5):
+            words[(k * 5 + j) * 5 % 300] = f"e{k}x{j}"
+    assert jaccard(texts[0], texts[2]) < 0.8 <= jaccard(texts[0], texts[1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.deduplicate(df).collect()] == [0]
