@@ -121,3 +121,24 @@ def test_a_chain_is_one_group(spark, monkeypatch):
     assert jaccard(texts[0], texts[2]) < 0.8 <= jaccard(texts[0], texts[1])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert [r.doc_id for r in simhash.deduplicate(df).collect()] == [0]
+
+
+def test_no_near_copy_is_missed_at_any_length(spark):
+    """Planted pairs by text length and number of edits: every pair of similarity 0.8 or more is one group."""
+    rnd = random.Random(41)
+    texts, cells = {}, {}
+    for length, edits in ((30, 1), (60, 1), (120, 2), (400, 4), (400, 8)):
+        for _ in range(60):
+            a = prose(rnd, length)
+            b = list(a)
+            while b == a or jaccard(" ".join(a), " ".join(b)) < 0.8:
+                b = list(a)
+                for k in rnd.sample(range(length), edits):
+                    b[k] = f"new{rnd.randrange(10_000)}"
+            k = len(texts)
+            texts |= {k: " ".join(a), k + 1: " ".join(b)}
+            cells[k + 1] = (length, edits)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(df).collect()}
+    lost = [cells[k] for k in kept if k in cells]
+    assert {c: lost.count(c) for c in set(lost)} == {} and len(kept) == len(cells)
