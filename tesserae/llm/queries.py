@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.llm import htmltext, langid, media, nearest, packing, piecewise, simhash, substrings, toxicity, urls
+from tesserae.llm import divergence, htmltext, langid, media, nearest, packing, piecewise, quality, simhash, substrings, toxicity, urls, whitening
+from tesserae.llm import oracles
 from tesserae.llm.frames import fold_of, prepare
 from tesserae.sources.tables import table
 
@@ -101,9 +102,27 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the log-likelihood ratio's verdict on every document."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms each has more of."""
+    return divergence.compare(table(prepare(spark), sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding along the four leading components."""
+    return whitening.whiten(table(prepare(spark), sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_urls": op1_urls, "op2_nearest": op2_nearest,
     "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_language": op6_language, "op8_substrings": op8_substrings,
-    "op7_pieces": op7_pieces, "op9_html": op9_html, "op10_media": op10_media,
+    "op7_pieces": op7_pieces, "op9_html": op9_html, "op10_media": op10_media, "op11_quality": op11_quality,
+    "op12_divergence": op12_divergence, "op13_whitening": op13_whitening,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_quality": oracles.QUALITY, "op12_divergence": oracles.DIVERGENCE}
