@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tesserae.llm.frames import free_name, pieces
+from tesserae.llm.frames import cut, free_name, pieces
 from tesserae.llm.tokens import SPACES, layout, split, terms
 
 #: Buckets of trigrams (a prime), and the factors of a trigram's first two code points.
@@ -29,6 +29,8 @@ SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\v\f\r"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
 BATCH_CHARS = 1_000_000
+#: Labels sent to the texts instead of texts to the labels; about 25 bytes each.
+LABELS_SENT = 4_000_000
 FOUND = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality_sum long, quality_grams long"
 
 
@@ -188,10 +190,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     A document is trusted if all its labels say 1, rejected if one says 0; null labels,
     null identifiers and labels without a document are ignored, repeated documents count
-    each time.  What reaches the driver is one number a bucket and two a score.
+    each time.  What reaches the driver is one number a bucket and two a score.  Up to
+    LABELS_SENT labels travel to the texts; more are joined by identifier, and the labelled
+    texts are then written once.
     """
     known = labels.filter(F.col(quality_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.min(F.col(quality_col).cast("int")) == 1).alias("good"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull()).join(known, "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
+    if known.limit(LABELS_SENT + 1).count() <= LABELS_SENT:
+        texts = texts.join(F.broadcast(known), "id")
+    else:
+        texts = cut(texts.join(known, "id"))
     weights = log_ratio(counts(texts.filter("good")), counts(docs, text_col))
     scored = with_score(texts.select("good", _measured(texts, "text", weights).alias("m")).select("good", "m.quality_sum", "m.quality_grams"))
     rows = scored.groupBy("quality_score").agg(F.count_if("good").alias("t"), F.count_if(~F.col("good")).alias("r")).collect()

@@ -58,7 +58,7 @@ def test_counts_against_a_plain_reading(spark):
     assert {b: int(got[b]) for b in np.flatnonzero(got)} == dict(want)
 
 
-def test_odd_rows(spark):
+def test_odd_rows(spark, monkeypatch):
     good = "plain words of a quiet page that say this and that " * 12
     rows = [(k, t) for k, t in enumerate([*TEXTS, good + "end", "w " * 200_000])] + [(None, "x"), (3, "a"), (3, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("mine")).withColumn("quality_sum", F.lit(1)).withColumn("id", F.lit(2))
@@ -70,6 +70,9 @@ def test_odd_rows(spark):
     assert got.count() == len(rows) and model.trusted == 1 and model.rejected == 3
     assert found[15].n_words == 200_000 and found[15].base_failed and not found[15].kept
     assert found[0].n_words == 0 and found[0].base_failed and found[0].quality_score == 0
+    monkeypatch.setattr(quality, "LABELS_SENT", 1)   # the join by identifier gives the same model
+    joined = quality.fit(df, labels)
+    assert (joined.weights == model.weights).all() and (joined.threshold, joined.trusted, joined.rejected) == (model.threshold, 1, 3)
     nothing = df.limit(0)
     assert quality.judge(nothing, quality.fit(nothing, labels)).count() == 0
     blank = quality.fit(df, labels.limit(0))
