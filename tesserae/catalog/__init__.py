@@ -1,2 +1,2 @@
-from . import blocks, damage, library, records, runs, scores  # noqa: F401
+from . import accounts, blocks, damage, library, records, runs, scores  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -31,15 +31,19 @@ def record_tag() -> Column:
 LEAST_RECORDS = 3
 
 
-def validate_records(records: DataFrame, strict: bool = False) -> DataFrame:
+def validate_records(records: DataFrame, strict: bool = False, ring: DataFrame | None = None) -> DataFrame:
     """(owner_id, k, reason) of owners that cannot be sealed: fewer records than a single cycle of distinct partners needs.
 
-    In strict mode such owners raise an error.
+    With ``ring`` also owners with records of an unknown key, which count apart from the
+    rest.  In strict mode such owners raise an error.
     """
-    rejects = records.groupBy("owner_id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") < LEAST_RECORDS)
-    rejects = rejects.select("owner_id", "k", F.lit(f"fewer than {LEAST_RECORDS} records").alias("reason"))
+    unknown = F.lit(False) if ring is None else F.col("tag_in").isNull()
+    rows = records if ring is None else with_key(records, ring)
+    rejects = rows.groupBy("owner_id", unknown.alias("_unknown")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("_unknown") | (F.col("k") < LEAST_RECORDS))
+    reason = F.when(F.col("_unknown"), "unknown key").otherwise(f"fewer than {LEAST_RECORDS} records")
+    rejects = rejects.select("owner_id", "k", reason.alias("reason"))
     if strict and not rejects.isEmpty():
-        raise ValueError(f"owners with fewer than {LEAST_RECORDS} records: {[r.owner_id for r in rejects.limit(5).collect()]}")
+        raise ValueError(f"owners that cannot be sealed: {[(r.owner_id, r.reason) for r in rejects.limit(5).collect()]}")
     return rejects
 
 
@@ -48,14 +52,15 @@ def seal_records(records: DataFrame, ring: DataFrame, rows_per_bucket: int = CYC
 
     Owners of more than ``rows_per_bucket`` records have their cycle cut into buckets, each
     owner into as many as its own size asks for; all others are sorted whole.  Owners of
-    fewer than three records would be their own or each other's only partner; they are left
-    out here and listed by ``validate_records`` (strict mode raises).
+    fewer than three records would be their own or each other's only partner; they, and
+    records of a key the ring does not hold, are left out here and listed by
+    ``validate_records`` (strict mode raises).
     """
     if strict:
-        validate_records(records, strict=True)
+        validate_records(records, strict=True, ring=ring)
     digest = hmac_hex(F.col("map_in"), F.col("map_out"), utf8(netstrings(F.col("owner_id"), F.col("rec_key"))))
     keep = records.columns
-    keyed = with_key(records, ring).withColumn("_digest", digest).select(*keep, "_digest")
+    keyed = with_key(records, ring, known_only=True).withColumn("_digest", digest).select(*keep, "_digest")
     hot = hot_groups(records, "owner_id", rows_per_bucket)
     ways = (["owner_id"], "_digest", "rec_key", ["rec_key"])
     back = ["rec_key", "content"]
@@ -76,12 +81,22 @@ def seal_records(records: DataFrame, ring: DataFrame, rows_per_bucket: int = CYC
 
 
 def check_records(received: DataFrame, ring: DataFrame) -> DataFrame:
-    """Row-local; runs on batch and streaming frames alike."""
+    """Row-local; runs on batch and streaming frames alike.
+
+    Every received row comes back.  ``flagged`` is never null, and ``reason`` says why a row
+    is flagged: ``unknown key``, ``no tag`` or ``tag differs``, the last also where a field
+    that the tag vouches for is null.
+    """
+    reason = (
+        F.when(F.col("tag_in").isNull(), "unknown key").when(F.col("tag").isNull(), "no tag")
+        .when(F.col("fresh_tag").isNull() | (F.col("tag") != F.col("fresh_tag")), "tag differs")
+    )
     return (
         with_key(received, ring)
         .withColumn("fresh_tag", record_tag())
-        .withColumn("flagged", F.col("tag") != F.col("fresh_tag"))
-        .select(*received.columns, "fresh_tag", "flagged")
+        .withColumn("reason", reason)
+        .withColumn("flagged", F.col("reason").isNotNull())
+        .select(*received.columns, "fresh_tag", "flagged", "reason")
     )
 
 

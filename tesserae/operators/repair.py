@@ -9,8 +9,9 @@ from ..functions.backup import decode
 MARKER = 0
 
 
-def marker(px: Column) -> Column:
-    return F.transform(px, lambda v: F.lit(MARKER))
+def marker(px: Column, block: int = 8) -> Column:
+    """Pixels that say "lost"; also where the block itself is absent."""
+    return F.coalesce(F.transform(px, lambda v: F.lit(MARKER)), F.array_repeat(F.lit(MARKER), block * block))
 
 
 def repair(state: DataFrame, variant: str | list[str], block: int = 8) -> DataFrame:
@@ -29,7 +30,7 @@ def repair(state: DataFrame, variant: str | list[str], block: int = 8) -> DataFr
     return df.withColumn(
         "px_repaired",
         F.when(F.col("recoverable"), F.coalesce(*decoded))
-        .when(F.col("unrecoverable"), marker(F.col("px")))
+        .when(F.col("unrecoverable"), marker(F.col("px"), block))
         .otherwise(F.col("px")),
     ).drop(*decoded)
 

@@ -49,7 +49,8 @@ def seal(blocks: DataFrame, ring: DataFrame, variant: str, block: int = 8, bound
     Adds holder, carries, desc (the block's own backup), carried (its partner's, which it
     stores), tag, and px_sealed with tag and carried backup in the two low bits.  The
     carry join is a lag along the cycle, so map and carry share one shuffle; ``pairs``
-    replaces the plain cycle by a map that keeps partners apart.
+    replaces the plain cycle by a map that keeps partners apart.  Blocks of a key that the
+    ring does not hold are left out (``validate_blocks`` lists them).
     """
     keep = [c for c in blocks.columns]
     coded = with_backup(blocks, variant, block)
@@ -58,7 +59,7 @@ def seal(blocks: DataFrame, ring: DataFrame, variant: str, block: int = 8, bound
         *keep, "desc", F.col("next_idx").alias("holder"), F.col("prev_idx").alias("carries"),
         F.col("prev_desc").alias("carried"),
     )
-    tagged = with_key(placed, ring).withColumn(
+    tagged = with_key(placed, ring, known_only=True).withColumn(
         "tag", tag_hex(variant, block, F.col("px"), F.col("carried") if bound else None)
     )
     payload = F.concat(F.unhex("tag"), F.col("carried"))

@@ -13,7 +13,11 @@ GRID = ["owner_id", "key_id", "height", "width", "block", "k", "ncols", "idx", "
 
 
 def check_tags(received: DataFrame, ring: DataFrame, variant: str | Column, block: int = 8, bound: bool = True) -> DataFrame:
-    """Row-local comparison: adds stored_tag, stored_desc, fresh_tag and mismatch."""
+    """Row-local comparison: adds stored_tag, stored_desc, fresh_tag and mismatch.
+
+    A block of an unknown key, without pixels or with a null field mismatches like any other
+    that does not verify; no received row is lost.
+    """
     n_tag = budget(block)[1] // 8
     keep = received.columns
     split = received.withColumn("_low", payload(F.col("px"), block)).withColumn(
@@ -23,7 +27,7 @@ def check_tags(received: DataFrame, ring: DataFrame, variant: str | Column, bloc
     return (
         with_key(split, ring)
         .withColumn("fresh_tag", fresh)
-        .withColumn("mismatch", F.col("stored_tag") != F.col("fresh_tag"))
+        .withColumn("mismatch", ~F.coalesce(F.col("stored_tag") == F.col("fresh_tag"), F.lit(False)))
         .select(*keep, "stored_tag", "stored_desc", "fresh_tag", "mismatch")
     )
 

@@ -55,6 +55,10 @@ def keyring(spark: SparkSession, keys: dict[int, bytes | str] | None = None,
     return F.broadcast(ring) if len(keys) <= BROADCAST_KEYS else ring
 
 
-def with_key(blocks: DataFrame, ring: DataFrame) -> DataFrame:
-    """Attach pads by key_id; nothing is shuffled when the ring is broadcast."""
-    return blocks.join(ring, "key_id")
+def with_key(blocks: DataFrame, ring: DataFrame, known_only: bool = False) -> DataFrame:
+    """Attach pads by key_id; nothing is shuffled when the ring is broadcast.
+
+    Rows of an unknown or absent key keep their place and get null pads, so that checks can
+    report them; ``known_only`` leaves them out, which sealing does.
+    """
+    return blocks.join(ring, "key_id", "inner" if known_only else "left")
