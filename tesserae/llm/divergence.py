@@ -27,11 +27,11 @@ from tesserae.session import broadcast_if_small
 
 MIN_DOCS, TOP_TERMS = 30, 50
 #: Bytes of the first prefixes; every level doubles them.
-FIRST_LEVEL = 4
+FIRST_LEVEL = 6
 #: Bits of the filter (64 to a row of its table) and bits set for each prefix.
 FILTER_BITS, PROBES = 1 << 24, 4
 #: Prefixes a task gathers before it hands them on, and cells (sources x terms) of one block of the comparison.
-GATHERED, CELLS = 400_000, 1 << 20
+GATHERED, CELLS = 400_000, 1 << 15
 BATCH_CHARS = 2_000_000
 #: Shares are counted in billionths; PRIOR is added to every count.
 SHARE, PRIOR = 1_000_000_000, 5
@@ -130,79 +130,67 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
 
 
 def prefix_counts(texts: DataFrame, length: int, parents: np.ndarray | None) -> DataFrame:
-    """(lang, prefix, n): distinct documents of each prefix of ``length`` bytes; where given, of extensions of ``parents`` alone.
+    """(lang, prefix, source, docs, n): distinct documents and occurrences of each prefix of ``length`` bytes.
 
-    Complete terms carry END, so a term and a longer one that begins with it stay apart.
+    Where given, only extensions of ``parents`` are counted.  Complete terms carry END, so a
+    term and a longer one that begins with it stay apart, and are counted by source; for
+    open prefixes source is null.
     """
     shared = texts.sparkSession.sparkContext.broadcast(parents)   # FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _Gathered(["lang", "prefix"], ["n"])
+        gathered = _Gathered(["lang", "prefix", "source"], ["docs", "n"])
         for batch in batches:
             for lang, own in _by_lang(batch):
-                words, docs, ids, _ = document_terms(own.column(1))
-                if shared.value is not None and len(words):
-                    open_term = pc.binary_length(words).to_numpy(zero_copy_only=False) > length // 2   # shorter ones were complete before
-                    wanted = open_term & _passes(shared.value, _hashes(words, length // 2, lang))
-                    docs, ids = docs[wanted[ids]], ids[wanted[ids]]
+                words, docs, ids, found = document_terms(own.column(2))
+                if not len(words):
+                    continue
+                size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+                wanted = np.ones(len(words), dtype=bool)
+                if shared.value is not None:   # terms shorter than a parent were complete before
+                    wanted = (size > length // 2) & _passes(shared.value, _hashes(words, length // 2, lang))
+                keep = wanted[ids]
+                docs, ids, found = docs[keep], ids[keep], found[keep]
                 if not len(ids):
                     continue
                 coded = pc.binary_slice(words.cast(pa.binary()), 0, length).dictionary_encode()
-                kinds = len(coded.dictionary)
-                each = np.unique(docs * kinds + coded.indices.to_numpy().astype(np.int64)[ids]) % kinds
-                n = np.bincount(each, minlength=kinds)
-                at = np.flatnonzero(n)
-                langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(at), np.int32)), pa.array([lang])).cast(pa.string())
-                yield from gathered.add(pa.table({"lang": langs, "prefix": coded.dictionary.take(pa.array(at)), "n": pa.array(n[at].astype(np.int64))}))
+                kinds, kind = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)[ids]
+                sources = own.column(1).dictionary_encode()
+                source = np.where((size <= length)[ids], sources.indices.to_numpy()[docs] + 1, 0).astype(np.int64)
+                # one entry for each document and prefix: several terms of a document may share an open prefix
+                each = np.unique(docs * kinds + kind, return_index=True)[1] if (source == 0).any() else np.arange(len(ids))
+                key, place = np.unique(source * kinds + kind, return_inverse=True)
+                langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(key), np.int32)), pa.array([lang])).cast(pa.string())
+                named = pa.concat_arrays([pa.array([None], pa.string()), sources.dictionary.cast(pa.string())])
+                yield from gathered.add(pa.table({
+                    "lang": langs, "prefix": coded.dictionary.take(pa.array(key % kinds)), "source": named.take(pa.array(key // kinds)),
+                    "docs": pa.array(np.bincount(place[each], minlength=len(key)).astype(np.int64)), "n": pa.array(np.bincount(place, weights=found).astype(np.int64)),
+                }))
         yield from gathered.flush()
 
-    counted = texts.select("lang", "text").mapInArrow(run, "lang string, prefix binary, n long")
-    return counted.groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
+    counted = texts.select("lang", "source", "text").mapInArrow(run, "lang string, prefix binary, source string, docs long, n long")
+    # tasks hand on merged counts; one shuffle serves the sums and the threshold
+    return counted.repartition("lang", "prefix").groupBy("lang", "prefix", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
 def kept_terms(texts: DataFrame, least: int = MIN_DOCS) -> DataFrame:
-    """(lang, prefix): terms, with END, that stand in at least ``least`` documents of their language.
+    """(lang, source, term, n): occurrences of each kept term in each group that holds it.
 
-    ``texts`` has lang and text, neither null; every row is a document.
+    Kept are terms that stand in at least ``least`` documents of their language.  ``texts``
+    has lang, source and text, none null; every row is a document.
     """
     length, parents, complete = FIRST_LEVEL, None, []
+    whole = Window.partitionBy("lang", "prefix")
     while True:
-        found = cut(prefix_counts(texts, length, parents).filter(F.col("n") >= least))
-        ended = F.endswith("prefix", F.lit(END))
-        complete.append(found.filter(ended).select("lang", "prefix"))
-        rest = found.filter(~ended)
+        found = prefix_counts(texts, length, parents).withColumn("all_docs", F.sum("docs").over(whole))
+        found = cut(found.filter(F.col("all_docs") >= least).drop("docs", "all_docs"))
+        complete.append(found.filter("source IS NOT NULL"))
+        rest = found.filter("source IS NULL")
         if rest.isEmpty():
-            return reduce(DataFrame.unionByName, complete)
+            break
         parents, length = prefix_filter(rest), length * 2
-
-
-def term_counts(texts: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n): occurrences of each kept term in each group that holds it."""
-    shared = texts.sparkSession.sparkContext.broadcast(prefix_filter(kept))   # FILTER_BITS bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _Gathered(["lang", "source", "prefix"], ["n"])
-        for batch in batches:
-            for lang, own in _by_lang(batch):
-                words, docs, ids, found = document_terms(own.column(2))
-                sources = own.column(1).dictionary_encode()
-                wanted = _passes(shared.value, _hashes(words, None, lang)) if len(words) else np.zeros(0, bool)
-                docs, found, ids = docs[wanted[ids]], found[wanted[ids]], ids[wanted[ids]]
-                if not len(ids):
-                    continue
-                key, place = np.unique(sources.indices.to_numpy()[docs].astype(np.int64) * len(words) + ids, return_inverse=True)
-                n = np.bincount(place, weights=found).astype(np.int64)
-                langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(key), np.int32)), pa.array([lang])).cast(pa.string())
-                yield from gathered.add(pa.table({
-                    "lang": langs, "source": sources.dictionary.take(pa.array(key // len(words))),
-                    "prefix": words.take(pa.array(key % len(words))).cast(pa.binary()), "n": pa.array(n),
-                }))
-        yield from gathered.flush()
-
-    counted = texts.select("lang", "source", "text").mapInArrow(run, "lang string, source string, prefix binary, n long")
-    counted = counted.groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n")).join(kept, ["lang", "prefix"], "left_semi")
     term = F.decode(F.substring(F.col("prefix"), F.lit(1), (F.octet_length("prefix") - 1).cast("int")), "UTF-8")
-    return counted.select("lang", "source", term.alias("term"), "n")
+    return reduce(DataFrame.unionByName, complete).select("lang", "source", term.alias("term"), "n")
 
 
 def share(count: Column, total: Column, kinds: Column) -> Column:
@@ -224,9 +212,8 @@ def compare(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     """
     read = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     texts = docs.select(read(lang_col, "lang"), read(source_col, "source"), read(text_col, "text"))
-    kept = cut(kept_terms(texts, least))
-    found = cut(term_counts(texts, kept))
-    kinds = kept.groupBy("lang").agg(F.count("*").alias("kinds"))
+    found = cut(kept_terms(texts, least))
+    kinds = found.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("kinds"))
     groups = texts.groupBy("lang", "source").agg(F.count("*").alias("docs")).join(kinds, "lang", "left")
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = F.lit(0).cast("long")
