@@ -466,7 +466,7 @@ def runs_scan(spark, d):
 # -- map policies ------------------------------------------------------------
 
 def _policy_sql() -> str:
-    q = Sql().keyring().vectors("fa", 3, 4).map("fa", "pm").add("one", "SELECT fa.*, nominal FROM fa, (VALUES ('0.10'), ('0.25'), ('0.50')) n(nominal)")
+    q = Sql().keyring().vectors("fa", 3, 4).map("fa", "pm", plain=True).add("one", "SELECT fa.*, nominal FROM fa, (VALUES ('0.10'), ('0.25'), ('0.50')) n(nominal)")
     q.region("one", "g", "'noise'", "nominal")
     q.add("hit", "SELECT owner_id, key_id, height, width, block, k, nominal, ch, idx, len(list_filter(truth_px, lambda t: t)) > 0 AS flagged FROM g")
     message = (
@@ -494,7 +494,7 @@ def report_map_policy(spark, d):
     b = carriers.vector_blocks(spark, d, 3, 4).withColumn("nominal", F.explode(F.array(*[F.lit(r) for r in grid.RATIOS])))
     hit = inject.rectangle_truth(inject.with_rectangle(inject.with_seed(b, F.lit("noise"), F.col("nominal")), F.col("nominal")))
     hit = hit.withColumn("flagged", score.count_true("truth_px") > 0).drop("px", "truth_px")
-    shared = partner.with_neighbours(hit.filter("ch = 0"), ring, ["flagged"], ["nominal", "owner_id"])
+    shared = partner.with_neighbours(hit.filter("ch = 0"), ring, ["flagged"], ["nominal", "owner_id"], plain=True)
     shared = shared.select("nominal", "owner_id", "idx", "flagged", (F.col("flagged") & F.col("next_flagged")).alias("un"))
     message = F.concat(
         be(F.col("height"), 2), be(F.col("width"), 2), be(F.col("block"), 2), be(F.col("k"), 4),
@@ -514,24 +514,40 @@ def report_map_policy(spark, d):
     return out.select("policy", "nominal", "k", "tampered", "unrecoverable", r6(rho, "rho"))
 
 
-@query("partner_map_separated")
+def _separated_sql() -> str:
+    q = Sql().keyring().vectors("fa").map("fa", "pm")
+    q.add("far", "SELECT *, sqrt(pow((idx // ncols - holder // ncols) * block, 2) + pow((idx % ncols - holder % ncols) * block, 2)) AS sep, least(height, width) * 0.25::DOUBLE AS wanted FROM pm")
+    q.add("met", "SELECT *, greatest(0, ceil(log2(wanted / min(sep) OVER (PARTITION BY owner_id))))::BIGINT AS relaxations FROM far")
+    q.add("lim", "SELECT *, wanted * pow(0.5, relaxations) AS d_min FROM met")
+    return q.select(f"SELECT owner_id, {big('idx', 'holder', 'carries', 'relaxations')}, d_min::DOUBLE AS d_min, (count_if(sep < d_min) OVER (PARTITION BY owner_id))::BIGINT AS violations FROM lim")
+
+
+@query("partner_map_separated", _separated_sql())
 def partner_map_separated(spark, d):
-    """The keyed cycle with partners kept apart; checked by invariants, as its rounds are not one statement."""
+    """The keyed cycle with the distance its partners keep, in every owner."""
     return separation.separated_map(carriers.vector_blocks(spark, d), keyring(spark))
 
 
-@query("report_map_separation")
+def _separation_sql() -> str:
+    q = Sql().keyring().vectors("fa").map("fa", "pp", plain=True).map("fa", "ps")
+    q.add("one", "SELECT fa.*, nominal FROM fa, (VALUES ('0.10'), ('0.25'), ('0.50')) n(nominal)").region("one", "g", "'noise'", "nominal")
+    q.add("hit", "SELECT nominal, owner_id, idx, len(list_filter(truth_px, lambda t: t)) > 0 AS flagged FROM g WHERE ch = 0")
+    lost = "SELECT h.nominal, h.flagged, h.flagged AND o.flagged AS un FROM hit h JOIN (SELECT owner_id, idx, holder FROM {m}) p USING (owner_id, idx) JOIN (SELECT nominal, owner_id, idx AS holder, flagged FROM hit) o USING (nominal, owner_id, holder)"
+    rho = sql_r6("CASE WHEN count_if(flagged) = 0 THEN 1.0 ELSE 1.0 - count_if(un) / count_if(flagged) END", "rho")
+    pick = "SELECT '{p}' AS policy, nominal, count(*)::BIGINT AS k, count_if(flagged)::BIGINT AS tampered, count_if(flagged AND NOT un)::BIGINT AS recovered, count_if(un)::BIGINT AS unrecoverable, {r} FROM ({t}) GROUP BY nominal"
+    return q.select(" UNION ALL ".join(pick.format(p=p, r=rho, t=lost.format(m=m)) for p, m in (("plain", "pp"), ("separated", "ps"))))
+
+
+@query("report_map_separation", _separation_sql())
 def report_map_separation(spark, d):
     """Recoverability per damaged share with plain and with separated partners."""
     ring = keyring(spark)
-    blocks = carriers.vector_blocks(spark, d)
-    pairs = materialize(separation.separated_map(blocks, ring))
-    b = blocks.withColumn("nominal", F.explode(F.array(*[F.lit(r) for r in grid.RATIOS])))
+    b = carriers.vector_blocks(spark, d).withColumn("nominal", F.explode(F.array(*[F.lit(r) for r in grid.RATIOS])))
     hit = inject.rectangle_truth(inject.with_rectangle(inject.with_seed(b, F.lit("noise"), F.col("nominal")), F.col("nominal")))
     mask = hit.withColumn("flagged", score.count_true("truth_px") > 0).drop("px", "truth_px")
     out = reports.map_policy({
-        "plain": verify.partner_state_of_mask(mask, ring, ["nominal"]),
-        "separated": verify.partner_state_of_mask(mask, ring, ["nominal"], pairs),
+        "plain": verify.partner_state_of_mask(mask, ring, ["nominal"], plain=True),
+        "separated": verify.partner_state_of_mask(mask, ring, ["nominal"]),
     })
     return out.select("policy", "nominal", "k", "tampered", "recovered", "unrecoverable", r6(F.col("rho"), "rho"))
 

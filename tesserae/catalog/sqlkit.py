@@ -289,8 +289,8 @@ class Sql:
 
     # -- seal, verify, repair ------------------------------------------------
 
-    def map(self, src: str, name: str, keys: str = "owner_id") -> "Sql":
-        """Unrepaired keyed cycle: (owner_id, idx, holder, carries)."""
+    def map(self, src: str, name: str, keys: str = "owner_id", plain: bool = False) -> "Sql":
+        """Keyed cycle: (owner_id, idx, holder, carries); between strips of the raster order unless plain."""
         message = (
             f"{be('height', 2)} || {be('width', 2)} || {be('block', 2)} || {be('k', 4)} || {prefixed_text('owner_id')} || {be('idx', 4)}"
         )
@@ -299,12 +299,24 @@ class Sql:
             f"SELECT {keys}, idx, k, ncols, block, height, width, {hmac('map', message)} AS h "
             f"FROM {src} JOIN keyring USING (key_id) WHERE ch = 0",
         )
-        w = f"PARTITION BY {keys} ORDER BY h, idx"
+        source, order = f"{name}_h", "h, idx"
+        if not plain:
+            self.add(f"{name}_g", f"SELECT *, k % 2 = 1 AND k > 1 AS odd, (greatest(k - k % 2, 2) - 2) // 2 // 2 AS b, (greatest(k - k % 2, 2) - 2) // 2 - (greatest(k - k % 2, 2) - 2) // 2 // 2 AS a FROM {name}_h")
+            self.add(f"{name}_i", f"SELECT *, CASE WHEN odd AND idx = a + b + 1 THEN NULL WHEN odd AND idx > a + b + 1 THEN idx - 1 ELSE idx END AS spot FROM {name}_g")
+            self.add(f"{name}_b", f"SELECT *, CASE WHEN spot IS NULL THEN 'middle' WHEN spot <= a THEN 'first' WHEN spot <= a + b THEN 'second' WHEN spot <= 2 * a + b THEN 'third' ELSE 'fourth' END AS strip FROM {name}_i")
+            turn = "CASE WHEN odd AND idx = 0 THEN 1 WHEN odd AND idx = k - 1 THEN -1 ELSE 0 END"
+            self.add(f"{name}_j", f"SELECT *, row_number() OVER (PARTITION BY {keys}, strip ORDER BY {turn}, h, idx) - 1 AS j FROM {name}_b")
+            self.add(
+                f"{name}_o",
+                f"SELECT *, CASE strip WHEN 'first' THEN 2 * j WHEN 'third' THEN 2 * j + 1 WHEN 'middle' THEN 2 * a + 1 WHEN 'fourth' THEN 2 * a + 1 + odd::INT + 2 * j ELSE 2 * a + 2 + odd::INT + 2 * j END AS place FROM {name}_j",
+            )
+            source, order = f"{name}_o", "place"
+        w = f"PARTITION BY {keys} ORDER BY {order}"
         full = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
         return self.add(
             name,
-            f"SELECT *, coalesce(lead(idx) OVER ({w}), first_value(idx) OVER ({w} {full})) AS holder, "
-            f"coalesce(lag(idx) OVER ({w}), last_value(idx) OVER ({w} {full})) AS carries FROM {name}_h",
+            f"SELECT {keys}, idx, k, ncols, block, height, width, h, coalesce(lead(idx) OVER ({w}), first_value(idx) OVER ({w} {full})) AS holder, "
+            f"coalesce(lag(idx) OVER ({w}), last_value(idx) OVER ({w} {full})) AS carries FROM {source}",
         )
 
     def tag(self, variant: str, block: int, px: str, carried: str | None, owner: str = "owner_id") -> str:

@@ -43,18 +43,19 @@ def tag_hex(variant: str | Column, block: int, px: Column, carried: Column | Non
 
 
 def seal(blocks: DataFrame, ring: DataFrame, variant: str, block: int = 8, bound: bool = True,
-         extra: list[str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
+         extra: list[str] | None = None, pairs: DataFrame | None = None, plain: bool = False) -> DataFrame:
     """Blocks -> sealed blocks; ``extra`` names columns besides owner_id that tell copies apart.
 
     Adds holder, carries, desc (the block's own backup), carried (its partner's, which it
     stores), tag, and px_sealed with tag and carried backup in the two low bits.  The
-    carry join is a lag along the cycle, so map and carry share one shuffle; ``pairs``
-    replaces the plain cycle by a map that keeps partners apart.  Blocks of a key that the
-    ring does not hold are left out (``validate_blocks`` lists them).
+    carry join is a lag along the cycle, so map and carry share one shuffle.  Partners are
+    kept apart; ``plain`` takes the mere keyed order and ``pairs`` any map of the caller's
+    (all readers of the blocks must be given the same).  Blocks of a key that the ring does
+    not hold, and owners that lack a block, are left out.
     """
     keep = [c for c in blocks.columns]
     coded = with_backup(blocks, variant, block)
-    placed = with_neighbours(coded, ring, ["idx", "desc"], (extra or []) + ["owner_id", "ch"], pairs)
+    placed = with_neighbours(coded, ring, ["idx", "desc"], (extra or []) + ["owner_id", "ch"], pairs, plain).filter("prev_idx IS NOT NULL")
     placed = placed.select(
         *keep, "desc", F.col("next_idx").alias("holder"), F.col("prev_idx").alias("carries"),
         F.col("prev_desc").alias("carried"),

@@ -1,105 +1,32 @@
-"""Keep partners apart: the keyed cycle with short edges removed.
-
-A tampered region is contiguous, so a block and its holder should not be neighbours.
-Removing short edges means swapping positions of one cycle again and again, which no
-window expresses; it runs per page, whose size the carrier bounds, after one shuffle.
-"""
+"""The separated map with a distance of the caller's choice, relaxed where an owner cannot meet it."""
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.keyring import with_key
-from .partner import map_digest
+from .partner import partner_map, squared_distance
 
-MAX_ROUNDS = 400
 MAX_RELAXATIONS = 10
 
-SCHEMA = "owner_id string, idx bigint, holder bigint, carries bigint, d_min double, relaxations int, violations bigint"
-
-
-def _page_repair(max_rounds: int, max_relaxations: int):
-    """Per-page function; nested, so that it travels by value."""
-
-    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["digest", "idx"])
-        order, k = pdf["idx"].to_numpy().copy(), len(pdf)
-        ncols, block = int(pdf["ncols"].iloc[0]), int(pdf["block"].iloc[0])
-        seed, drawn = pdf["digest"].iloc[0].encode(), 0
-        wanted = float(pdf["d_min"].iloc[0])
-        diagonal = block * np.hypot(k // ncols - 1, ncols - 1)
-
-        def short(a, b, limit):
-            dr, dc = a // ncols - b // ncols, a % ncols - b % ncols
-            return (dr * dr + dc * dc) * block * block < limit * limit
-
-        def around(positions, limit):
-            """Short edges among the (at most four) edges that touch two positions each."""
-            total = np.zeros(len(positions[0]), dtype=int)
-            for p in positions:
-                for left in (p - 1, p):
-                    total += short(order[left % k], order[(left + 1) % k], limit)
-            return total
-
-        def draws(n):
-            """The page's next ``n`` numbers: keyed SHA-256 of a counter, the same in every library and version."""
-            nonlocal drawn
-            drawn += 1
-            return np.array([int.from_bytes(hashlib.sha256(seed + b"|%d|%d" % (drawn, i)).digest()[:7], "big") for i in range(n)], dtype=np.int64)
-
-        def one_round(limit):
-            bad = np.flatnonzero(short(order, np.roll(order, -1), limit))
-            if not len(bad):
-                return True
-            p = (bad + 1) % k
-            q = draws(len(p)) % k
-            gap = np.abs(p - q)
-            far = np.minimum(gap, k - gap) > 2
-            p, q = p[far], q[far]
-            # a swap claims six positions; it goes ahead if it holds the lowest number on all
-            claims = np.stack([(p + s) % k for s in (-1, 0, 1)] + [(q + s) % k for s in (-1, 0, 1)])
-            rank = np.argsort(np.argsort(draws(len(p)), kind="stable"), kind="stable")
-            lowest = np.full(k, len(p))
-            for row in claims:
-                np.minimum.at(lowest, row, rank)
-            free = (lowest[claims] == rank).all(axis=0)
-            p, q = p[free], q[free]
-            before = around((p, q), limit)
-            order[p], order[q] = order[q].copy(), order[p].copy()
-            worse = around((p, q), limit) >= before
-            order[p[worse]], order[q[worse]] = order[q[worse]].copy(), order[p[worse]].copy()
-            return False
-
-        limit, relaxed = wanted, 0
-        while True:
-            done = limit <= diagonal and any(one_round(limit) for _ in range(max_rounds))
-            if done:
-                break
-            if relaxed == max_relaxations:
-                raise ValueError(f"{pdf['owner_id'].iloc[0]}: partners stay too close after {relaxed} relaxations")
-            limit, relaxed = limit / 2, relaxed + 1
-        return pd.DataFrame({
-            "owner_id": pdf["owner_id"].iloc[0], "idx": order, "holder": np.roll(order, -1), "carries": np.roll(order, 1),
-            "d_min": limit, "relaxations": relaxed, "violations": int(short(order, np.roll(order, -1), limit).sum()),
-        })
-
-    return repair
-
 
-def separated_map(blocks: DataFrame, ring: DataFrame, d_min=None) -> DataFrame:
+def separated_map(blocks: DataFrame, ring: DataFrame, d_min: Column | None = None) -> DataFrame:
     """(owner_id, idx, holder, carries, d_min, relaxations, violations).
 
-    The wanted distance (a quarter of the shorter side) is halved up to ten times where a
-    page cannot meet it; the distance met is reported, and violations are zero at it.  A page
-    that fails even then raises an error.
+    The map is the separated cycle of ``partner``, which meets a quarter of the shorter side
+    (the default) in every grid.  A larger wanted distance is halved until the owner's
+    nearest partners meet it; ``d_min`` is the distance met and ``violations`` counts the
+    edges below it.  An owner that needs more than ten halvings, or has one block alone,
+    raises an error.
     """
-    wanted = d_min if d_min is not None else F.least("height", "width") * 0.25
-    base = blocks.filter(F.col("ch") == 0)
-    keyed = with_key(base, ring).select(
-        "owner_id", "idx", map_digest().alias("digest"), "ncols", "block", wanted.cast("double").alias("d_min")
+    wanted = (d_min if d_min is not None else F.least("height", "width") * 0.25).cast("double")
+    owner = Window.partitionBy("owner_id")
+    rows = partner_map(blocks, ring).withColumn("_d", F.sqrt(squared_distance(F.col("idx"), F.col("holder")))).withColumn("_wanted", wanted)
+    rows = rows.withColumn("_least", F.min("_d").over(owner))
+    steps = F.aggregate(
+        F.sequence(F.lit(1), F.lit(MAX_RELAXATIONS + 1)), F.lit(0),
+        lambda n, _: F.when(F.col("_wanted") * F.pow(F.lit(0.5), n) > F.col("_least"), n + 1).otherwise(n),
     )
-    return keyed.groupBy("owner_id").applyInPandas(_page_repair(MAX_ROUNDS, MAX_RELAXATIONS), SCHEMA)
+    failed = F.concat(F.col("owner_id"), F.lit(": partners stay too close"))
+    rows = rows.withColumn("relaxations", steps).withColumn("relaxations", F.when(F.col("relaxations") > MAX_RELAXATIONS, F.raise_error(failed).cast("int")).otherwise(F.col("relaxations")))
+    rows = rows.withColumn("d_min", F.col("_wanted") * F.pow(F.lit(0.5), "relaxations"))
+    return rows.select("owner_id", "idx", "holder", "carries", "d_min", "relaxations", F.count_if(F.col("_d") < F.col("d_min")).over(owner).alias("violations"))

@@ -95,33 +95,34 @@ def owner_verdicts(mask: DataFrame, extra: list[str] | None = None) -> DataFrame
 
 
 def with_partner_state(checked: DataFrame, mask: DataFrame, ring: DataFrame, extra: list[str] | None = None,
-                       pairs: DataFrame | None = None) -> DataFrame:
+                       pairs: DataFrame | None = None, plain: bool = False) -> DataFrame:
     """Per block and channel: the mask, its holder's flag, and the block's own backup read from the holder.
 
     Mask and stored backups are columns of this frame, hence frozen before anything is
-    repaired.  The owner join is a lead along the cycle.
+    repaired.  The owner join is a lead along the cycle.  In owners that lack a block
+    nobody can tell the partners: all that is flagged there is unrecoverable.
     """
     extra = extra or []
     flags = mask.select(*extra, "owner_id", "idx", "raw", "flagged")
     joined = checked.join(flags, extra + ["owner_id", "idx"])
-    out = with_neighbours(joined, ring, ["idx", "stored_desc", "flagged"], extra + ["owner_id", "ch"], pairs)
+    out = with_neighbours(joined, ring, ["idx", "stored_desc", "flagged"], extra + ["owner_id", "ch"], pairs, plain)
     return (
         out.withColumnRenamed("next_idx", "holder")
         .withColumnRenamed("next_stored_desc", "own_desc")
-        .withColumnRenamed("next_flagged", "holder_flagged")
-        .drop("prev_idx", "prev_stored_desc", "prev_flagged")
+        .withColumn("holder_flagged", F.coalesce("next_flagged", F.lit(True)))
+        .drop("next_flagged", "prev_idx", "prev_stored_desc", "prev_flagged")
         .withColumn("recoverable", F.col("flagged") & ~F.col("holder_flagged"))
         .withColumn("unrecoverable", F.col("flagged") & F.col("holder_flagged"))
     )
 
 
 def partner_state_of_mask(mask: DataFrame, ring: DataFrame, extra: list[str] | None = None,
-                          pairs: DataFrame | None = None) -> DataFrame:
+                          pairs: DataFrame | None = None, plain: bool = False) -> DataFrame:
     """The same from mask and map alone; no pixel column is read."""
-    out = with_neighbours(mask, ring, ["idx", "flagged"], (extra or []) + ["owner_id"], pairs)
+    out = with_neighbours(mask, ring, ["idx", "flagged"], (extra or []) + ["owner_id"], pairs, plain)
     return (
-        out.withColumnRenamed("next_idx", "holder").withColumnRenamed("next_flagged", "holder_flagged")
-        .drop("prev_idx", "prev_flagged")
+        out.withColumnRenamed("next_idx", "holder").withColumn("holder_flagged", F.coalesce("next_flagged", F.lit(True)))
+        .drop("next_flagged", "prev_idx", "prev_flagged")
         .withColumn("recoverable", F.col("flagged") & ~F.col("holder_flagged"))
         .withColumn("unrecoverable", F.col("flagged") & F.col("holder_flagged"))
     )

@@ -142,16 +142,15 @@ def test_plain_map_is_one_cycle(spark, ring, blocks):
         assert all(holder[r["carries"]] == r["idx"] for r in mine)
 
 
-@pytest.mark.parametrize("shape", [(64, 64), (48, 64), (3, 3)])
+@pytest.mark.parametrize("shape", [(64, 64), (48, 64), (3, 3), (1, 2), (1, 3), (5, 5), (7, 3), (2, 9), (13, 17), (1, 40), (6, 6)])
 def test_separated_map(spark, ring, shape):
     nrows, ncols = shape
     b = make_blocks(spark, nrows, ncols, lambda ch, i: [0] * 64)
     rows = separation.separated_map(b, ring).collect()
     assert one_cycle([(r["idx"], r["holder"]) for r in rows])
-    assert rows[0]["violations"] == 0
-    if shape[0] > 10:
-        assert rows[0]["relaxations"] == 0
+    assert {(r["violations"], r["relaxations"]) for r in rows} == {(0, 0)}
     limit = rows[0]["d_min"]
+    assert limit == min(shape) * 8 / 4
     for r in rows:
         dy, dx = (r["idx"] // ncols - r["holder"] // ncols) * 8, (r["idx"] % ncols - r["holder"] % ncols) * 8
         assert dy * dy + dx * dx >= limit * limit
@@ -163,6 +162,33 @@ def test_separated_map_relaxes(spark, ring):
     assert rows[0]["relaxations"] > 0 and rows[0]["violations"] == 0 and rows[0]["d_min"] < 10000
 
 
+def test_every_size_has_one_wide_cycle(spark, ring):
+    """All sizes up to 40 blocks in a row: one cycle whose edges span a quarter of it."""
+    rows = []
+    for k in range(2, 41):
+        rows += [(f"o{k}", 0, 8, k * 8, 8, k, k, 0, i, 0, i) for i in range(k)]
+    df = spark.createDataFrame(rows, "owner_id string, key_id int, height bigint, width bigint, block int, k bigint, ncols bigint, ch int, idx bigint, r bigint, c bigint")
+    pairs = {}
+    for r in partner.partner_map(df, ring).collect():
+        pairs.setdefault(r["k"], []).append((r["idx"], r["holder"]))
+        assert abs(r["idx"] - r["holder"]) * 4 >= r["k"]
+    assert all(len(p) == k and one_cycle(p) for k, p in pairs.items()) and len(pairs) == 39
+
+
+def test_one_block_has_no_partner(spark, ring):
+    with pytest.raises(Exception, match="partners stay too close"):
+        separation.separated_map(make_blocks(spark, 1, 1, lambda ch, i: [0] * 64), ring).collect()
+
+
+def test_incomplete_owners_have_no_partners(spark, ring):
+    b = make_blocks(spark, 4, 4, lambda ch, i: [i] * 64)
+    s = seal.as_received(seal.seal(b, ring, "B")).filter("idx <> 5").withColumn("px", F.when(F.col("idx") == 3, F.array_repeat(F.lit(7), 64)).otherwise(F.col("px")))
+    checked = materialize(verify.check_tags(s, ring, "B"))
+    state = verify.with_partner_state(checked, verify.localize(checked), ring)
+    assert {(r.idx, r.recoverable, r.unrecoverable) for r in state.filter("flagged").collect()} == {(3, False, True)}
+    assert seal.seal(b.filter("idx <> 5"), ring, "B").count() == 0
+
+
 def test_seal_with_separated_map(spark, ring, blocks):
     pairs = materialize(separation.separated_map(blocks, ring))
     s = materialize(seal.seal(blocks, ring, "B", pairs=pairs))
