@@ -299,9 +299,11 @@ def stats_sql(cols: list[str]) -> str:
     out = []
     for c in cols:
         f = f"({c} IS NOT NULL AND isfinite({c}))"
+        whole, n = f"(CASE WHEN {f} THEN round_even({c} * 1000000000, 0) END)::HUGEINT", f"count_if({f})"
+        total, squares = f"sum({whole})", f"sum({whole} * {whole})"
         out.append(
-            f"{sql_r6(f'coalesce(avg({c}) FILTER (WHERE {f}), ' + repr('nan') + '::DOUBLE)', c + '_mean')}, "
-            f"{sql_r6(f'CASE WHEN count_if({f}) >= 2 THEN stddev_pop({c}) FILTER (WHERE {f}) ELSE 0.0 END', c + '_std')}, "
+            f"{sql_r6(f'coalesce({total}::DOUBLE / greatest({n}, 1)::DOUBLE / 1000000000, ' + repr('nan') + '::DOUBLE)', c + '_mean')}, "
+            f"{sql_r6(f'CASE WHEN {n} >= 2 THEN sqrt(({squares}::HUGEINT * {n} - {total}::HUGEINT * {total}::HUGEINT)::DOUBLE) / {n}::DOUBLE / 1000000000 ELSE 0.0 END', c + '_std')}, "
             f"count_if({f})::BIGINT AS {c}_n, count_if(NOT coalesce({f}, FALSE))::BIGINT AS {c}_skipped"
         )
     return ", ".join(out)

@@ -11,14 +11,24 @@ def finite(col: str) -> Column:
     return F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(F.col(col)) != float("inf"))
 
 
+#: Statistics add whole billionths, which are the same in any order; values from EXACT_BELOW on are added as doubles.
+BILLION, EXACT_BELOW = 1_000_000_000, 1e6
+
+
 def stats(col: str, prefix: str | None = None) -> list[Column]:
     """mean, population std, n and skipped over finite values; std 0.0 below two values, mean NaN at none."""
     p = prefix or col
     v = F.when(finite(col), F.col(col))
     n = F.count(v)
+    whole = F.when(F.abs(v) < EXACT_BELOW, F.rint(v * BILLION).cast("decimal(20,0)"))
+    exact = F.coalesce(F.max(F.abs(v)) < EXACT_BELOW, F.lit(False))
+    total, squares = F.sum(whole), F.sum((whole * whole).cast("decimal(38,0)"))
+    wide = total.cast("decimal(38,0)")
+    spread = F.try_subtract(F.try_multiply(squares, n.cast("decimal(20,0)")), F.try_multiply(wide, wide)).cast("double")
+    size = F.greatest(n, F.lit(1)).cast("double")
     return [
-        F.coalesce(F.avg(v), F.lit(float("nan"))).alias(f"{p}_mean"),
-        F.when(n >= 2, F.stddev_pop(v)).otherwise(F.lit(0.0)).alias(f"{p}_std"),
+        F.coalesce(F.when(exact, total.cast("double") / size / BILLION).otherwise(F.avg(v)), F.lit(float("nan"))).alias(f"{p}_mean"),
+        F.when(n < 2, F.lit(0.0)).otherwise(F.coalesce(F.when(exact, F.sqrt(spread) / size / BILLION), F.stddev_pop(v))).alias(f"{p}_std"),
         n.alias(f"{p}_n"),
         F.count_if(~finite(col)).alias(f"{p}_skipped"),
     ]
