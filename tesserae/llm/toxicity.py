@@ -173,7 +173,7 @@ def score(texts: list[str | None], model: Model) -> list[tuple[float, list[dict]
 
 
 def fit(
-    df: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = 2000, max_chars: int = 6000, folds: int = 5,
+    df: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", per_class: int = 2500, max_chars: int = 8000, folds: int = 5,
 ) -> Model:
     """Train on a bounded sample: about ``per_class`` labelled texts of each class, of at most ``max_chars`` characters.
 
@@ -189,12 +189,12 @@ def fit(
     counts = {int(r["y"]): r["count"] for r in known.groupBy("y").count().collect()}
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
     part = F.when(F.col("y") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
-    chosen = known.filter(draw < part).limit(4 * per_class)
+    chosen = known.filter(draw < part).orderBy(draw, "id").limit(4 * per_class)
     rows = (
         df.select(key.alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= max_chars)
-        .join(F.broadcast(chosen), "id").select("text", "y").limit(8 * per_class).collect()   # at most 4 * per_class identifiers
+        .join(F.broadcast(chosen), "id").select("id", "text", "y").orderBy("id", "text").limit(8 * per_class).collect()   # at most 4 * per_class identifiers
     )
-    return train([(r.text, r.y == 1) for r in rows])
+    return train([(r.text, r.y == 1) for r in rows])   # in the order of their identifiers: the same model whatever the partitions
 
 
 def detect(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
