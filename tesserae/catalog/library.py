@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, utf8
 from ..operators import inject, library as lib, score, seal
-from ..session import broadcast_if_small, materialize
+from ..operators.index import write_index
+from ..operators.store import Library
+from ..session import broadcast_if_small, materialize, scratch
 from ..sources import carriers, files
 from ..sources.keyring import keyring
 from ..sources.tables import table
@@ -48,6 +50,17 @@ def library_list(spark, d):
     return lib.listing(lib.delete(known, gone))
 
 
+@query("library_store", f"SELECT * FROM ({UPSERT}) WHERE id % 10 <> 3")
+def library_store(spark, d):
+    """The stored library after two upserts and a delete, each a version of the partitions it touches."""
+    docs = _documents(spark, d)
+    kept = Library(spark, scratch(spark))
+    kept.upsert(docs.filter("id % 2 = 0"))
+    kept.upsert(docs.filter("id % 2 = 1"))
+    kept.delete(kept.read().filter("id % 10 = 3"))
+    return kept.read()
+
+
 @query(
     "byte_identical",
     f"SELECT d.doc_id, u.id AS record_id, u.id IS NOT NULL AS byte_identical FROM (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS sha256 FROM documents) d "
@@ -106,9 +119,9 @@ def _archive_sql() -> Sql:
 
 @query("identify", _archive_sql().select("SELECT * FROM ident"))
 def identify(spark, d):
-    """Which record each received set is; the oracle tries every record of the shape."""
+    """Which record each received set is, by the stored index; the oracle tries every record of the shape."""
     ring, archive, records, received = _archive(spark, d)
-    return lib.identify(received, archive, records, ring, "B")
+    return lib.identify(received, None, records, ring, "B", index=write_index(archive, records, scratch(spark), 8))
 
 
 @query(

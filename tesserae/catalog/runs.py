@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inject, partner, ratefit, score, separation, verify
-from ..plans import gate, grid, reports
-from ..session import checkpoint_dir, materialize
+from ..plans import gate, grid, reports, runlog
+from ..session import checkpoint_dir, materialize, scratch
 from ..sources import carriers
 from ..sources.keyring import keyring
 from ..sources.tables import table
@@ -169,10 +169,14 @@ def grid_plan(spark, d):
     CELLS.select("SELECT run_id, grp, stem FROM cells WHERE substr(run_id, 1, 1) >= '4'"),
 )
 def grid_resume(spark, d):
-    """Cells still to do when those with a low id are finished."""
-    plan = _plan(spark, d).withColumn("grp", grid.group_of())
-    done = plan.filter(F.substring("run_id", 1, 1) < "4")
-    return grid.resume(plan, done).select("run_id", "grp", "stem")
+    """Cells still to do when those with a low id are finished, by a log of overlapping and unfinished writers."""
+    plan = materialize(_plan(spark, d).withColumn("grp", grid.group_of()))
+    first = F.substring("run_id", 1, 1)
+    path = scratch(spark)
+    runlog.append(plan.filter(first < "2"), path)
+    runlog.append(plan.filter(first < "4"), path)     # half of it a second time
+    runlog.stage(plan.filter(first < "9"), path)      # never committed
+    return runlog.resume(plan, path).select("run_id", "grp", "stem")
 
 
 def _partial(plan):

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.pixels import to_bytes
 from ..sources.keyring import with_key
 from . import score, verify
+from .index import place
 from .seal import tag_hex
 
 MIN_VERIFYING = 8
@@ -51,8 +52,8 @@ def picture_hash(blocks: DataFrame, keys: list[str], px: str = "px") -> DataFram
     ).select(*keys, F.sha2(F.array_join(F.transform("_all", lambda s: s["h"]), ""), 256).alias("sha256"))
 
 
-def identify(received: DataFrame, archive: DataFrame, records: DataFrame, ring: DataFrame, variant: str,
-             block: int = 8) -> DataFrame:
+def identify(received: DataFrame, archive: DataFrame | None, records: DataFrame, ring: DataFrame, variant: str,
+             block: int = 8, index: DataFrame | None = None) -> DataFrame:
     """Best and second-best record per received set, with the number of blocks that verify.
 
     A received block counts for a record when the archive holds the tag it carries at the
@@ -63,6 +64,9 @@ def identify(received: DataFrame, archive: DataFrame, records: DataFrame, ring:
     under the same identity and key changed are therefore not credited to the older record.
     Every received set is listed, whichever of its blocks are missing.
 
+    ``index`` (``write_index``) stands for the archive where one is stored: its side of the
+    join is then neither shuffled nor sorted.
+
     received: (query_id, height, width, ch, idx, px); archive: (record_id, ch, idx, tag);
     records: (record_id, owner_id, key_id, height, width, n_blocks, n_channels).
     """
@@ -72,11 +76,14 @@ def identify(received: DataFrame, archive: DataFrame, records: DataFrame, ring:
         F.lower(F.hex(F.substring("_low", 1, n_tag))).alias("tag"),
         F.substring("_low", n_tag + 1, 64).alias("stored_desc"),
     )
-    # record fields first, so that the join sees the shape on both sides
-    stored = archive.select("record_id", "ch", "idx", "tag").join(
-        records.select("record_id", "owner_id", "key_id", "height", "width", "n_blocks", "n_channels"), "record_id"
-    )
-    pairs = carried.join(stored, ["height", "width", "ch", "idx", "tag"])
+    if index is not None:
+        pairs = carried.withColumn("place", place("height", "width", "ch", "idx", "tag")).join(index, "place")
+    else:
+        # record fields first, so that the join sees the shape on both sides
+        stored = archive.select("record_id", "ch", "idx", "tag").join(
+            records.select("record_id", "owner_id", "key_id", "height", "width", "n_blocks", "n_channels"), "record_id"
+        )
+        pairs = carried.join(stored, ["height", "width", "ch", "idx", "tag"])
     fresh = tag_hex(variant, block, F.col("px"), F.col("stored_desc"))
     sure = with_key(pairs, ring).filter(fresh == F.col("tag"))
     per_block = sure.groupBy("query_id", "record_id", "n_channels", "idx").agg(F.countDistinct("ch").alias("_c"))

@@ -9,6 +9,7 @@ from ..functions.pixels import psnr, squared_error
 from ..operators import inject, repair, score, seal, verify
 from ..session import materialize
 from ..sources.carriers import split_blocks
+from . import runlog
 
 CLASSES = ("splice", "inpaint_removal", "crop_refill", "noise")
 RATIOS = ("0.10", "0.25", "0.50")
@@ -173,6 +174,6 @@ def resume(plan: DataFrame, done: DataFrame) -> DataFrame:
     return plan.join(done.select("run_id"), "run_id", "left_anti")
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    """Append finished runs with a UTC timestamp."""
-    runs.withColumn("timestamp_utc", F.current_timestamp()).write.mode("append").parquet(path)
+def append_runs(runs: DataFrame, path: str) -> int:
+    """Append finished runs with a UTC timestamp, each once whatever is retried or doubled; returns how many were new."""
+    return runlog.append(runs, path)

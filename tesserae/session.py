@@ -49,6 +49,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tesserae-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends, columns still prune.
 
@@ -56,7 +61,7 @@ def materialize(df: DataFrame) -> DataFrame:
     plan once per reader.  A lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tesserae-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -17,7 +17,7 @@ FAST = [
     "blocks_from_source", "blocks_crop", "input_rejects", "derive_seed", "partner_map", "seal_blocks", "verify_verdict", "legacy_gap",
     "repair_blocks", "descriptor_mode", "recovery_metrics", "inject_splice", "identify", "format_census", "manifest_verify",
     "library_upsert", "repair_records", "records_recoverability", "gate_missing_cells", "runs_scan", "rd_stats",
-    "seal_records", "verify_records", "seal_leftovers", "coverage", "verify_library", "restore_exact", "truth_compare", "descriptor_dct",
+    "account_records", "restore_records", "verify_complete", "library_store", "grid_resume", "partner_map_separated", "seal_records", "verify_records", "seal_leftovers", "coverage", "verify_library", "restore_exact", "truth_compare", "descriptor_dct",
 ]
 
 

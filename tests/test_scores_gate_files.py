@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import make_blocks
 from tesserae.operators import library as lib, score, seal
-from tesserae.plans import gate, grid, reports
+from tesserae.plans import gate, grid, reports, runlog
 from tesserae.session import materialize
 from tesserae.sources import files
 
@@ -99,10 +99,10 @@ def test_resume_appends_only_the_rest(spark, blocks, tmp_path):
     plan = materialize(grid.cells(blocks))
     out = str(tmp_path / "runs")
     first = plan.filter("substr(run_id, 1, 1) < '8'")
-    grid.append_runs(first, out)
-    rest = grid.resume(plan, spark.read.parquet(out))
-    grid.append_runs(rest, out)
-    done = spark.read.parquet(out)
+    assert grid.append_runs(first, out) == first.count()
+    rest = runlog.resume(plan, out)
+    assert grid.append_runs(rest, out) == rest.count() > 0 == grid.append_runs(first, out)
+    done = runlog.read(spark, out)
     assert done.count() == plan.count() == done.select("run_id").distinct().count()
     assert grid.resume(plan, done).count() == 0
 
