@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import derive_seed, uniform
 from ..functions.pixels import to_bytes
 from ..operators import inject, partner, repair, seal, verify
 from ..sources import carriers
@@ -199,6 +200,47 @@ def nearest_block(spark, d):
     return inject.nearest_block(sealed(spark, d)[1])
 
 
+@query(
+    "nearest_blocks",
+    sealed_sql().add("tot", "SELECT owner_id, idx, list_sum(px)::BIGINT AS total FROM rcv WHERE ch = 0").select(
+        "SELECT owner_id, dst::BIGINT AS dst, b.src::BIGINT AS src, b.diff::BIGINT AS diff FROM (SELECT a.owner_id, a.idx AS dst, min(struct_pack(diff := abs(a.total - o.total), src := o.idx)) AS b "
+        "FROM tot a JOIN tot o ON a.owner_id = o.owner_id AND a.idx <> o.idx GROUP BY ALL)"
+    ),
+)
+def nearest_blocks(spark, d):
+    """The block closest in mean to each block; the oracle compares all pairs."""
+    return inject.nearest_other(sealed(spark, d)[1])
+
+
+REGIONS = 1000
+_unit = lambda name: S.uniform("seed", name)
+
+
+@query(
+    "regions_cover",
+    Sql().vectors("fa").add("ow", "SELECT DISTINCT owner_id, height, width FROM fa").add(
+        "sd", f"SELECT *, {S.seed('owner_id', 'i::VARCHAR')} AS seed FROM (SELECT *, unnest(range({REGIONS})) AS i FROM ow)",
+    ).add(
+        "rg",
+        f"SELECT owner_id, y0, x0, y0 + 1 + floor({_unit('h')} * {_unit('h')} * height / 4)::BIGINT AS y1, x0 + 1 + floor({_unit('w')} * {_unit('w')} * width / 4)::BIGINT AS x1 FROM "
+        f"(SELECT *, floor({_unit('y')} * (height + 8))::BIGINT - 4 AS y0, floor({_unit('x')} * (width + 8))::BIGINT - 4 AS x0 FROM sd)",
+    ).add("px", "SELECT owner_id, idx, r * 8 + p // 8 AS y, c * 8 + p % 8 AS x FROM (SELECT *, unnest(range(64)) AS p FROM fa)").select(
+        "SELECT owner_id, idx::BIGINT AS idx, n_regions, covered FROM (SELECT f.owner_id, f.idx, count(*)::BIGINT AS n_regions FROM fa f JOIN rg g ON f.owner_id = g.owner_id AND g.y0 < f.r * 8 + 8 AND g.y1 > f.r * 8 "
+        "AND g.x0 < f.c * 8 + 8 AND g.x1 > f.c * 8 GROUP BY ALL) JOIN (SELECT owner_id, idx, count(DISTINCT (y, x))::BIGINT AS covered FROM px JOIN rg USING (owner_id) WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL) USING (owner_id, idx)"
+    ),
+)
+def regions_cover(spark, d):
+    """A thousand rectangles an owner: how many touch each block, and how many of its pixels lie in any."""
+    blocks = carriers.vector_blocks(spark, d)
+    owners = blocks.filter("idx = 0 AND ch = 0").select("owner_id", "height", "width", F.explode(F.sequence(F.lit(0), F.lit(REGIONS - 1))).alias("i"))
+    seeded = owners.withColumn("seed", derive_seed(F.col("owner_id"), F.col("i")))
+    unit = lambda name: uniform(F.col("seed"), name)
+    side = lambda name, of: (F.floor(unit(name) * unit(name) * F.col(of) / 4) + 1).cast("bigint")
+    at = seeded.withColumn("y0", F.floor(unit("y") * (F.col("height") + 8)) - 4).withColumn("x0", F.floor(unit("x") * (F.col("width") + 8)) - 4)
+    regions = at.withColumn("y1", F.col("y0") + side("h", "height")).withColumn("x1", F.col("x0") + side("w", "width"))
+    return inject.regions_cover(blocks, regions).select("owner_id", "idx", "n_regions", F.bit_count("mask").cast("bigint").alias("covered"))
+
+
 @query(
     "attack_transplant",
     _nearest_sql(sealed_sql()).add(

@@ -581,8 +581,8 @@ def _fit_sql() -> Sql:
 
 
 def _fit(spark, d):
-    rows = ratefit.coefficient_rows(carriers.vector_blocks(spark, d))
-    rows = materialize(ratefit.with_mode(rows, ratefit.exact_median(rows, "energy")))
+    rows = materialize(ratefit.coefficient_rows(carriers.vector_blocks(spark, d)))   # read once a pass of the median, then twice
+    rows = ratefit.with_mode(rows, ratefit.exact_median(rows, "energy"))
     return rows, ratefit.position_stats(rows)
 
 

@@ -6,10 +6,11 @@ executor derives the same damage without a shared random stream.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import derive_seed, uniform, utf8
 from ..functions.pixels import from_bytes, let
+from ..session import broadcast_if_small
 
 BASE_SEED = "20260811"
 
@@ -425,6 +426,59 @@ def nearest_block(blocks: DataFrame) -> DataFrame:
     )
 
 
+def nearest_other(blocks: DataFrame) -> DataFrame:
+    """(owner_id, dst, src, diff) for every block: the other block of its owner whose pixel sum is closest, ties to the smaller index.
+
+    A block's nearest sum is its own, if another block has it, or one of the two beside it
+    in order.  An owner has at most 255 x pixels + 1 different sums, so the ordered pass
+    sees a bounded number of rows, and no block meets all others.  Blocks alone in their
+    owner have no row.
+    """
+    total = F.aggregate("px", F.lit(0).cast("bigint"), lambda s, v: s + v)
+    sums = blocks.filter(F.col("ch") == 0).select("owner_id", "idx", total.alias("total"))
+    equal = Window.partitionBy("owner_id", "total")
+    first = F.min("idx").over(equal)
+    twins = sums.withColumn("twin", F.when(F.col("idx") > first, first).otherwise(F.lead("idx").over(equal.orderBy("idx"))))
+    along = Window.partitionBy("owner_id").orderBy("total")
+    steps = sums.groupBy("owner_id", "total").agg(F.min("idx").alias("first"))
+    side = lambda fn: F.when(fn("total").over(along).isNotNull(), F.struct(F.abs(fn("total").over(along) - F.col("total")).alias("diff"), fn("first").over(along).alias("src")))
+    beside = steps.select("owner_id", "total", F.least(side(F.lag), side(F.lead)).alias("b"))
+    found = twins.join(beside, ["owner_id", "total"]).select(
+        "owner_id", F.col("idx").alias("dst"), F.coalesce("twin", "b.src").alias("src"), F.when(F.col("twin").isNotNull(), 0).otherwise(F.col("b.diff")).cast("bigint").alias("diff")
+    )
+    return found.filter("src IS NOT NULL")
+
+
+TILE = 8   # blocks along a side of a tile
+
+
+def regions_cover(blocks: DataFrame, regions: DataFrame, tile: int = TILE) -> DataFrame:
+    """(owner_id, idx, n_regions, mask) of every block that a region touches; any number of regions an owner.
+
+    ``regions`` is (owner_id, y0, x0, y1, x1) in pixels, ends excluded; empty ones touch
+    nothing.  Regions are dealt to the tiles (squares of blocks) they touch and meet the
+    blocks of those tiles by an equi-join, so a region is compared with blocks near it, not
+    with all of its owner.  ``mask`` has a bit for each pixel, raster order, lowest first,
+    inside any region; masks are or-ed on the map side, so a block under all regions of a
+    hot owner costs one row a task.
+    """
+    grid = blocks.filter(F.col("ch") == 0).select("owner_id", "idx", "r", "c", "block", F.floor(F.col("r") / tile).alias("_ty"), F.floor(F.col("c") / tile).alias("_tx"))
+    side = grid.groupBy("owner_id").agg(F.max("block").alias("_side"), F.max("_ty").alias("_my"), F.max("_tx").alias("_mx"))
+    span = F.col("_side") * tile
+    near = lambda a, b, top: F.sequence(F.greatest(F.floor(F.col(a) / span), F.lit(0)), F.least(F.floor((F.col(b) - 1) / span), F.col(top)))
+    whole = regions.select("owner_id", "y0", "x0", "y1", "x1").filter("y1 > y0 AND x1 > x0 AND y1 > 0 AND x1 > 0").join(broadcast_if_small(side), "owner_id")
+    whole = whole.filter((F.col("y0") < (F.col("_my") + 1) * span) & (F.col("x0") < (F.col("_mx") + 1) * span))
+    dealt = whole.withColumn("_ty", F.explode(near("y0", "y1", "_my"))).withColumn("_tx", F.explode(near("x0", "x1", "_mx")))
+    low = lambda edge, at: F.greatest(F.col(edge) - F.col(at) * F.col("block"), F.lit(0))
+    high = lambda edge, at: F.least(F.col(edge) - F.col(at) * F.col("block"), F.col("block"))
+    met = grid.join(dealt, ["owner_id", "_ty", "_tx"]).select(
+        "owner_id", "idx", "block", low("y0", "r").cast("int").alias("_a"), high("y1", "r").cast("int").alias("_b"), low("x0", "c").cast("int").alias("_l"), high("x1", "c").cast("int").alias("_h"),
+    ).filter("_b > _a AND _h > _l")
+    row = "shiftleft(shiftleft(1L, _h - _l) - 1L, _l)"
+    bits = F.expr(f"aggregate(sequence(_a, _b - 1), 0L, (m, y) -> m | shiftleft({row}, block * y))")
+    return met.withColumn("_bits", bits).groupBy("owner_id", "idx").agg(F.count(F.lit(1)).alias("n_regions"), F.bit_or("_bits").alias("mask"))
+
+
 def transplant(blocks: DataFrame, moves: DataFrame) -> DataFrame:
     """Copy whole sealed blocks inside their owner; ``moves`` is (owner_id, dst, src)."""
     taken = blocks.join(moves.select("owner_id", "dst", F.col("src").alias("idx")), ["owner_id", "idx"]).select(

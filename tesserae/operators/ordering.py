@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import hash_fraction
+from ..session import broadcast_if_small, materialize
 
 RANGE_WIDTH = 1 << 16      # distinct order keys per rank bucket
 CYCLE_BUCKET = 1_000_000   # rows of a group in one cycle bucket
 
 
 def dense_index(df: DataFrame, group: str, order: str, out: str, total: str, width: int = RANGE_WIDTH) -> DataFrame:
-    """0-based position of each row in its group by a unique integer order column, plus the group size."""
+    """0-based position of each row in its group by a unique integer order column, plus the group size.
+
+    For keys that lie fairly close: each ``width`` of them is a bucket.  Sparse keys, such as
+    hashes, make nearly as many buckets as rows; they take ``dense_index_by_range``.
+    """
     bucketed = df.withColumn("_b", F.floor(F.col(order) / width).cast("bigint"))
     counts = bucketed.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     by_group = Window.partitionBy(group)
@@ -34,6 +39,25 @@ def dense_index(df: DataFrame, group: str, order: str, out: str, total: str, wid
     )
 
 
+def dense_index_by_range(df: DataFrame, group: str, order: str, out: str, total: str, ranges: int) -> DataFrame:
+    """``dense_index`` for keys of any kind and spread: 64-bit hashes, texts, times.
+
+    Rows are dealt to ``ranges`` stretches of (group, key) whose bounds Spark samples, so a
+    group of any size spreads over as many stretches as its share asks for, however its keys
+    lie.  Only the stretches' counts (at most groups + ranges rows) meet per group.  Repeated
+    keys get neighbouring positions in no fixed order; null keys come first.
+    """
+    placed = materialize(df.repartitionByRange(ranges, group, order).withColumn("_b", F.spark_partition_id()))
+    counts = placed.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(group, "_g")
+    by_group = Window.partitionBy("_g")
+    before = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_g", F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(by_group).alias(total))
+    inside = Window.partitionBy(group, "_b").orderBy(order)
+    numbered = placed.withColumn("_i", F.row_number().over(inside) - 1)
+    joined = numbered.join(broadcast_if_small(offsets), F.col("_g").eqNullSafe(F.col(group)) & (F.col("_b") == F.col("_c")))
+    return joined.withColumn(out, (F.col("_off") + F.col("_i")).cast("bigint")).select(*df.columns, total, out)
+
+
 def cycle_neighbours(
     df: DataFrame,
     group: list[str],

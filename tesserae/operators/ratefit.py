@@ -15,7 +15,7 @@ LOADS = tuple(1.2 + 4.8 * i / 48 for i in range(49))
 BUDGET_BITS = 95
 DC_FLOOR = 7
 
-ENERGY_BUCKET = 16      # a block's energy is at most 64*128^2, so there are at most 65,536 buckets
+DIGITS = 4096   # parts of each histogram of a selection by rank
 
 
 def coefficient_rows(blocks: DataFrame) -> DataFrame:
@@ -25,29 +25,55 @@ def coefficient_rows(blocks: DataFrame) -> DataFrame:
     return df.withColumn("energy", F.round(energy, 6))
 
 
-def exact_median(df: DataFrame, col: str, bucket: int = ENERGY_BUCKET) -> float:
-    """Median by counting: a histogram finds the bucket of the middle ranks, a second pass the value.
+def _finite(df: DataFrame, col: str) -> DataFrame:
+    value = F.col(col).cast("double")
+    return df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
 
-    Only bucket counts (a bounded number) meet in one task, never the values themselves.
+
+def _ends(rows: DataFrame):
+    return rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")).first()
+
+
+def _select(rows: DataFrame, ends, rank: int) -> float:
+    low, high = ends.low, ends.high
+    while low < high:
+        part = F.least(F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * DIGITS), F.lit(DIGITS - 1))
+        counted = rows.filter(F.col("v").between(low, high)).groupBy(part.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for r in sorted(counted.collect(), key=lambda r: r.d):   # at most DIGITS rows
+            if rank < r.n:
+                low, high = r.low, r.high
+                break
+            rank -= r.n
+    return low
+
+
+def exact_rank(df: DataFrame, col: str, rank: int) -> float:
+    """The value of a 0-based rank among the finite values of a column, by repeated histograms.
+
+    Each pass counts the values left in DIGITS equal parts of their range, with the least and
+    greatest value of each part, and goes on inside the part that holds the rank, until it
+    holds one value.  What reaches the driver is one row a part; the range shrinks at least
+    by their number, so a handful of passes narrows doubles to one.  The column is read once
+    a pass, so costly expressions are best written out first.
     """
-    counts = df.groupBy(F.floor(F.col(col) / bucket).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("end", F.sum("n").over(order)).withColumn(
-        "total", F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ).withColumn("start", F.col("end") - F.col("n"))
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    holds = ((low >= F.col("start")) & (low < F.col("end"))) | ((high >= F.col("start")) & (high < F.col("end")))
-    hits = placed.filter(holds).select("b", "start", low.alias("low"), high.alias("high")).orderBy("b").collect()
-    buckets = [r["b"] for r in hits]
-    values = df.filter(F.floor(F.col(col) / bucket).isin(buckets)).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = values.withColumn("end", F.sum("n").over(run) + (hits[0]["start"])).withColumn("start", F.col("end") - F.col("n"))
-    # two buckets at most, with no rows between them, so ranks run on without a gap
-    low, high = hits[0]["low"], hits[0]["high"]
-    picked = ranked.filter(
-        ((F.lit(low) >= F.col("start")) & (F.lit(low) < F.col("end"))) | ((F.lit(high) >= F.col("start")) & (F.lit(high) < F.col("end")))
-    ).agg(F.min(col).alias("a"), F.max(col).alias("b")).first()
-    return (picked["a"] + picked["b"]) / 2
+    rows = _finite(df, col)
+    ends = _ends(rows)
+    if not 0 <= rank < ends.n:
+        raise ValueError(f"rank {rank} of {ends.n} values")
+    return _select(rows, ends, rank)
+
+
+def exact_median(df: DataFrame, col: str) -> float:
+    """Median of the finite values, exactly: the middle one, or the mean of the two in the middle; NaN without values."""
+    rows = _finite(df, col)
+    ends = _ends(rows)
+    if not ends.n:
+        return float("nan")
+    low = _select(rows, ends, (ends.n - 1) // 2)
+    if ends.n % 2:
+        return low
+    beside = rows.agg(F.count_if(F.col("v") <= low).alias("upto"), F.min(F.when(F.col("v") > low, F.col("v"))).alias("above")).first()
+    return (low + (low if beside.upto > ends.n // 2 else beside.above)) / 2
 
 
 def with_mode(rows: DataFrame, median: float) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from tesserae.functions.hashing import utf8
 from tesserae.operators import records as rec
-from tesserae.operators.ordering import cycle_neighbours, dense_index, digest_bucket, hot_groups
+from tesserae.operators.ordering import cycle_neighbours, dense_index, dense_index_by_range, digest_bucket, hot_groups
 from tesserae.session import materialize
 
 
@@ -28,6 +28,18 @@ def test_dense_index_equals_row_number(spark):
     assert both.count() == df.count() and both.filter("pos <> p OR total <> t").count() == 0
 
 
+def test_sparse_keys_spread_over_ranges(spark):
+    """64-bit hashes as keys, a third of them in one group, and a group without a name."""
+    df = skewed(spark).withColumn("n", F.xxhash64("rec_key")).withColumn("owner_id", F.when(F.col("owner_id") != "o5", F.col("owner_id")))
+    w = Window.partitionBy("owner_id")
+    want = df.withColumn("p", F.row_number().over(w.orderBy("n")) - 1).withColumn("t", F.count(F.lit(1)).over(w))
+    for ranges in (1, 16):
+        got = dense_index_by_range(df, "owner_id", "n", "pos", "total", ranges)
+        both = got.select("n", "pos", "total").join(want.select("n", "p", "t"), "n")
+        assert both.count() == df.count() and both.filter("pos <> p OR total <> t").count() == 0
+    assert materialize(df.repartitionByRange(16, "owner_id", "n").withColumn("b", F.spark_partition_id())).filter("owner_id = 'hot'").select("b").distinct().count() > 3
+
+
 def test_bucketed_cycle_equals_plain(spark):
     df = materialize(skewed(spark).withColumn("d", F.sha2(F.col("rec_key"), 256)))
     plain = cycle_neighbours(df, ["owner_id"], "d", "rec_key", ["rec_key"])

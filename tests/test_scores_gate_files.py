@@ -210,6 +210,51 @@ def test_exact_median(spark):
         assert exact_median(df, "v") == pytest.approx(want)
 
 
+def test_exact_ranks_of_hard_values(spark):
+    """Wide ranges, one value many times, neighbours in the last bit; nulls, NaN and infinities take no part."""
+    from tesserae.operators.ratefit import exact_median, exact_rank
+
+    nan, inf = float("nan"), float("inf")
+    values = [1e-300, 1.0, math.nextafter(1.0, 2.0), 1e300, -1e300, -5.0, 0.0, -0.0, 1e308, -1.5e308, *[2.5] * 40, 7.0, math.nextafter(7.0, 8.0)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, nan, inf, -inf]], "v double").repartition(4)
+    for rank, want in enumerate(sorted(values)):
+        if rank % 9 in (0, 1, 4):
+            assert exact_rank(df, "v", rank) == want
+    assert exact_median(df, "v") == 2.5 and math.isnan(exact_median(df.limit(0), "v"))
+    with pytest.raises(ValueError):
+        exact_rank(df, "v", len(values))
+
+
+def test_nearest_other_and_regions_by_brute_force(spark):
+    import random
+
+    from tesserae.operators import inject
+
+    rnd = random.Random(4)
+    px = [[rnd.randrange(4)] * 64 for _ in range(99)]
+    b = make_blocks(spark, 11, 9, lambda ch, i: px[i], channels=2)
+    got = {r.dst: (r.diff, r.src) for r in inject.nearest_other(b).collect()}
+    assert got == {i: min((abs(sum(px[i]) - sum(px[j])), j) for j in range(99) if j != i) for i in range(99)}
+    assert inject.nearest_other(make_blocks(spark, 1, 1, lambda ch, i: [0] * 64)).count() == 0
+
+    rows = [("img", rnd.randrange(-20, 90), rnd.randrange(-20, 80)) for _ in range(60)]
+    regions = [(o, y, x, y + rnd.randrange(0, 40), x + rnd.randrange(0, 40)) for o, y, x in rows] + [("img", 0, 0, 88, 72), ("img", 5, 5, 5, 9), ("other", 0, 0, 9, 9), ("img", -9, -9, 0, 0)]
+    for chosen in (regions[:20], regions):
+        df = spark.createDataFrame([(r[0] + "|88x72|8", *r[1:]) for r in chosen], "owner_id string, y0 bigint, x0 bigint, y1 bigint, x1 bigint")
+        want = {}
+        for _, y0, x0, y1, x1 in [r for r in chosen if r[0] == "img"]:
+            touched = {}
+            for y in range(max(y0, 0), min(y1, 88)):
+                for x in range(max(x0, 0), min(x1, 72)):
+                    touched.setdefault(y // 8 * 9 + x // 8, set()).add(y % 8 * 8 + x % 8)
+            for i, bits in touched.items():
+                n, mask = want.get(i, (0, set()))
+                want[i] = (n + 1, mask | bits)
+        for tile in (1, 3, 8):
+            found = {r.idx: (r.n_regions, {p for p in range(64) if r.mask >> p & 1}) for r in inject.regions_cover(b, df, tile).collect()}
+            assert found == want
+
+
 def test_allocation_spends_the_budget(spark, blocks):
     from tesserae.operators import ratefit
 
