@@ -16,7 +16,9 @@ import numpy as np
 _STEP = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Characters handled at once by the operators that work on batches of texts.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
+#: Longest series of powers a worker keeps.
+KEPT_POWERS = 1 << 22
 
 
 @cache
@@ -68,14 +70,23 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-@cache
+_held: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``size`` powers of the step and of its inverse; one pair serves all sizes, very long ones are not kept."""
+    if size <= len(_held[0]):
+        return _held[0], _held[1]
+
     def series(factor: int) -> np.ndarray:
         steps = np.full(size, factor, dtype=np.uint64)
         steps[0] = 1
         return np.cumprod(steps, dtype=np.uint64)
 
-    return series(_STEP), series(pow(_STEP, -1, 1 << 64))
+    pair = series(_STEP), series(pow(_STEP, -1, 1 << 64))
+    if size <= KEPT_POWERS:
+        _held[:] = pair
+    return pair
 
 
 def prefix_sums(codes: np.ndarray) -> np.ndarray:

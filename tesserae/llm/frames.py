@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tesserae import session
 from tesserae.session import checkpoint_dir, materialize
 
-__all__ = ["checkpoint_dir", "cut", "fold_of", "free_name", "materialize", "pieces", "prepare", "scratch"]
+__all__ = ["checkpoint_dir", "cut", "fold_of", "free_name", "materialize", "pieces", "prepare", "release", "scratch"]
 
 #: Rows handed to Python at once: texts may be very long, and workers share an executor's memory with it.
 BATCH_ROWS = 1000
@@ -41,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def release() -> None:
+    """Give freed memory back to the machine; Python workers live on through all stages of a job and keep it otherwise."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # another C library: nothing to give back
+        pass
+
+
 def pieces(sizes, limit: int):
     """Slices over consecutive items whose sizes sum to about ``limit``: bounded work on any batch."""
     start = total = 0

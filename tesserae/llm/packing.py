@@ -15,14 +15,14 @@ from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tesserae.llm.frames import pieces
+from tesserae.llm.frames import pieces, release
+from tesserae.llm.tokens import layout, split, terms
 
 LENGTH = 2048
 END_ID = 1
@@ -32,11 +32,9 @@ SENTENCE, INSIDE, HARD_STEP = 6.0, 40.0, 96
 SEQUENCE = 16.0
 #: Tokens gathered before windows are chosen; the last TAIL windows wait for the tokens that follow.
 BUFFER, TAIL = 1 << 18, 4
-#: Distinct words whose ids a worker remembers.
+#: Distinct runs whose ids a worker remembers.
 REMEMBERED = 500_000
 BATCH_CHARS = 1_000_000
-#: Marks that may stand behind the letters of a word; the vocabulary never joins them with letters.
-MARKS = ".,!?;:*$&#%|"
 STOPS = (".", "!", "?", "…", "。", "！", "？")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -48,13 +46,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+#: Kinds of bytes: white space that parts words, letters (all bytes outside ASCII at first), marks, and the rest, whose words are read whole.
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[[32, 10]] = _SPACE
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KIND[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = _MARK
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+#: Last bytes of the sentence ends outside ASCII, all of three bytes.
+_LONG_STOPS = [tuple(c.encode("utf-8")) for c in STOPS if not c.isascii()]
+
+
 class Encoder:
-    """Ids of whole texts; words between spaces and line breaks are encoded once and remembered.
+    """Ids of whole texts; runs of letters and of marks are encoded once and remembered.
 
-    The vocabulary drops white space and never joins over it, so a text's ids are those of
-    its words one after another.  A word of Latin letters with marks behind it is looked up
-    as its lower-case letters, given to the vocabulary's model directly, and its marks;
-    every other word goes through the whole tokenizer.
+    The vocabulary drops white space and never joins over it, nor letters with marks, so a
+    text's ids are those of its runs one after another.  Lower-case Latin letters are given
+    to the vocabulary's model directly; words with digits, apostrophes, controls or any
+    other letter go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -63,73 +72,108 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
+        self.direct = True
         self.forget()
         trial = ["The", "words", "Ünï", "straße", "niño", "façade", "aiaiai", "THING"]
         self.direct = all(self.of_letters(w.lower()) == self.whole([w])[0] for w in trial) and self.whole(["The.,"])[0] == self.whole(["the"])[0] + self.whole([".,"])[0]
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.known: dict[str, bytes] = {}      # ids of lower-case letters and of marks, four bytes each
-        self.flat, self.offsets, self.stops = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], [np.zeros(0, bool)]
+        """Drop what is remembered; row 0 stays for runs without ids."""
+        self.place: dict[bytes, int] = {}      # row of each run; of words read whole under a leading zero byte
+        self.flat, self.offsets = [np.zeros(0, np.uint32)], [np.zeros(2, np.int64)]
+        self.rows = 1
 
     def whole(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def of_letters(self, core: str) -> bytes:
-        found = self.known.get(core)
-        if found is None:
-            written = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = self.known[core] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
-        return found
-
-    def learn(self, fresh: list[str]) -> None:
-        """Remember the ids of new words."""
-        ids = [b""] * len(fresh)
-        slow = []
-        known = self.known
-        for k, word in enumerate(fresh):
-            core = word.rstrip(MARKS)
-            if self.direct and core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
-                low = core.lower()
-                own = known.get(low)
-                if own is None:
-                    own = self.of_letters(low)
-                if len(core) < len(word):
-                    marks = word[len(core):]
-                    if marks not in known:
-                        known[marks] = self.whole([marks])[0]
-                    own = own + known[marks]
-                ids[k] = own
-            else:
-                slow.append(k)
-        for start in range(0, len(slow), 4096):
-            part = slow[start:start + 4096]
-            for k, own in zip(part, self.whole([fresh[k] for k in part])):
-                ids[k] = own
-        at = len(self.place)
-        self.place.update(zip(fresh, range(at, at + len(fresh))))
+        written = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+
+    def _add(self, keys: list[bytes], ids: list[bytes]) -> None:
+        self.place.update(zip(keys, range(self.rows, self.rows + len(keys))))
+        self.rows += len(keys)
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         self.offsets.append(self.offsets[-1][-1] + np.cumsum(sizes))
         self.flat.append(np.frombuffer(b"".join(ids), dtype=np.uint32))
-        self.stops.append(np.fromiter((w == "\n" or w.endswith(STOPS) for w in fresh), dtype=bool, count=len(fresh)))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _learn_runs(self, fresh: list[bytes]) -> None:
+        """Remember new runs; those that are neither Latin letters nor marks get row -1: their words are read whole."""
+        keys, ids, marks = [], [], []
+        for run in fresh:
+            if run.isalpha():   # ASCII letters, lower-case already
+                keys.append(run)
+                ids.append(self.of_letters(run.decode("ascii")))
+            elif run[0] < 128 and _KIND[run[0]] == _MARK:
+                marks.append(run)
+            else:
+                core = run.decode("utf-8") if run[0] >= 128 or _KIND[run[0]] == _LETTER else ""
+                if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                    keys.append(run)
+                    ids.append(self.of_letters(core.lower()))
+                else:
+                    self.place[run] = -1
+        self._add(keys + marks, ids + self.whole([m.decode("ascii") for m in marks]))
+
+    def _learn_words(self, fresh: list[bytes]) -> None:
+        for start in range(0, len(fresh), 4096):
+            part = fresh[start:start + 4096]
+            self._add(part, self.whole([w[1:].decode("utf-8") for w in part]))
+
+    def _rows_of(self, keys: list[bytes], learn) -> np.ndarray:
+        rows = list(map(self.place.get, keys))
+        fresh = [k for k, row in zip(keys, rows) if row is None]
+        if fresh:
+            learn(fresh)
+            rows = [self.place[k] if row is None else row for k, row in zip(keys, rows)]
+        return np.array(rows, dtype=np.int64)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the token count of each, and the positions just after which a sentence ends."""
-        words = [text.replace("\n", " \n ").split(" ") for text in texts]
-        if len(self.place) > REMEMBERED:
+        if self.rows > REMEMBERED:
             self.forget()
-        fresh = set(chain.from_iterable(words)).difference(self.place)
-        if fresh:
-            self.learn(list(fresh))
-            self.flat, self.offsets, self.stops = ([np.concatenate(x)] for x in (self.flat, self.offsets, self.stops))
-        flat, offsets, stops = self.flat[0], self.offsets[0], self.stops[0]
-        counts = [len(own) for own in words]
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sum(counts))
+        data, base = layout(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        kind = _KIND[data]
+        inside = kind != _SPACE
+        starts, ends, first = split(data, base, inside)
+        closed = np.zeros(len(starts), dtype=bool)   # words read whole
+        closed[np.searchsorted(starts, np.flatnonzero(kind == _OTHER), side="right") - 1] = True
+        # runs: whole words of the closed kind, else stretches of letters or of marks
+        turn = np.zeros(len(data), dtype=bool)
+        if len(data):
+            np.not_equal(kind[1:], kind[:-1], out=turn[1:])
+            turn &= inside
+        shut = ends[closed] - starts[closed]
+        turn[np.repeat(starts[closed] - np.concatenate([[0], np.cumsum(shut)[:-1]]).astype(np.int64), shut) + np.arange(shut.sum())] = False
+        turn[starts] = True
+        begin = np.flatnonzero(turn)
+        fresh_word = np.zeros(len(data), dtype=bool)
+        fresh_word[starts] = True
+        word = np.cumsum(fresh_word[begin]) - 1
+        stop = np.append(begin[1:], 0)
+        last = np.append(word[1:] != word[:-1], True) if len(word) else np.zeros(0, bool)
+        stop[last] = ends[word[last]]
+        coded = terms(_LOWER[data], inside, begin, stop).dictionary_encode()
+        at = self._rows_of(coded.dictionary.to_pylist(), self._learn_runs)[coded.indices.to_numpy()] if len(begin) else np.zeros(0, np.int64)
+        if (at < 0).any() or not self.direct:   # the word of such a run is read whole: once, at its first run
+            wide = np.unique(word[at < 0]) if self.direct else np.arange(len(starts))
+            raw = data.tobytes()
+            found = self._rows_of([b"\0" + raw[a:b] for a, b in zip(starts[wide].tolist(), ends[wide].tolist())], lambda keys: self._learn_words(list(dict.fromkeys(keys))))
+            at[np.isin(word, wide)] = 0
+            at[np.searchsorted(word, wide)] = found
+        self.flat, self.offsets = [np.concatenate(self.flat)], [np.concatenate(self.offsets)]
+        flat, offsets = self.flat[0], self.offsets[0]
         size = offsets[at + 1] - offsets[at]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(offsets[at] - ends[:-1], size) + np.arange(ends[-1])]
-        first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        return ids, np.diff(ends[first]), np.unique(ends[1:][stops[at]])
+        after = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(offsets[at] - after[:-1], size) + np.arange(after[-1])]
+        runs = np.append(np.flatnonzero(fresh_word[begin]), len(word))   # first run of each word
+        tail = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
+        closing = np.isin(tail, [ord(c) for c in STOPS if c.isascii()])
+        for a, b, c in _LONG_STOPS:
+            closing |= (tail == c) & (ends - starts >= 3) & (data[np.maximum(ends - 2, 0)] == b) & (data[np.maximum(ends - 3, 0)] == a)
+        breaks = np.searchsorted(starts, np.flatnonzero(data == 10))   # words before each line break
+        counts = after[runs]
+        return ids, np.diff(counts[first]), np.unique(np.concatenate([counts[1:][closing], counts[breaks]]))
 
 
 @cache
@@ -265,5 +309,6 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
                     if stream.size >= BUFFER:
                         yield from cut(False)
         yield from cut(True)
+        release()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
