@@ -51,7 +51,8 @@ _SPACE, _LETTER, _MARK, _OTHER = range(4)
 _KIND = np.full(256, _OTHER, dtype=np.uint8)
 _KIND[[32, 10]] = _SPACE
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
-_KIND[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = _MARK
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_KIND[list(_MARKS)] = _MARK
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 #: Last bytes of the sentence ends outside ASCII, all of three bytes.
 _LONG_STOPS = [tuple(c.encode("utf-8")) for c in STOPS if not c.isascii()]
@@ -62,8 +63,8 @@ class Encoder:
 
     The vocabulary drops white space and never joins over it, nor letters with marks, so a
     text's ids are those of its runs one after another.  Lower-case Latin letters are given
-    to the vocabulary's model directly; words with digits, apostrophes, controls or any
-    other letter go through the whole tokenizer.
+    to the vocabulary's model directly; words with digits, apostrophes, controls, any
+    other letter or the first byte of a special token go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -72,6 +73,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
+        self.kind = _KIND.copy()
+        self.kind[[t.content.encode("utf-8")[0] for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]] = _OTHER
         self.direct = True
         self.forget()
         trial = ["The", "words", "Ünï", "straße", "niño", "façade", "aiaiai", "THING"]
@@ -79,7 +82,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Drop what is remembered; row 0 stays for runs without ids."""
-        self.place: dict[bytes, int] = {}      # row of each run; of words read whole under a leading zero byte
+        self.place: dict[bytes, int] = {}      # row of each run
+        self.words: dict[bytes, int] = {}      # row of each word that is read whole
         self.flat, self.offsets = [np.zeros(0, np.uint32)], [np.zeros(2, np.int64)]
         self.rows = 1
 
@@ -90,8 +94,10 @@ class Encoder:
         written = core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
 
-    def _add(self, keys: list[bytes], ids: list[bytes]) -> None:
-        self.place.update(zip(keys, range(self.rows, self.rows + len(keys))))
+    def _add(self, place: dict[bytes, int], keys: list[bytes], ids: list[bytes]) -> None:
+        if not keys:
+            return
+        place.update(zip(keys, range(self.rows, self.rows + len(keys))))
         self.rows += len(keys)
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         self.offsets.append(self.offsets[-1][-1] + np.cumsum(sizes))
@@ -104,28 +110,29 @@ class Encoder:
             if run.isalpha():   # ASCII letters, lower-case already
                 keys.append(run)
                 ids.append(self.of_letters(run.decode("ascii")))
-            elif run[0] < 128 and _KIND[run[0]] == _MARK:
+            elif not run.translate(None, _MARKS) and all(self.kind[b] == _MARK for b in run):
                 marks.append(run)
             else:
-                core = run.decode("utf-8") if run[0] >= 128 or _KIND[run[0]] == _LETTER else ""
+                core = run.decode("utf-8")
                 if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
                     keys.append(run)
                     ids.append(self.of_letters(core.lower()))
                 else:
                     self.place[run] = -1
-        self._add(keys + marks, ids + self.whole([m.decode("ascii") for m in marks]))
+        self._add(self.place, keys + marks, ids + (self.whole([m.decode("ascii") for m in marks]) if marks else []))
 
     def _learn_words(self, fresh: list[bytes]) -> None:
         for start in range(0, len(fresh), 4096):
             part = fresh[start:start + 4096]
-            self._add(part, self.whole([w[1:].decode("utf-8") for w in part]))
+            self._add(self.words, part, self.whole([w.decode("utf-8") for w in part]))
 
-    def _rows_of(self, keys: list[bytes], learn) -> np.ndarray:
-        rows = list(map(self.place.get, keys))
+    @staticmethod
+    def _rows_of(place: dict[bytes, int], keys: list[bytes], learn) -> np.ndarray:
+        rows = list(map(place.get, keys))
         fresh = [k for k, row in zip(keys, rows) if row is None]
         if fresh:
-            learn(fresh)
-            rows = [self.place[k] if row is None else row for k, row in zip(keys, rows)]
+            learn(list(dict.fromkeys(fresh)))
+            rows = [place[k] if row is None else row for k, row in zip(keys, rows)]
         return np.array(rows, dtype=np.int64)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +140,7 @@ class Encoder:
         if self.rows > REMEMBERED:
             self.forget()
         data, base = layout(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
-        kind = _KIND[data]
+        kind = self.kind[data]
         inside = kind != _SPACE
         starts, ends, first = split(data, base, inside)
         closed = np.zeros(len(starts), dtype=bool)   # words read whole
@@ -154,11 +161,11 @@ class Encoder:
         last = np.append(word[1:] != word[:-1], True) if len(word) else np.zeros(0, bool)
         stop[last] = ends[word[last]]
         coded = terms(_LOWER[data], inside, begin, stop).dictionary_encode()
-        at = self._rows_of(coded.dictionary.to_pylist(), self._learn_runs)[coded.indices.to_numpy()] if len(begin) else np.zeros(0, np.int64)
+        at = self._rows_of(self.place, coded.dictionary.to_pylist(), self._learn_runs)[coded.indices.to_numpy()] if len(begin) else np.zeros(0, np.int64)
         if (at < 0).any() or not self.direct:   # the word of such a run is read whole: once, at its first run
             wide = np.unique(word[at < 0]) if self.direct else np.arange(len(starts))
             raw = data.tobytes()
-            found = self._rows_of([b"\0" + raw[a:b] for a, b in zip(starts[wide].tolist(), ends[wide].tolist())], lambda keys: self._learn_words(list(dict.fromkeys(keys))))
+            found = self._rows_of(self.words, [raw[a:b] for a, b in zip(starts[wide].tolist(), ends[wide].tolist())], self._learn_words)
             at[np.isin(word, wide)] = 0
             at[np.searchsorted(word, wide)] = found
         self.flat, self.offsets = [np.concatenate(self.flat)], [np.concatenate(self.offsets)]

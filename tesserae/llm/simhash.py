@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from xxhash import xxh64_intdigest
 
 from tesserae.llm.components import components
-from tesserae.llm.frames import cut, free_name
+from tesserae.llm.frames import cut, free_name, release
 
 SEED = 42
 #: Buckets up to this size are joined in the JVM; larger ones go to cells of about CELL fingerprints.
@@ -84,6 +84,7 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str, width: int | None
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
+        release()
 
     return df.withColumn(name, of(F.col(text_col)))
 
@@ -186,6 +187,7 @@ def _shingle_sets(df: DataFrame) -> DataFrame:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in texts])
+        release()
 
     return df.select("tid", of("text").alias("words"))
 
@@ -221,6 +223,7 @@ def _with_keys(df: DataFrame, counts: np.ndarray) -> DataFrame:
         for texts in batches:
             sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in texts]
             yield pd.DataFrame({"size": np.array([len(s) for s in sets], dtype=np.int32), "keys": [rare_first(s, counts) for s in sets]})
+        release()
 
     return df.select("tid", "id", of("text").alias("of")).select("tid", "id", "of.size", "of.keys")
 
@@ -246,7 +249,7 @@ def _similar_texts(rest: DataFrame, sets: DataFrame) -> DataFrame:
     Each round compares everyone under a key with a few heads.  Heads have then met all and
     leave.  Jaccard distance obeys the triangle inequality, so a text at distance d from a
     head is similar to none that are farther than d + 0.2 from it; who is similar to a head and
-    farther than that from all who are not leaves too, being linked.  The others go on.
+    farther than that from all whom this head does not link leaves too.  The others go on.
     """
     edges, heads, turn = [], 1, 0
     reach = 1 - SIMILARITY + 1e-9
@@ -271,7 +274,8 @@ def _similar_texts(rest: DataFrame, sets: DataFrame) -> DataFrame:
         at = follow.filter("NOT heads").join(both, ["tid", "head"], "left").withColumn("d", F.coalesce("d", least))   # not compared: at least so far
         best = cut(at.groupBy("token", "tid").agg(F.min(F.struct("d", "head")).alias("best"), F.first("id").alias("id"), F.first("size").alias("size"), F.collect_set(F.struct("head", "d")).alias("all")))
         apart = best.filter(F.col("best.d") > reach)
-        floors = apart.select("token", F.explode("all").alias("of")).groupBy("token", F.col("of.head").alias("head")).agg(F.min("of.d").alias("floor"))
+        # the nearest text that a head does not link, whether another head does or none
+        floors = best.select("token", F.explode("all").alias("of")).filter(F.col("of.d") > reach).groupBy("token", F.col("of.head").alias("head")).agg(F.min("of.d").alias("floor"))
         near = best.filter(F.col("best.d") <= reach).withColumn("head", F.col("best.head")).join(floors, ["token", "head"]).filter(F.col("best.d") + reach >= F.col("floor"))
         rest = cut(apart.select("token", "tid", "id", "size").unionByName(near.select("token", "tid", "id", "size")))
         heads, turn = heads * 4, turn + 1

@@ -48,6 +48,40 @@ def test_one_document_of_each_group_stays(spark, monkeypatch):
         assert len(kept - firsts) <= 2   # fingerprints of near copies may lie too far apart
 
 
+def test_chains_between_heads_stay_whole(spark, monkeypatch):
+    """Texts of one template in chains of small edits, and far relatives: components equal those of all pairs, with few texts compared at once."""
+    monkeypatch.setattr(simhash, "SMALL_COMPONENT", 2)
+    rnd = random.Random(31)
+    base = prose(rnd, 120)
+    texts = []
+    for _ in range(14):                          # chains whose ends are no near copies, all sharing rare shingles of the template
+        words = list(base)
+        for at in rnd.sample(range(120), rnd.randrange(1, 6)):
+            words[at] = f"v{rnd.randrange(10 ** 6)}"
+        for _ in range(rnd.randrange(1, 5)):
+            texts.append(" ".join(words))
+            for at in rnd.sample(range(120), rnd.randrange(1, 4)):
+                words[at] = f"v{rnd.randrange(10 ** 6)}"
+    texts += [" ".join(prose(rnd, 60)) for _ in range(5)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [shingles(t) for t in texts]
+    links = 0
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links += 1
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert links > 15 and len({find(i) for i in range(len(texts))}) > 8
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == sorted({find(i) for i in range(len(texts))})
+
+
 def test_nothing_near_is_dropped_for_less(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

@@ -78,3 +78,27 @@ def test_odd_rows(spark):
     assert packing.pack(df.limit(0), VOCABULARY).count() == 0
     twice = packing.pack(df.filter("doc_id = 3").unionByName(df.filter("doc_id = 3")), VOCABULARY)
     assert twice.count() == 2
+
+
+def test_ids_equal_the_tokenizers():
+    """Random texts of letters, marks, digits, odd white space, combining marks and special tokens, twice: learned and remembered."""
+    tokenizer, encoder = Tokenizer.from_file(VOCABULARY), packing.Encoder(VOCABULARY)
+    letters = "abZÉßıİſK'sdtx 012\n\t .,!?…。“”—\u0301\u0308漢字\u00a0\u3000\U0001F600\0\x7f#*$&_-ñüÅﬁ"
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 30))) for _ in range(3000)]
+    texts += ["they're it's don't I'M WE'LL 'S", "é" * 500, "x<|endoftext|>y", "<|endoftext|>", "<|", "\0abc abc \0abc", "", "\n\n", " . "]
+    for _ in range(2):
+        for k in range(0, len(texts), 500):
+            ids, sizes, stops = encoder.encode(texts[k:k + 500])
+            at, ends = 0, set()
+            for text, n in zip(texts[k:k + 500], sizes.tolist()):
+                assert ids[at:at + n].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+                seen = 0
+                for word in text.replace("\n", " \n ").split(" "):
+                    seen += len(tokenizer.encode(word, add_special_tokens=False).ids)
+                    if word == "\n" or word.endswith(packing.STOPS):
+                        ends.add(at + seen)
+                at += n
+            assert set(stops.tolist()) == ends
+    encoder.rows = packing.REMEMBERED + 1
+    assert encoder.encode(["all forgotten."])[0].tolist() == tokenizer.encode("all forgotten.", add_special_tokens=False).ids
