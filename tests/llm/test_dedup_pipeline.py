@@ -82,6 +82,21 @@ def test_chains_between_heads_stay_whole(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_texts_near_to_different_heads_are_compared(spark, monkeypatch):
+    """A chain h1 - x - y - h2 whose ends are both heads of one round: the middle link is found."""
+    monkeypatch.setattr(simhash, "SMALL_COMPONENT", 2)
+    drawn = spark.range(1, 400).select("id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(11)).alias("draw")).collect()   # 11 texts are left for the second round
+    heads, others = [r.id for r in drawn if r.draw < 3], [r.id for r in drawn if r.draw >= 3]
+    (h1, h2), (x, y, *rest) = heads[:2], others[:10]
+    words = {h1: range(0, 100), x: range(10, 110), y: range(20, 120), h2: range(30, 130)}
+    words |= {t: range(1000 * k, 1000 * k + 100) for k, t in enumerate(rest[:8], 1)}
+    order = [rest[0], rest[1], x, y, h1, h2, *rest[2:8]]     # the first two lead the first and the second round
+    rows = spark.createDataFrame([("k", t, order.index(t), 100) for t in order], "token string, tid long, id long, size int")
+    sets = spark.createDataFrame([(t, [int(w) for w in own]) for t, own in words.items()], "tid long, words array<long>")
+    links = {(r.u, r.v) for r in simhash._similar_texts(rows, sets).collect()}
+    assert {tuple(sorted(p)) for p in links} == {tuple(sorted(p)) for p in ((h1, x), (x, y), (y, h2))}
+
+
 def test_nothing_near_is_dropped_for_less(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
