@@ -4,8 +4,9 @@ Vectors are centred on the mean of a sample, scaled to length one, padded to ``b
 dimensions and rotated at random; a code keeps the signs.  The code's direction and a
 vector's differ by a known factor, stored beside it, which makes the inner product of code
 and query an unbiased estimate of the vector's own, with an error bound that falls with the
-number of bits.  In each block of codes, a query keeps the vectors whose upper bound reaches
-the k-th largest lower bound and scores those alone on the original vectors.
+number of bits.  In each block of codes, a query keeps the vectors whose upper bound
+reaches the k-th largest lower bound and the k-th score it has, and scores those alone on
+the original vectors.
 
 Queries meet all vectors in blocks of fixed size.  Equal vectors take part once, with their
 smallest identifiers, so that copies never meet as pairs.
@@ -28,6 +29,8 @@ BITS, SEED = 256, 20
 WIDTH = 3.5
 #: Rows of a block of codes, and of a block of queries.
 CODES_BLOCK, QUERY_BLOCK = 8192, 512
+#: Tasks that share the blocks of codes a query block meets; each hands on one merged row a query and place.
+WAYS = 2
 #: Rows of the sample whose mean centres the codes; any centre gives right results, a good one gives tight bounds.
 SAMPLE = 4096
 BLOCK = "block long, ids binary, vectors binary, codes binary, factors binary"
@@ -64,6 +67,35 @@ def bounds(queries: np.ndarray, codes: np.ndarray, factors: np.ndarray, centre:
     return estimate, half
 
 
+class _Best:
+    """The nearest vectors met so far by each query of a block."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, keep: int):
+        self.ids, self.queries, self.keep = ids, queries, keep
+        self.scores = np.full((len(ids), keep), -np.inf)
+        self.found = np.full((len(ids), keep), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, factors: np.ndarray, centre: np.ndarray, bits: int) -> None:
+        """Score exactly what may still be among the nearest: whose upper bound reaches the least kept, here or before."""
+        count = min(self.keep, len(ids))
+        for start in range(0, len(self.ids), 64):
+            part = slice(start, start + 64)
+            estimate, half = bounds(self.queries[part], codes, factors, centre, bits)
+            least = np.partition(estimate - half, len(ids) - count, axis=1)[:, len(ids) - count] if count == self.keep else np.full(len(estimate), -np.inf)
+            chosen = estimate + half >= np.maximum(least, self.scores[part, -1])[:, None]
+            for q in np.flatnonzero(chosen.any(axis=1)):
+                near = np.flatnonzero(chosen[q])
+                score = np.concatenate([self.scores[start + q], vectors[near] @ self.queries[start + q]])
+                known = np.concatenate([self.found[start + q], ids[near]])
+                order = np.lexsort((known, -score))[:self.keep]
+                self.scores[start + q], self.found[start + q] = score[order], known[order]
+
+    def rows(self) -> pa.RecordBatch:
+        held = self.found != np.iinfo(np.int64).max
+        query = np.repeat(self.ids, held.sum(axis=1))
+        return pa.record_batch([pa.array(query), pa.array(self.found[held]), pa.array(self.scores[held])], names=["q_rep", "rep", "score"])
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null, all components finite numbers, not all zero."""
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -131,37 +163,32 @@ def search(
 
         return run
 
-    # blocks of a fixed size, however many partitions there are; every cell of a query block and a block of codes is a row of its own
+    # blocks of a fixed size, however many partitions there are
     codes = cut(distinct.select("rep", "vector").repartition(math.ceil(total / CODES_BLOCK)).mapInArrow(block_of(CODES_BLOCK, 1), BLOCK))
-    asks = queries.select("rep", "vector").repartition(math.ceil(count / QUERY_BLOCK)).mapInArrow(block_of(QUERY_BLOCK, 0), BLOCK)
-    asks = cut(asks.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("block").alias("q_block")))
-    each = lambda rows, name: F.explode(F.array(*[F.lit(r[name]) for r in rows.select(name).collect()]))  # noqa: E731  one number a block
-    cells = codes.withColumn("q_block", each(asks, "q_block")).join(asks.withColumn("block", each(codes, "block")), ["q_block", "block"])
+    asks = cut(queries.select("rep", "vector").repartition(math.ceil(count / QUERY_BLOCK)).mapInArrow(block_of(QUERY_BLOCK, 0), BLOCK))
+    # a query block is followed by half of the blocks of codes in one task, by the rest in another; both merge as they go
+    numbered = asks.join(asks.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("q_block")), "block")   # one small row a block is numbered
+    ways = numbered.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1)))).withColumn("kind", F.lit(0))
+    meets = codes.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(asks.count() - 1)))).withColumn("way", F.pmod(F.xxhash64("block"), F.lit(WAYS)).cast("int")).withColumn("kind", F.lit(1))
+    fields = ["q_block", "way", "kind", "ids", "vectors", "codes", "factors"]
+    stream = ways.select(*fields).unionByName(meets.select(*fields)).repartition("q_block", "way").sortWithinPartitions("q_block", "way", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = {name: batch.column(n)[row].as_py() for n, name in enumerate(batch.schema.names)}
-                ids, q_ids = np.frombuffer(cell["ids"], "<i8"), np.frombuffer(cell["q_ids"], "<i8")
-                vectors, wanted = (np.frombuffer(cell[name], exact).reshape(-1, dimension).astype(np.float64) for name in ("vectors", "q_vectors"))
-                packed, factors = np.frombuffer(cell["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(cell["factors"], np.float32).reshape(-1, 3)
-                keep = min(k + 1, len(ids))
-                for start in range(0, len(q_ids), 64):
-                    part = wanted[start:start + 64]
-                    estimate, half = bounds(part, packed, factors, centre, bits)
-                    least = np.partition(estimate - half, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                    chosen = estimate + half >= least[:, None]
-                    out: list[list] = [[], [], []]
-                    for q in range(len(part)):
-                        near = np.flatnonzero(chosen[q])
-                        score = vectors[near] @ part[q]
-                        best = np.lexsort((ids[near], -score))[:keep]
-                        out[0].append(np.full(len(best), q_ids[start + q]))
-                        out[1].append(ids[near][best])
-                        out[2].append(score[best])
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["q_rep", "rep", "score"])
-
-    found = cells.select("ids", "vectors", "codes", "factors", "q_ids", "q_vectors").mapInArrow(scan, "q_rep long, rep long, score double")
+                ids, vectors = np.frombuffer(cell["ids"], "<i8"), np.frombuffer(cell["vectors"], exact).reshape(-1, dimension).astype(np.float64)
+                if cell["kind"] == 0:
+                    if best is not None:
+                        yield best.rows()
+                    best = _Best(ids, vectors, k + 1)
+                else:
+                    best.meet(ids, vectors, np.frombuffer(cell["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(cell["factors"], np.float32).reshape(-1, 3), centre, bits)
+        if best is not None:
+            yield best.rows()
+
+    found = stream.select("kind", "ids", "vectors", "codes", "factors").mapInArrow(scan, "q_rep long, rep long, score double")
     # each query's nearest k + 1 distinct vectors hold its nearest k rows besides itself
     nearest = Window.partitionBy("q_rep").orderBy(F.desc("score"), "rep")
     best = cut(found.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1).drop("n"))
