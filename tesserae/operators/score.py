@@ -6,9 +6,7 @@ px (what was received), px_repaired, truth_px, raw, flagged and unrecoverable.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.pixels import psnr, squared_error
 
@@ -166,65 +164,84 @@ def error_by_region(scored: DataFrame) -> DataFrame:
 
 # -- structural similarity ---------------------------------------------------
 
-SSIM_FIELDS = "ssim_sum double, ssim_n bigint, opt_sum double, opt_n bigint, pes_sum double, pes_n bigint"
+WINDOW = 7
+C1, C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+MOMENTS = {"sa": "a", "sb": "b", "saa": "aa", "sbb": "bb", "sab": "ab"}
 
 
-def _ssim_of_page():
-    """Similarity sums of one page and channel; nested, so that it travels by value."""
-    win, c1, c2 = 7, (0.01 * 255) ** 2, (0.03 * 255) ** 2
-
-    def box(v):
-        s = np.cumsum(np.pad(v, ((1, 0), (0, 0))), axis=0)
-        s = s[win:] - s[:-win]
-        s = np.cumsum(np.pad(s, ((0, 0), (1, 0))), axis=1)
-        return s[:, win:] - s[:, :-win]
-
-    def picture(pdf, col, side, ncols):
-        rows = np.stack(pdf[col].to_numpy()).astype("int64").reshape(-1, ncols, side, side)
-        return rows.transpose(0, 2, 1, 3).reshape(-1, ncols * side)
+def _row_sums(side: int) -> str:
+    """For each moment, the sums over seven pixels of a row around each pixel of a block; null where they leave the page."""
+    half, wide = WINDOW // 2, side + WINDOW - 1
+    none = f"array_repeat(CAST(NULL AS INT), {half})"
+    row = lambda c: (
+        f"flatten(transform(sequence(0, {side - 1}), y -> concat(coalesce(slice({c}_left, {side} * y + {side - half + 1}, {half}), {none}), "
+        f"slice({c}, {side} * y + 1, {side}), coalesce(slice({c}_right, {side} * y + 1, {half}), {none}))))"
+    )
+    at = f"array({', '.join(str(y * wide + x) for y in range(side) for x in range(side))})"
+    total = lambda moment: "+".join("*".join(f"p.{c}[j + {d}]" for c in moment) for d in range(WINDOW))
+    sums = ", ".join(f"'{name}', transform({at}, j -> {total(moment)})" for name, moment in MOMENTS.items())
+    return f"transform(array(named_struct('a', {row('a')}, 'b', {row('b')})), p -> named_struct({sums}))[0]"
+
+
+def _box_sums(side: int, name: str) -> str:
+    """The sums over seven rows of one moment's row sums, in the structs h, h_up and h_down."""
+    tall = side * (WINDOW // 2)
+    none = f"array_repeat(CAST(NULL AS INT), {tall})"
+    column = f"concat(coalesce(slice(h_up.{name}, {side * side - tall + 1}, {tall}), {none}), h.{name}, coalesce(slice(h_down.{name}, 1, {tall}), {none}))"
+    total = "+".join(f"q[i + {side * d}]" for d in range(WINDOW))
+    return f"transform(array({column}), q -> transform(sequence(0, {side * side - 1}), i -> {total}))[0]"
+
+
+def _similarity() -> str:
+    """Structural similarity of one window from its five sums, in the fields of ``w``; null outside the page."""
+    n = WINDOW * WINDOW
+    var = lambda x, y, xy: f"(({n}D * w.{xy} - w.{x} * w.{y}) / {n * (n - 1)}D)"
+    ua, ub = f"(w.sa / {n}D)", f"(w.sb / {n}D)"
+    return (
+        f"((2D * {ua} * {ub} + {C1!r}D) * (2D * {var('sa', 'sb', 'sab')} + {C2!r}D)) / "
+        f"(({ua} * {ua} + {ub} * {ub} + {C1!r}D) * ({var('sa', 'sa', 'saa')} + {var('sb', 'sb', 'sbb')} + {C2!r}D))"
+    )
 
-    def page(key, pdf):
-        pdf = pdf.sort_values("idx")
-        side, ncols = int(pdf["block"].iloc[0]), int(pdf["ncols"].iloc[0])
-        a, b = (picture(pdf, c, side, ncols) for c in ("a", "b"))
-        pes, opt = (picture(pdf, c, side, ncols).astype(bool)[3:-3, 3:-3] for c in ("m_pes", "m_opt"))
-        n = win * win
-        sa, sb, saa, sbb, sab = (box(v) for v in (a, b, a * a, b * b, a * b))
-        ua, ub = sa / n, sb / n
-        scale = 1.0 / (n * (n - 1))
-        va, vb, vab = (n * saa - sa * sa) * scale, (n * sbb - sb * sb) * scale, (n * sab - sa * sb) * scale
-        s = (2 * ua * ub + c1) * (2 * vab + c2) / ((ua * ua + ub * ub + c1) * (va + vb + c2))
-        row = [s.sum(), s.size, s[opt].sum(), int(opt.sum()), s[pes].sum(), int(pes.sum())]
-        return pd.DataFrame([list(key) + row], columns=list(names) + FIELDS)
 
-    FIELDS = [f.split()[0] for f in SSIM_FIELDS.split(", ")]
-    names: list[str] = []
+def _ssim_sums(pages: DataFrame, keys: list[str], side: int) -> DataFrame:
+    """Per key: sum and number of the similarities of all windows, of those in the truth, and of those in the kept truth."""
+    along = Window.partitionBy(*keys, "ch", "_r").orderBy("_c")
+    across = Window.partitionBy(*keys, "ch", "_c").orderBy("_r")
+    rows = pages.select("*", *[step(c).over(along).alias(f"{c}{part}") for part, step in (("_left", F.lag), ("_right", F.lead)) for c in ("a", "b")])
+    rows = rows.select(*keys, "ch", "_r", "_c", "m_pes", "m_opt", F.expr(_row_sums(side)).alias("h"))
+    boxes = rows.select("*", F.lag("h").over(across).alias("h_up"), F.lead("h").over(across).alias("h_down"))
+    boxes = boxes.select(*keys, "m_pes", "m_opt", *[F.expr(_box_sums(side, name)).alias(name) for name in MOMENTS])
+    values = F.expr(f"transform(arrays_zip({', '.join(MOMENTS)}), w -> {_similarity()})")
+    scored = boxes.select(*keys, "m_pes", "m_opt", values.alias("s"))
+    inside = lambda mask: F.expr(f"aggregate(zip_with(s, {mask}, (x, t) -> if(t = 1, x, NULL)), {ZERO}, (acc, x) -> {ADD})" if mask else f"aggregate(s, {ZERO}, (acc, x) -> {ADD})")
+    parts = scored.select(*keys, inside("").alias("ssim"), inside("m_opt").alias("opt"), inside("m_pes").alias("pes"))
+    return parts.groupBy(*keys).agg(*[F.sum(f"{c}.{f}").alias(f"{c}_{f}") for c in ("ssim", "opt", "pes") for f in ("sum", "n")])
 
-    def bind(columns):
-        names.extend(columns)
-        return page
 
-    return bind
+ZERO = "named_struct('sum', 0D, 'n', 0L)"
+ADD = "named_struct('sum', acc.sum + coalesce(x, 0D), 'n', acc.n + if(x IS NULL, 0L, 1L))"
 
 
-def ssim(df: DataFrame, keys: list[str], a: str, b: str, truth: Column | None = None, keep: Column | None = None) -> DataFrame:
+def ssim(df: DataFrame, keys: list[str], a: str, b: str, truth: Column | None = None, keep: Column | None = None, sides: tuple[int, ...] = (8, 4)) -> DataFrame:
     """Mean 7x7 structural similarity of two pictures per key: whole, over truth, over kept truth.
 
-    Blocks shuffle once as arrays; one task holds one page and channel, whose size the
-    carrier bounds.  Exploding pixels for window sums would multiply the rows by 64 and
-    shuffle them twice.
+    Window sums are separable.  A block takes the pixels of its left and right neighbours to
+    sum along rows, then those sums of its upper and lower neighbours to sum across them, so
+    a task holds one row or column of blocks of a page at a time, never a page; windows that
+    leave the page are null.  ``sides`` are the block sides that occur.
     """
     none = F.transform(a, lambda v: F.lit(0))
     whole = F.transform(truth, lambda t: t.cast("int")) if truth is not None else none
     part = F.when(keep, whole).otherwise(none) if keep is not None else whole
-    group = [*keys, "ch"]
     pages = df.select(
-        *group, "idx", "block", "ncols", F.col(a).alias("a"), F.col(b).alias("b"), whole.alias("m_pes"), part.alias("m_opt")
+        *keys, "ch", "block", F.floor(F.col("idx") / F.col("ncols")).cast("long").alias("_r"), (F.col("idx") % F.col("ncols")).cast("long").alias("_c"),
+        F.transform(a, lambda v: v.cast("int")).alias("a"), F.transform(b, lambda v: v.cast("int")).alias("b"), whole.alias("m_pes"), part.alias("m_opt"),
     )
-    types = dict(pages.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in group) + ", " + SSIM_FIELDS
-    per_page = pages.groupBy(*group).applyInPandas(_ssim_of_page()(group), schema)
-    sums = per_page.groupBy(*keys).agg(*[F.sum(f.split()[0]).alias(f.split()[0]) for f in SSIM_FIELDS.split(", ")])
+    sums = None
+    for side in sides:
+        one = _ssim_sums(pages.filter(F.col("block") == side).drop("block"), keys, side)
+        sums = one if sums is None else sums.unionByName(one)
+    sums = sums.groupBy(*keys).agg(*[F.sum(f"{c}_{f}").alias(f"{c}_{f}") for c in ("ssim", "opt", "pes") for f in ("sum", "n")])
     mean = lambda s: F.when(
         F.col(f"{s}_n") > 0, F.col(f"{s}_sum") / F.greatest(f"{s}_n", F.lit(1))
     ).otherwise(F.lit(float("nan")))
