@@ -7,8 +7,8 @@ from pyspark.sql import Window, functions as F
 from ..functions import backup as codes
 from ..functions.hashing import derive_seed, hmac_hex
 from ..functions.pixels import BUDGET, from_bytes, msb_bytes, payload, psnr, squared_error, to_bytes
-from ..operators import partner, repair, seal, verify
-from ..sources import carriers
+from ..operators import partner, repair, seal, validate, verify
+from ..sources import carriers, pictures
 from ..sources.keyring import keyring, with_key
 from ..sources.tables import table
 from . import sqlkit as S
@@ -147,15 +147,44 @@ def input_rejects(spark, d):
         pick(["A", "B", "C"], F.floor(F.col("doc_id") / 3) % 3).alias("variant"),
         F.octet_length(F.encode("text", "UTF-8")).alias("size"),
     ).withColumn("k", F.floor(F.col("size") / (F.col("block") * F.col("block"))))
-    odd_c = (F.col("variant") == "C") & (F.col("block") != 8)
-    reason = (
-        F.when(F.col("depth") != 8, "depth").when(~F.col("channels").isin(1, 3), "channels")
-        .when(~F.col("block").isin(4, 8), "block").when(odd_c, "variant").when(F.col("k") < 3, "too_small")
-    )
-    return s.select(
-        "doc_id", "variant", F.when(odd_c, "A").otherwise(F.col("variant")).alias("effective_variant"), "k",
-        reason.alias("reason"),
-    )
+    reason = validate.submission_reason(F.col("depth"), F.col("channels"), F.col("block"), F.col("variant"), F.col("k"))
+    return s.select("doc_id", "variant", validate.effective_variant(F.col("variant"), F.col("block")).alias("effective_variant"), "k", reason.alias("reason"))
+
+
+@query(
+    "validate_blocks",
+    Sql().vectors("fa", 3, 4).add(
+        "odd",
+        "SELECT * REPLACE (CASE WHEN label % 8 = 3 AND idx = 1 THEN 999 ELSE key_id END AS key_id, CASE WHEN label % 8 = 4 AND idx = 0 THEN k + 4 ELSE k END AS k, "
+        "CASE WHEN label % 8 = 5 AND idx % 2 = 0 THEN list_transform(px, lambda v: v + 256) ELSE px END AS px) FROM fa WHERE NOT (label % 8 = 1 AND idx % 3 = 0) AND NOT (label % 8 = 6 AND ch = 2) "
+        "UNION ALL SELECT * FROM fa WHERE label % 8 = 2 AND ch = 1",
+    ).select(
+        "SELECT owner_id, CASE label % 8 WHEN 1 THEN 'missing' WHEN 2 THEN 'repeated' WHEN 3 THEN 'key' WHEN 4 THEN 'geometry' WHEN 5 THEN 'samples' ELSE 'channels' END AS reason, "
+        "CASE label % 8 WHEN 1 THEN any_value(k) * 3 - count(*) WHEN 2 THEN count(*) - any_value(k) * 3 WHEN 3 THEN count_if(key_id = 999) WHEN 4 THEN count_if(k * 64 <> height * width) "
+        "WHEN 5 THEN count_if(idx % 2 = 0) ELSE count(*) END::BIGINT AS n FROM odd WHERE label % 8 BETWEEN 1 AND 6 GROUP BY owner_id, label"
+    ),
+)
+def validate_blocks(spark, d):
+    """Owners of a block table that cannot be sealed, each spoilt in a way of its own."""
+    b = carriers.vector_blocks(spark, d, 3, 4)
+    kind = F.col("label") % 8
+    odd = b.filter(~((kind == 1) & (F.col("idx") % 3 == 0)) & ~((kind == 6) & (F.col("ch") == 2))).withColumns({
+        "key_id": F.when((kind == 3) & (F.col("idx") == 1), 999).otherwise(F.col("key_id")), "k": F.when((kind == 4) & (F.col("idx") == 0), F.col("k") + 4).otherwise(F.col("k")),
+        "px": F.when((kind == 5) & (F.col("idx") % 2 == 0), F.transform("px", lambda v: v + 256)).otherwise(F.col("px")),
+    })
+    return validate.validate_blocks(odd.unionByName(b.filter((kind == 2) & (F.col("ch") == 1))), "B", keyring(spark))
+
+
+@query(
+    "blocks_from_pictures",
+    Sql().vectors("fa", 3, 4).select(f"SELECT owner_id, {big('ch', 'idx', 'r', 'c', 'height', 'width', 'k')}, {SQL_HEX_PX} AS px_hex FROM fa"),
+)
+def blocks_from_pictures(spark, d):
+    """Vectors written as uncompressed pictures and cut into blocks again from the pictures' bytes."""
+    b = carriers.vector_blocks(spark, d, 3, 4)
+    files = pictures.to_pictures(b).select(F.concat("owner_id", F.lit(".bmp")).alias("path"), "content")
+    got = pictures.picture_blocks(files, stem=F.substring_index("path", "|", 1))
+    return got.select("owner_id", "ch", "idx", "r", "c", "height", "width", "k", px_hex().alias("px_hex"))
 
 
 # -- hashing -----------------------------------------------------------------

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inject, partner, ratefit, score, separation, verify
-from ..plans import gate, grid, reports, runlog
+from ..functions.pixels import to_bytes
+from ..plans import gate, grid, reports, retain, runlog
 from ..session import checkpoint_dir, materialize, scratch
 from ..sources import carriers
 from ..sources.keyring import keyring
@@ -149,6 +150,31 @@ def grid_scores(spark, d):
     return rows.select(*[r6(F.col(c), c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
+# -- kept frames -------------------------------------------------------------
+
+_hex = lambda px: f"hex({S.to_bytes(px)})"
+_WHITE = "list_transform({}, lambda t: CASE WHEN t THEN 255 ELSE 0 END)"
+STAGE_SQL = {
+    "sealed": "px_before", "received": "px", "repaired": "px_repaired", "truth": _WHITE.format("truth_px"), "mask": _WHITE.format("list_transform(px, lambda v: flagged)"),
+}
+
+
+@query(
+    "retained_stages",
+    runs_sql().add(
+        "kept", "SELECT run_id FROM cells WHERE condition = 'tamper' AND nominal = '0.25' AND variant = 'A' AND block_size = 8 AND stem = (SELECT min(stem) FROM cells)",
+    ).select(" UNION ALL ".join(f"SELECT run_id, '{stage}' AS stage, ch::BIGINT AS ch, idx::BIGINT AS idx, {_hex(px)} AS px_hex FROM rep JOIN kept USING (run_id)" for stage, px in STAGE_SQL.items())),
+)
+def retained_stages(spark, d):
+    """Five stages of one picture under every class, a quarter of it damaged; all other frames are dropped."""
+    blocks = carriers.vector_blocks(spark, d)
+    kept = materialize(retain.chosen_cells(grid.cells(blocks)))
+    scored, _ = grid.scored_family(blocks, kept, keyring(spark), ["A"], 8)
+    path = scratch(spark)
+    retain.keep(scored, kept, path)
+    return spark.read.parquet(path).select("run_id", "stage", "ch", "idx", F.hex(to_bytes(F.col("px"))).alias("px_hex"))
+
+
 # -- planning ----------------------------------------------------------------
 
 def _plan(spark, d):

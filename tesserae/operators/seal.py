@@ -9,6 +9,7 @@ from ..functions.hashing import hmac_hex
 from ..functions.pixels import budget, msb_bytes, psnr, squared_error, with_payload
 from ..sources.keyring import with_key
 from .partner import with_neighbours
+from .validate import require_valid
 
 # Format marks of the bound and of the older, unbound tag message.
 MARK_BOUND = b"WGT2"
@@ -43,7 +44,7 @@ def tag_hex(variant: str | Column, block: int, px: Column, carried: Column | Non
 
 
 def seal(blocks: DataFrame, ring: DataFrame, variant: str, block: int = 8, bound: bool = True,
-         extra: list[str] | None = None, pairs: DataFrame | None = None, plain: bool = False) -> DataFrame:
+         extra: list[str] | None = None, pairs: DataFrame | None = None, plain: bool = False, strict: bool = False) -> DataFrame:
     """Blocks -> sealed blocks; ``extra`` names columns besides owner_id that tell copies apart.
 
     Adds holder, carries, desc (the block's own backup), carried (its partner's, which it
@@ -51,8 +52,11 @@ def seal(blocks: DataFrame, ring: DataFrame, variant: str, block: int = 8, bound
     carry join is a lag along the cycle, so map and carry share one shuffle.  Partners are
     kept apart; ``plain`` takes the mere keyed order and ``pairs`` any map of the caller's
     (all readers of the blocks must be given the same).  Blocks of a key that the ring does
-    not hold, and owners that lack a block, are left out.
+    not hold, and owners that lack a block, are left out; ``validate_blocks`` lists them,
+    and ``strict`` raises for them and for any other reason it knows.
     """
+    if strict:
+        require_valid(blocks, variant, ring)
     keep = [c for c in blocks.columns]
     coded = with_backup(blocks, variant, block)
     placed = with_neighbours(coded, ring, ["idx", "desc"], (extra or []) + ["owner_id", "ch"], pairs, plain).filter("prev_idx IS NOT NULL")
