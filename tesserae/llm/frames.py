@@ -5,13 +5,14 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tesserae import session
 from tesserae.session import checkpoint_dir, materialize
 
-__all__ = ["checkpoint_dir", "cut", "fold_of", "free_name", "materialize", "pieces", "prepare", "release", "scratch"]
+__all__ = ["checkpoint_dir", "claim", "cut", "fold_of", "free_name", "materialize", "pieces", "prepare", "release", "scratch"]
 
 #: Rows handed to Python at once: texts may be very long, and workers share an executor's memory with it.
 BATCH_ROWS = 1000
@@ -52,6 +53,21 @@ def release() -> None:
         pass
 
 
+#: What a worker may forget between stages: a function for each cache, by the operator that fills it.
+forgetting: dict[str, Callable[[], None]] = {}
+_busy = [""]
+
+
+def claim(operator: str) -> None:
+    """Say which operator a worker's task belongs to; the first of a new operator drops what the others remembered."""
+    if _busy[0] != operator:
+        for name, forget in forgetting.items():
+            if name != operator:
+                forget()
+        _busy[0] = operator
+        release()
+
+
 def pieces(sizes, limit: int):
     """Slices over consecutive items whose sizes sum to about ``limit``: bounded work on any batch."""
     start = total = 0

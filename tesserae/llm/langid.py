@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tesserae.llm.chains import viterbi
 from tesserae.llm.codes import BATCH_CHARS, mix, tables, words
-from tesserae.llm.frames import fold_of, free_name, pieces, release
+from tesserae.llm.frames import claim, fold_of, free_name, pieces, release
 
 #: First code points of script ranges and the script each begins; the script of a word is that of its first letter.
 SCRIPTS = (
@@ -140,6 +140,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @pandas_udf(f"lang string, score double, spans {SPANS}")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("language")
         for texts in batches:
             yield pd.DataFrame(label(list(texts), shared.value), columns=["lang", "score", "spans"])
         release()

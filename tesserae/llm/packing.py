@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tesserae.llm.frames import pieces, release
+from tesserae.llm.frames import claim, forgetting, pieces, release
 from tesserae.llm.tokens import layout, split, terms
 
 LENGTH = 2048
@@ -188,6 +188,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+forgetting["packing"] = encoder.cache_clear
+
+
 def cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Possible cuts of a stream, from 0 to its end, and the price of each."""
     total = int(doc_ends[-1])
@@ -292,6 +295,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         names = [c.split()[0] for c in PIECES.split(", ")]
         stream = _Stream(length, TaskContext.get().partitionId() << 40)
 

@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from xxhash import xxh64_intdigest
 
 from tesserae.llm.components import components
-from tesserae.llm.frames import cut, free_name, release
+from tesserae.llm.frames import claim, cut, free_name, release
 
 SEED = 42
 #: Buckets up to this size are joined in the JVM; larger ones go to cells of about CELL fingerprints.
@@ -82,6 +82,7 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str, width: int | None
 
     @pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("simhash")
         for texts in batches:
             yield pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
         release()
@@ -185,6 +186,7 @@ def _shingle_sets(df: DataFrame) -> DataFrame:
 
     @pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("simhash")
         for texts in batches:
             yield pd.Series([np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in texts])
         release()
@@ -220,6 +222,7 @@ def _with_keys(df: DataFrame, counts: np.ndarray) -> DataFrame:
 
     @pandas_udf("struct<size:int,keys:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("simhash")
         for texts in batches:
             sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in texts]
             yield pd.DataFrame({"size": np.array([len(s) for s in sets], dtype=np.int32), "keys": [rare_first(s, counts) for s in sets]})

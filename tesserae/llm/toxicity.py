@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tesserae.llm.chains import marginals
 from tesserae.llm.codes import BATCH_CHARS, Words, prefix_sums, span_hash, words
-from tesserae.llm.frames import fold_of, free_name, pieces, release
+from tesserae.llm.frames import claim, fold_of, free_name, pieces, release
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
@@ -208,6 +208,7 @@ def detect(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @pandas_udf(f"score double, spans {SPANS}")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("toxicity")
         for texts in batches:
             yield pd.DataFrame(score(list(texts), shared.value), columns=["score", "spans"])
         release()
