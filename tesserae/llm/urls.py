@@ -12,6 +12,8 @@ Everything runs on DataFrame functions and Spark's own FP-growth.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,12 +55,14 @@ def tokens(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(every))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.7, lift: float = 1.5, partitions: int = 16) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.7, lift: float = 1.5, partitions: int = 16, chance: float = 0.05) -> DataFrame:
     """Rules (rule, tokens, rows, confidence) from ``labelled(url, blocked)``.
 
     A rule is a set of tokens which at least ``support`` of all labelled URLs hold together
     with the label, of which at least ``confidence`` are blocked, at ``lift`` times the
-    overall rate or more; no rule holds a smaller one.  Equal URLs count each time they are
+    overall rate or more, and which no accident explains: were URLs blocked at the overall
+    rate whatever their tokens, at most ``chance`` rules would be expected to be as clear
+    (Chernoff's bound, over all sets that are tried).  No rule holds a smaller one.  Equal URLs count each time they are
     labelled; null URLs and labels are left out.  Without labels, or with labels of one
     class, there are no rules.
     """
@@ -84,7 +88,11 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.7, l
     with_label = sets.filter(F.array_contains("items", BLOCKED)).select(F.array_remove("items", BLOCKED).alias("tokens"), F.col("freq").alias("rows")).filter(F.size("tokens") > 0)
     plain = sets.filter(~F.array_contains("items", BLOCKED)).select(F.col("items").alias("tokens"), F.col("freq").alias("all_rows"))
     scored = with_label.join(plain, "tokens").withColumn("confidence", F.col("rows") / F.col("all_rows"))
-    good = cut(scored.filter((F.col("confidence") >= confidence) & (F.col("confidence") >= lift * bad / total)).select(F.concat_ws(" ", "tokens").alias("rule"), "tokens", F.col("rows").cast("long"), "confidence"))
+    rate, c = bad / total, F.col("confidence")
+    clear = c * F.log(c / rate) + F.when(c < 1, (1 - c) * F.log((1 - c) / (1 - rate))).otherwise(0.0)   # nats a row
+    tried = max(1, with_label.count())
+    scored = scored.filter((c > rate) & (F.col("all_rows") * clear >= math.log(tried / chance)))
+    good = cut(scored.filter((c >= confidence) & (c >= lift * rate)).select(F.concat_ws(" ", "tokens").alias("rule"), "tokens", F.col("rows").cast("long"), "confidence"))
     part = F.explode("tokens")
     smaller = good.select(F.col("rule").alias("small"), F.col("tokens").alias("small_tokens"), F.element_at("tokens", 1).alias("token"))
     covered = good.select("rule", "tokens", part.alias("token")).join(smaller, "token").filter(

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -53,11 +54,26 @@ def test_mined_rules_against_brute_force(spark, monkeypatch):
     tokens = [(frozenset(r.t), r.blocked) for r in df.select(urls.tokens(F.col("url")).alias("t"), "blocked").collect() if r.t and r.blocked is not None]
     rate = sum(b for _, b in tokens) / len(tokens)
     names = sorted(set().union(*(t for t, _ in tokens)))
+    least = max(2, 0.05 * len(tokens))
+    level, tried = [((), list(range(len(tokens))))], 0
+    while level:   # every set that stands in enough blocked URLs
+        grown = []
+        for pick, where in level:
+            for name in names[names.index(pick[-1]) + 1 if pick else 0:]:
+                own = [k for k in where if name in tokens[k][0]]
+                if sum(tokens[k][1] for k in own) >= least:
+                    grown.append(((*pick, name), own))
+        tried, level = tried + len(grown), grown
+
+    def clear(bad, n):
+        c = bad / n
+        return c > rate and n * (c * math.log(c / rate) + ((1 - c) * math.log((1 - c) / (1 - rate)) if c < 1 else 0)) >= math.log(tried / 0.05)
+
     good = {}
     for size in (1, 2, 3):
         for pick in itertools.combinations(names, size):
             held = [b for t, b in tokens if t.issuperset(pick)]
-            if sum(held) >= max(2, 0.05 * len(tokens)) and sum(held) / len(held) >= max(0.7, 1.5 * rate) and not any(set(g) < set(pick) for g in good):
+            if sum(held) >= least and clear(sum(held), len(held)) and sum(held) / len(held) >= max(0.7, 1.5 * rate) and not any(set(g) < set(pick) for g in good):
                 good[pick] = (sum(held), sum(held) / len(held))
     mined = urls.mine(df, support=0.05)
     got = {tuple(sorted(r.tokens)): (r["rows"], r.confidence) for r in mined.collect()}
@@ -73,3 +89,12 @@ def test_mined_rules_against_brute_force(spark, monkeypatch):
 def spark_tokens(url, tokens, rows):
     known = {u: t for (u, b), t in zip([x for x in rows if x[0] and x[1] is not None], [t for t, _ in tokens])}
     return known.get(url)
+
+
+def test_labels_of_no_meaning_give_no_rules(spark):
+    """A quarter of the URLs blocked at random: whatever looks clear among many sets is an accident."""
+    rnd = random.Random(11)
+    words = [f"word{chr(97 + k)}" for k in range(26)]
+    rows = [(f"http://{rnd.choice(words)}.example.{rnd.choice(['org', 'net'])}/{rnd.choice(words)}/{rnd.choice(words)}/{k}", rnd.random() < 0.25) for k in range(900)]
+    assert urls.mine(spark.createDataFrame(rows, "url string, blocked boolean")).count() == 0
+    assert urls.mine(spark.createDataFrame(rows, "url string, blocked boolean"), chance=1e9).count() > 5
