@@ -1,3 +1,4 @@
+import math
 import html
 import re
 
@@ -70,3 +71,39 @@ def test_odd_rows(spark, model):
     assert found[1, ""] == found[2, ""] == "" and found[None, "<ar"] == "a"
     assert htmltext.main_text(df.limit(0), model).count() == 0
     htmltext.fit(df.limit(0))
+
+
+def test_predictions_against_scalar_steps():
+    """The batched network gives what one block after another, one number at a time, gives."""
+    rng = np.random.default_rng(12)
+    width = htmltext.PATH_DIM + htmltext.WORD_DIM + htmltext.COUNTS
+    hidden = htmltext.HIDDEN
+    model = htmltext.Model(
+        path=rng.normal(size=(htmltext.PATH_BUCKETS, htmltext.PATH_DIM)), word=rng.normal(size=(htmltext.WORD_BUCKETS, htmltext.WORD_DIM)),
+        gates=rng.normal(scale=0.4, size=(2, width + hidden + 1, 4 * hidden)), out=rng.normal(size=2 * hidden + 1),
+    )
+    block = lambda: (tuple(rng.choice(["html", "div", "p", "nav", "article", "x1"], size=rng.integers(1, 5))), " ".join(rng.choice(["one", "two.", "three", "über"], size=rng.integers(1, 6))), float(rng.random()))
+    pages = [[block() for _ in range(n)] for n in (3, 1, 0, 6, 2)]
+    parts, path_first, hashed, word_first, counts, first = htmltext._inputs(pages)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def mean(table, buckets, bounds, k):
+        own = buckets[bounds[k]:bounds[k + 1]]
+        return [sum(table[b][d] for b in own) / max(1, len(own)) for d in range(table.shape[1])]
+
+    got = htmltext.predict(pages, model)
+    for page, (a, b) in enumerate(zip(first, first[1:])):
+        rows = [[*mean(model.path, parts, path_first, k), *mean(model.word, hashed, word_first, k), *counts[k]] for k in range(a, b)]
+        states = []
+        for backward in (False, True):
+            weights, h, c, own = model.gates[int(backward)], [0.0] * hidden, [0.0] * hidden, {}
+            for t in (reversed(range(len(rows))) if backward else range(len(rows))):
+                z = [sum(v * weights[k][j] for k, v in enumerate([*rows[t], *h, 1.0])) for j in range(4 * hidden)]
+                i, f, o = ([sigmoid(v) for v in z[n * hidden:(n + 1) * hidden]] for n in range(3))
+                g = [math.tanh(v) for v in z[3 * hidden:]]
+                c = [f[k] * c[k] + i[k] * g[k] for k in range(hidden)]
+                h = [o[k] * math.tanh(c[k]) for k in range(hidden)]
+                own[t] = h
+            states.append(own)
+        want = [sigmoid(sum(v * w for v, w in zip([*states[0][t], *states[1][t], 1.0], model.out))) for t in range(len(rows))]
+        assert np.allclose(got[page], want, atol=1e-9)
