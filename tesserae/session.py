@@ -49,9 +49,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tesserae-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``clean`` removes it."""
+    _scratch.append(f"{checkpoint_dir(spark).rstrip('/')}/tesserae-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove what this process wrote to the shared folder, and return how many folders there were.
+
+    For the end of a job, or between jobs of a long session: frames that were read back from
+    these folders cannot be used afterwards.
+    """
+    removed = 0
+    while _scratch:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        removed += bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+    return removed
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -137,3 +137,15 @@ def test_the_index_is_not_moved(spark, ring, blocks, tmp_path):
     again = open_index(spark, str(tmp_path / "index"), 4)      # as another session would
     assert again.count() == s.count()
     assert sorted(map(tuple, lib.identify(got, None, recs, ring, "B", index=again).collect())) == with_index
+
+
+def test_scratch_folders_are_removed(spark, monkeypatch):
+    from tesserae import session
+
+    monkeypatch.setattr(session, "_scratch", [])
+    kept = session.materialize(spark.range(3))
+    assert kept.count() == 3 and len(session._scratch) == 1
+    folder = session._scratch[0].removeprefix("file:")
+    assert os.path.isdir(folder)
+    session.scratch(spark)                       # named, never written
+    assert session.clean(spark) == 1 and not os.path.exists(folder) and session.clean(spark) == 0
