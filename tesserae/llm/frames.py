@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tesserae import session
 from tesserae.session import checkpoint_dir, materialize
 
-__all__ = ["checkpoint_dir", "claim", "cut", "fold_of", "free_name", "materialize", "pieces", "prepare", "release", "scratch"]
+__all__ = ["checkpoint_dir", "claim", "cut", "fold_of", "free_name", "materialize", "pieces", "prepare", "release"]
 
 #: Rows handed to Python at once: texts may be very long, and workers share an executor's memory with it.
 BATCH_ROWS = 1000
@@ -34,11 +34,6 @@ def fold_of(column: Column, folds: int = 5) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % folds
 
 
-def scratch(df: DataFrame) -> str:
-    """A new path in the shared folder of the session."""
-    return f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tesserae-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs a re-read."""
     return materialize(df)
