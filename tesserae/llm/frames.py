@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tesserae import session
 from tesserae.session import checkpoint_dir, materialize
 
-__all__ = ["checkpoint_dir", "claim", "cut", "fold_of", "free_name", "materialize", "pieces", "prepare", "release"]
+__all__ = ["checkpoint_dir", "claim", "cut", "drop", "fold_of", "free_name", "materialize", "pieces", "prepare", "release"]
 
 #: Rows handed to Python at once: texts may be very long, and workers share an executor's memory with it.
 BATCH_ROWS = 1000
@@ -39,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove the folder behind a frame that ``cut`` gave, once nothing that is still to run reads it."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/tesserae-" in path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release() -> None:
     """Give freed memory back to the machine; Python workers live on through all stages of a job and keep it otherwise."""
     gc.collect()

@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from xxhash import xxh64_intdigest
 
 from tesserae.llm.components import components
-from tesserae.llm.frames import claim, cut, free_name, release
+from tesserae.llm.frames import claim, cut, drop, free_name, release
 
 SEED = 42
 #: Buckets up to this size are joined in the JVM; larger ones go to cells of about CELL fingerprints.
@@ -255,10 +255,13 @@ def _similar_texts(rest: DataFrame, sets: DataFrame) -> DataFrame:
     farther than that from all whom this head does not link leaves too.  The others go on.
     """
     edges, heads, turn = [], 1, 0
+    given = rest
     reach = 1 - SIMILARITY + 1e-9
     while True:
         groups = rest.groupBy("token").agg(F.min(F.struct("id", "tid")).getField("tid").alias("first"), F.count("*").alias("n")).filter("n > 1")
         group = cut(rest.join(groups, "token"))
+        if rest is not given:   # tables of a round go as soon as the next is written
+            drop(rest)
         if group.isEmpty():
             break
         whole = F.col("n") <= (SMALL_COMPONENT if turn else 1)
@@ -271,16 +274,19 @@ def _similar_texts(rest: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = a.join(b, "token").filter("u < v").filter(_sizes_fit("u_size", "v_size")).select("u", "v")
         met = follow.filter(_sizes_fit("size", "head_size")).select(F.least("tid", "head").alias("u"), F.greatest("tid", "head").alias("v"))
         found = cut(_compared(met.unionByName(pairs).distinct(), sets))
+        drop(group)
         edges.append(found.filter("similar").select("u", "v"))
         both = found.select(F.col("u").alias("tid"), F.col("v").alias("head"), "d").unionByName(found.select(F.col("v").alias("tid"), F.col("u").alias("head"), "d"))
         least = F.when(F.greatest("size", "head_size") == 0, 0.0).otherwise(1 - F.least("size", "head_size") / F.greatest("size", "head_size"))
         at = follow.filter("NOT heads").join(both, ["tid", "head"], "left").withColumn("d", F.coalesce("d", least))   # not compared: at least so far
         best = cut(at.groupBy("token", "tid").agg(F.min(F.struct("d", "head")).alias("best"), F.first("id").alias("id"), F.first("size").alias("size"), F.collect_set(F.struct("head", "d")).alias("all")))
+        drop(follow)
         apart = best.filter(F.col("best.d") > reach)
         # the nearest text that a head does not link, whether another head does or none
         floors = best.select("token", F.explode("all").alias("of")).filter(F.col("of.d") > reach).groupBy("token", F.col("of.head").alias("head")).agg(F.min("of.d").alias("floor"))
         near = best.filter(F.col("best.d") <= reach).withColumn("head", F.col("best.head")).join(floors, ["token", "head"]).filter(F.col("best.d") + reach >= F.col("floor"))
         rest = cut(apart.select("token", "tid", "id", "size").unionByName(near.select("token", "tid", "id", "size")))
+        drop(best)
         heads, turn = heads * 4, turn + 1
     every = rest.sparkSession.createDataFrame([], "u long, v long")
     for more in edges:
