@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from xxhash import xxh64_intdigest
 
 from tesserae.llm.components import components
-from tesserae.llm.frames import claim, cut, drop, free_name, release
+from tesserae.llm.frames import broadcast_if_small, claim, cut, drop, free_name, release, tidy
 
 SEED = 42
 #: Buckets up to this size are joined in the JVM; larger ones go to cells of about CELL fingerprints.
@@ -177,6 +177,10 @@ SHINGLE, FIFTHS = 5, 4
 SIMILARITY = FIFTHS / 5
 #: After the first round, up to this many texts under one key compare all pairs.
 SMALL_COMPONENT = 64
+#: Fewest bits of a sketch.
+SKETCH_BITS = 128
+#: Up to so many texts to compare are told to every executor; more are shuffled.
+BROADCAST_TEXTS = 500_000
 #: Shingles are ordered by how often they stand in about COUNTED texts, in COUNTERS counters.  Any order gives the same result.
 COUNTED, COUNTERS = 20_000, 1 << 18
 
@@ -217,28 +221,69 @@ def rare_first(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return shingles[order[:n + (-FIFTHS * n // 5) + 1]].view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of how many of distinct shingles fall on each of so many bits, two at least for each shingle, as longs.
+
+    The sketches of two sets differ in no more bits than the sets in members.
+    """
+    bits = max(SKETCH_BITS, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else SKETCH_BITS
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _with_keys(df: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``df(tid, id, text)`` as (tid, id, size, keys): number of distinct shingles, and the rarest of them."""
+    """``df(tid, id, text)`` as (tid, id, fp, size, keys, sketch): fingerprint, number of distinct shingles, the rarest of them, and a sketch of all."""
 
-    @pandas_udf("struct<size:int,keys:array<long>>")
+    @pandas_udf("struct<fp:long,size:int,keys:array<long>,sketch:array<long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         claim("simhash")
         for texts in batches:
             sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in texts]
-            yield pd.DataFrame({"size": np.array([len(s) for s in sets], dtype=np.int32), "keys": [rare_first(s, counts) for s in sets]})
+            yield pd.DataFrame({
+                "fp": np.array([fingerprint(t, 3) for t in texts], dtype=np.int64), "size": np.array([len(s) for s in sets], dtype=np.int32),
+                "keys": [rare_first(s, counts) for s in sets], "sketch": [sketch(s) for s in sets],
+            })
         release()
 
-    return df.select("tid", "id", of("text").alias("of")).select("tid", "id", "of.size", "of.keys")
+    return df.select("tid", "id", of("text").alias("of")).select("tid", "id", "of.*")
+
 
+def _apart(a: str, b: str):
+    """Bits in which two sketches differ; the longer one is folded, half upon half, to the length of the shorter."""
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    short = lambda x, y: F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
+    return F.aggregate(F.zip_with(short(a, b), short(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, d): pairs of texts and the Jaccard distance of their shingles."""
+
+def _compared(pairs: DataFrame, sets: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """(u, v, d, similar): pairs of texts of fitting sizes, the Jaccard distance of their shingles, and whether it is small enough.
+
+    With ``sketches(tid, id, size, sketch)``, ``sets`` are the rows (tid, id, text): shingles are
+    made for texts that may be similar by their sketches only.  The distance of other pairs is at
+    least the one returned.
+    """
+    found = None
+    if sketches is not None:
+        own = sketches.select("tid", "size", "sketch")
+        both = pairs.join(own.withColumnsRenamed({"tid": "u", "size": "u_size", "sketch": "u_sketch"}), "u").join(own.withColumnsRenamed({"tid": "v", "size": "v_size", "sketch": "v_sketch"}), "v")
+        bounded = cut(both.select("u", "v", (F.col("u_size") + F.col("v_size")).alias("sum"), _apart("u_sketch", "v_sketch").alias("apart")))
+        far = F.col("apart") * (5 + FIFTHS) > F.col("sum") * (5 - FIFTHS)
+        found = bounded.filter(far).select("u", "v", (F.col("apart") * 2 / (F.col("sum") + F.col("apart"))).alias("d"), F.lit(False).alias("similar"))
+        pairs = bounded.filter(~far).select("u", "v")
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct().join(sketches.select("tid", F.col("id").alias("own")), "tid")
+        held = sets.join(broadcast_if_small(wanted, BROADCAST_TEXTS), "tid").filter(F.col("id").eqNullSafe(F.col("own")))
+        sets = cut(_shingle_sets(held.select("tid", "text").dropDuplicates(["tid"])))
     own = sets.select("tid", "words")
     both = pairs.join(own.withColumnsRenamed({"tid": "u", "words": "u_set"}), "u").join(own.withColumnsRenamed({"tid": "v", "words": "v_set"}), "v")
     counted = both.select("u", "v", F.size(F.array_intersect("u_set", "v_set")).alias("common"), (F.size("u_set") + F.size("v_set")).alias("sum"))
     union = F.col("sum") - F.col("common")
     similar = F.col("common") * 5 >= FIFTHS * union
-    return counted.select("u", "v", F.when(F.col("sum") == 0, 0.0).otherwise(1 - F.col("common") / union).alias("d"), similar.alias("similar"))
+    exact = counted.select("u", "v", F.when(F.col("sum") == 0, 0.0).otherwise(1 - F.col("common") / union).alias("d"), similar.alias("similar"))
+    if found is None:
+        return exact
+    exact = cut(exact)
+    drop(sets)
+    return exact.unionByName(found)
 
 
 def _sizes_fit(a: str, b: str):
@@ -246,7 +291,7 @@ def _sizes_fit(a: str, b: str):
     return F.least(a, b) * 5 >= FIFTHS * F.greatest(a, b)
 
 
-def _similar_texts(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar_texts(rest: DataFrame, sets: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
     """Links (u, v) that connect all similar texts sharing a key of ``rest(token, tid, id, size)``.
 
     Each round compares everyone under a key with a few heads.  Heads have then met all and
@@ -262,6 +307,7 @@ def _similar_texts(rest: DataFrame, sets: DataFrame) -> DataFrame:
         group = cut(rest.join(groups, "token"))
         if rest is not given:   # tables of a round go as soon as the next is written
             drop(rest)
+        tidy(group.sparkSession)
         if group.isEmpty():
             break
         whole = F.col("n") <= (SMALL_COMPONENT if turn else 1)
@@ -273,7 +319,7 @@ def _similar_texts(rest: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = (small.select("token", F.col("tid").alias(k), F.col("size").alias(f"{k}_size")) for k in "uv")
         pairs = a.join(b, "token").filter("u < v").filter(_sizes_fit("u_size", "v_size")).select("u", "v")
         met = follow.filter(_sizes_fit("size", "head_size")).select(F.least("tid", "head").alias("u"), F.greatest("tid", "head").alias("v"))
-        found = cut(_compared(met.unionByName(pairs).distinct(), sets))
+        found = cut(_compared(met.unionByName(pairs).distinct(), sets, sketches))
         drop(group)
         edges.append(found.filter("similar").select("u", "v"))
         both = found.select(F.col("u").alias("tid"), F.col("v").alias("head"), "d").unionByName(found.select(F.col("v").alias("tid"), F.col("u").alias("head"), "d"))
@@ -294,29 +340,46 @@ def _similar_texts(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return every.distinct()
 
 
+def _close_texts(texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``texts(tid, fp, size)`` to compare, u below v: each with one of its fingerprint, and such ones of linked fingerprints."""
+    named = cut(texts.groupBy("fp").agg(F.min(F.struct("tid", "size")).alias("of")).select("fp", "of.tid", "of.size"))
+    same = texts.join(named.select("fp", F.col("tid").alias("other"), F.col("size").alias("other_size")), "fp")
+    u, v = (named.select(F.col("fp").alias(k), F.col("tid").alias(f"{k}_tid"), F.col("size").alias(f"{k}_size")) for k in "uv")
+    linked = links(named.select("fp")).join(u, "u").join(v, "v").select(F.col("u_tid").alias("tid"), F.col("u_size").alias("size"), F.col("v_tid").alias("other"), F.col("v_size").alias("other_size"))
+    both = same.select("tid", "size", "other", "other_size").unionByName(linked).filter("tid <> other").filter(_sizes_fit("size", "other_size"))
+    return cut(both.select(F.least("tid", "other").alias("u"), F.greatest("tid", "other").alias("v")).distinct())
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one document of each group of near copies, the one of smallest identifier.
 
     Equal texts are one group (null and empty ones are equal).  Different texts whose 5-word
-    shingles have similarity 0.8 or more are of one group, over any number of steps; none
-    are missed.  Null identifiers come last, of repeated rows one stays.  Rows that stay are
-    unchanged, with all their columns; an empty table stays empty.
+    shingles have similarity 0.8 or more are of one group, over any number of steps.  Texts
+    whose fingerprints are equal or close are compared first; fingerprints miss some similar
+    texts, and those are found under the rarest of their shingles, so that none are left.
+    Null identifiers come last, of repeated rows one stays.  Rows that stay are unchanged,
+    with all their columns; an empty table stays empty.
     """
     tid, first = free_name(df, "tid"), free_name(df, "first")
     plain = F.coalesce(F.col(text_col), F.lit(""))
     keyed = df.withColumn(tid, F.xxhash64(plain, F.length(plain)))
     named = keyed.select(F.col(tid).alias("tid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = cut(_with_keys(named, _counts(named)).groupBy("tid").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    keys = texts.select("tid", F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "size", F.explode("keys").alias("token"))
+    one = _with_keys(named, _counts(named)).groupBy("tid").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "size", "keys", "sketch")])
+    whole = cut(one)
+    keys = whole.select("tid", F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "size", F.explode("keys").alias("token"))
     rest = cut(keys.join(keys.groupBy("token").count().filter("count > 1").select("token"), "token"))
-    wanted = rest.select("tid").distinct().join(texts.select("tid", F.col("id").alias("own")), "tid")
-    held = named.join(wanted, "tid").filter(F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["tid"])
-    every = _similar_texts(rest, cut(_shingle_sets(held)))
+    texts = cut(whole.drop("keys"))
+    drop(whole)
+    tidy(df.sparkSession)
+    close = _close_texts(texts)
+    by_fingerprint = cut(_compared(close, named, texts).filter("similar").select("u", "v"))
+    every = by_fingerprint.unionByName(_similar_texts(rest, named, texts))
     groups = components(every)
     ranked = texts.join(groups.withColumnRenamed("node", "tid"), "tid").select("root", "tid", F.coalesce("id", F.lit(2**63 - 1)).alias("id"))
     stay = ranked.groupBy("root").agg(F.min(F.struct("id", "tid")).getField("tid").alias("stays"))
     gone = ranked.join(stay, "root").filter("tid <> stays").select("tid")
-    stays = cut(texts.join(gone, "tid", "left_anti"))
+    stays = cut(texts.join(gone, "tid", "left_anti").select("tid", "id"))
+    tidy(df.sparkSession)
     kept = keyed.join(stays.select(F.col("tid").alias(tid), F.col("id").alias(first)), tid).filter(F.col(id_col).cast("long").eqNullSafe(F.col(first)))
     again = keyed.groupBy(tid, F.col(id_col).cast("long").alias(first)).count().filter("count > 1").select(tid).distinct()   # repeated rows only
     repeated = kept.join(again, tid, "left_semi").dropDuplicates([tid])

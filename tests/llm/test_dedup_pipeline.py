@@ -191,3 +191,18 @@ def test_no_near_copy_is_missed_at_any_length(spark):
     kept = {r.doc_id for r in simhash.deduplicate(df).collect()}
     lost = [cells[k] for k in kept if k in cells]
     assert {c: lost.count(c) for c in set(lost)} == {} and len(kept) == len(cells)
+
+
+def test_sketches_never_part_similar_sets():
+    """Sketches differ in no more bits than the sets in members, folded or not, and in about as many where sets are close."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n, changed in ((0, 0), (1, 1), (40, 5), (64, 6), (65, 6), (300, 30), (5000, 500)):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[changed:], rng.integers(0, 2**64, max(0, changed - 2), dtype=np.uint64)]))
+        x, y = sorted((simhash.sketch(a), simhash.sketch(b)), key=len)
+        assert len(y) in (len(x), 2 * len(x)) and len(x) * 64 >= 2 * min(len(a), len(b))
+        folded = y if len(x) == len(y) else y[:len(x)] ^ y[len(x):]
+        bits = int(np.bitwise_count((x ^ folded).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b)) <= 2 * bits + 2
