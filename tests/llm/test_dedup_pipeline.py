@@ -206,3 +206,15 @@ def test_sketches_never_part_similar_sets():
         folded = y if len(x) == len(y) else y[:len(x)] ^ y[len(x):]
         bits = int(np.bitwise_count((x ^ folded).view(np.uint64)).sum())
         assert bits <= len(np.setxor1d(a, b)) <= 2 * bits + 2
+
+
+def test_texts_of_close_fingerprints_are_compared_first(spark, monkeypatch):
+    """Groups come from fingerprints where these are close, also without any round over rare shingles; sketches keep unlike texts of one fingerprint apart."""
+    monkeypatch.setattr(simhash, "_similar_texts", lambda rest, sets, sketches: rest.sparkSession.createDataFrame([], "u long, v long"))
+    rnd = random.Random(51)
+    base, line = prose(rnd, 400), prose(rnd, 9)   # of an odd number of shingles, so that no bit is near a tie
+    texts = {0: " ".join(base), 1: " ".join(base).upper(), 2: "  ".join([*base, base[-1]]), 3: " ".join(prose(rnd, 100))}
+    texts |= {4: " ".join(line * 200 + prose(rnd, 60)), 5: " ".join(line * 200 + prose(rnd, 60))}    # one fingerprint, few shingles in common
+    assert simhash.fingerprint(texts[4], 3) == simhash.fingerprint(texts[5], 3) and jaccard(texts[4], texts[5]) < 0.8
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == [0, 3, 4, 5]
