@@ -334,7 +334,7 @@ def _similar_texts(rest: DataFrame, sets: DataFrame, sketches: DataFrame | None
         rest = cut(apart.select("token", "tid", "id", "size").unionByName(near.select("token", "tid", "id", "size")))
         drop(best)
         heads, turn = heads * 4, turn + 1
-    every = rest.sparkSession.createDataFrame([], "u long, v long")
+    every = rest.sparkSession.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))   # rows of Python would keep workers of their own alive
     for more in edges:
         every = every.unionByName(more)
     return every.distinct()

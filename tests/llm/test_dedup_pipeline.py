@@ -218,3 +218,11 @@ def test_texts_of_close_fingerprints_are_compared_first(spark, monkeypatch):
     assert simhash.fingerprint(texts[4], 3) == simhash.fingerprint(texts[5], 3) and jaccard(texts[4], texts[5]) < 0.8
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == [0, 3, 4, 5]
+
+
+def test_empty_links_need_no_python_rows(spark):
+    """A table made of Python rows keeps a daemon and workers beside those of the functions."""
+    rest = spark.createDataFrame([], "token long, tid long, id long, size int")
+    for links in (simhash._similar_texts(rest, rest), substrings.spark_empty(rest)):
+        assert links.count() == 0 and "ExistingRDD" not in links._jdf.queryExecution().toString()
+    assert substrings.spark_empty(rest).dtypes == [tuple(f.split()) for f in substrings.LINKS.replace("long", "bigint").split(", ")]
