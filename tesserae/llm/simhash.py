@@ -19,6 +19,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from xxhash import xxh64_intdigest
@@ -198,13 +199,30 @@ def _shingle_sets(df: DataFrame) -> DataFrame:
     return df.select("tid", of("text").alias("words"))
 
 
+def _counter_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, n): how many distinct shingles of each text fall on each counter, over the texts of a batch."""
+    claim("simhash")
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t, SHINGLE)) & np.uint64(COUNTERS - 1) for t in batch.column(0).to_pylist()]
+        k, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], names=["k", "n"])
+    release()
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """(k, n): how often shingles of each counter stand in ``df(text)``.
+
+    Counted in one pass: of exploded shingles Spark asks first whether there are any, in a second Python function of the same task.
+    """
+    return df.select("text").mapInArrow(_counter_batches, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
 def _counts(df: DataFrame) -> np.ndarray:
-    """How often shingles of each counter stand in a bounded part of ``df(tid, text)``."""
+    """How often shingles of each counter stand in a bounded part of ``df(tid, text)``; it orders them and leaves none out."""
     every = max(1, df.count() // COUNTED)
-    part = _shingle_sets(df.filter(F.pmod(F.xxhash64("tid"), F.lit(every)) == 0))
-    seen = part.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(COUNTERS - 1).cast("int").alias("k")).count().toPandas()
+    seen = _counted(df.filter(F.pmod(F.xxhash64("tid"), F.lit(every)) == 0)).toPandas()
     counts = np.zeros(COUNTERS, dtype=np.int32)
-    counts[seen["k"].to_numpy(dtype=np.int64)] = np.minimum(seen["count"].to_numpy(dtype=np.int64), 2**31 - 1)
+    counts[seen["k"].to_numpy(dtype=np.int64)] = np.minimum(seen["n"].to_numpy(dtype=np.int64), 2**31 - 1)
     return counts
 
 

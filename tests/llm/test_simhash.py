@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -72,3 +74,28 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(df).collect()))
     assert got == [(-1, 9), (3, 3), (4, 4), (5, 3), (7, 7), (9, 9), (9, 9)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_counters_take_one_python_pass(spark):
+    """Sums of texts' distinct shingles by counter equal a count by hand, and the plan hands the texts to Python once."""
+    texts = ["a b c d e f g", "a b c d e a b c d e", "", None]
+    counted = simhash._counted(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "tid long, text string"))
+    want = Counter(int(w) & (simhash.COUNTERS - 1) for t in texts for w in set(simhash.shingle_hashes(t, simhash.SHINGLE).tolist()))
+    assert {r.k: r.n for r in counted.collect()} == dict(want)
+    plan = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+
+
+def test_similar_sets_share_a_rarest_shingle():
+    """Sets of every size at the least similarity, whatever the order of rarity."""
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 60), 200, 1000]:
+        for _ in range(20):
+            counts = rng.integers(0, 4, simhash.COUNTERS).astype(np.int32)
+            own = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            gone = rng.integers(0, n // 5 + 1)                       # members that only the first set holds
+            new = max(0, (5 * (n - gone)) // 4 - n)                  # as many as the other may add: 5 * common >= 4 * union
+            a, b = np.unique(own), np.unique(np.concatenate([own[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            assert 5 * both >= 4 * (len(a) + len(b) - both)
+            assert set(simhash.rare_first(a, counts)) & set(simhash.rare_first(b, counts))
